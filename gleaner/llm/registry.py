@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, token_counts
+from . import classifier, neighbours, packing, pieces, quality_rules, token_counts, warc
 
-MODULES = (token_counts, pieces, packing)
+MODULES = (token_counts, neighbours, pieces, packing, warc, quality_rules, classifier)
 
 
 def queries() -> dict:
