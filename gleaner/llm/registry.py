@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classifier, neighbours, packing, pieces, quality_rules, token_counts, warc
+from . import classifier, jaccard, lm_scoring, neighbours, packing, pieces, quality_rules, token_counts, warc
 
-MODULES = (token_counts, neighbours, pieces, packing, warc, quality_rules, classifier)
+MODULES = (token_counts, neighbours, pieces, lm_scoring, packing, warc, jaccard, quality_rules, classifier)
 
 
 def queries() -> dict:
