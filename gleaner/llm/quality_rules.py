@@ -47,7 +47,7 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """log p_target - log p_raw of each bucket, in thousandths, so that sums are exact; zeros without trusted documents."""
-    marked = docs.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
+    marked = docs.join(trusted.withColumn("trusted", F.lit(1)).hint("merge"), "doc_id", "left")  # ids grow with the corpus: never broadcast
     each = hashed_words(marked).select("trusted", F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("bucket"))
     counted = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").fillna(0, ["raw", "target"])
