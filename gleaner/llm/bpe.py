@@ -8,17 +8,19 @@ rest of the text is there, which is why the check on pairs is enough.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import unicodedata
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 
 #: White space of the pre-tokenisers' regular expressions (Unicode White_Space).
 SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680))) + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Characters for which Python's tables and the libraries' surely agree; other texts are split by the library.
-PLAIN = re.compile(f"[^\\x00-{chr(0x12F)}{chr(0x131)}-{chr(0x24F)}{chr(0x2010)}-{chr(0x2027)}]")
+PLAIN = re.compile(f"[^\\x00-\\x1b -{chr(0x12F)}{chr(0x131)}-{chr(0x24F)}{chr(0x2010)}-{chr(0x2027)}]")
 CACHE = 300_000
 PAIRS = 1_500_000
 
@@ -326,40 +328,74 @@ codecs.register_error("gleaner-each", _each)
 
 
 class WordEncoder:
-    """Ids of a tokenizers file whose pre-tokens are independent: each distinct pre-token is encoded once by the library."""
+    """Ids of a tokenizers file that drops white space and ends every word by a suffix: each distinct run between white
+    space is encoded once by the library, many in one call, and told apart by the tokens that end words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.library.model)  # for words that are normalised and split already
+        self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         spec = json.load(open(path, encoding="utf-8"))
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        split = next((p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
         steps = [n["type"] for n in ((spec["normalizer"] or {}).get("normalizers") or [])]
-        self.fast = bool(split) and split["behavior"] == "Removed" and split["invert"] and steps == ["NFC", "Replace", "Lowercase"]
+        splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.fast = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
         if self.fast:
             letters, numbers = _classes()
-            pattern = split["pattern"]["Regex"]
-            self.fast = r"[^\s\p{L}\p{N}]+" in pattern and r"[\p{L}]+" in pattern
-            pattern = pattern.replace(r"[^\s\p{L}\p{N}]", _not(f"[{letters}]", f"[{numbers}]")).replace(r"\p{L}", letters).replace(r"\p{N}", numbers)
-            self.fast = self.fast and r"\p" not in pattern and r"\s" not in pattern
-            self.split = re.compile(pattern) if self.fast else None
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
+            pattern = splits[0]["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]", _not(f"[{letters}]", f"[{numbers}]")).replace(r"\p{L}", letters).replace(r"\p{N}", numbers)
+            self.fast = r"\p" not in pattern and r"\s" not in pattern
+            self.split = re.compile(pattern)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Every run gets its ids as bytes: all their words go through the library at once, and the tokens that end words tell them apart."""
+        known, old = self.known, self.old
+        rest = []
+        for w in new:
+            ids = old.get(w)
+            if ids is None:
+                rest.append(w)
+            else:
+                known[w] = ids
+        if len(known) > 2 * CACHE:
+            self.old, self.known = known, {w: known[w] for w in new if w in known}
+            known = self.known
+        if not rest:
+            return
+        parts = [[w] if w.isalpha() else self.split.findall(w) for w in rest]
+        ids = np.array(self.words.encode_batch_fast([" ".join(itertools.chain.from_iterable(parts))], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        sizes = np.cumsum([len(x) for x in parts])
+        if len(ends) == sizes[-1]:
+            raw, at = ids.tobytes(), [0, *(4 * ends[sizes - 1]).tolist()]
+            for k, w in enumerate(rest):
+                known[w] = raw[at[k] : at[k + 1]]
+        else:
+            for w in rest:
+                known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids as little-endian unsigned 32-bit integers."""
         if not self.fast or PLAIN.search(text) is not None or any(s in text for s in self.specials):
-            return self.library.encode(text, add_special_tokens=False).ids
-        parts = self.split.findall(text.lower())
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        runs = text.lower().split()
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list(set(parts).difference(known))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-            known[p] = e.ids
-        out: list[int] = []
-        for ids in map(known.__getitem__, parts):
-            out += ids
-        return out
+        new = [w for w in runs if w not in known]
+        if new:
+            self._learn(list(dict.fromkeys(new)))
+            if self.known is not known:  # a new generation began
+                known = self.known
+                again = [w for w in runs if w not in known]
+                if again:
+                    known.update((w, ids) for w in again if (ids := self.old.get(w)) is not None)
+        return np.frombuffer(b"".join(map(known.__getitem__, runs)), "<u4")
 
 
 @lru_cache(maxsize=8)

@@ -32,7 +32,7 @@ def cut_pieces(df: DataFrame, path: str, close: int = 1, capacity: int = CAPACIT
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.array([*encoder.encode(text), close], "<u4")
+                ids = np.append(encoder.encode(text), np.array([close], "<u4"))
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     rows.append((doc, k, start, len(own), zlib.crc32(own.tobytes())))
