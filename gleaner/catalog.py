@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import relational
+from gleaner.plans import relational, textual
 
-MODULES = (relational,)
+MODULES = (relational, textual)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["topic_counts_in_period"](spark, sf_dir)
+    return queries()["adjacent_pmi_lexicon"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
