@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import relational, textual
+from gleaner.plans import gating, relational, textual
 
-MODULES = (relational, textual)
+MODULES = (relational, textual, gating)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
