@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import gating, relational, textual
+from gleaner.plans import gating, relational, sequential, textual
 
-MODULES = (relational, textual, gating)
+MODULES = (relational, textual, gating, sequential)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
