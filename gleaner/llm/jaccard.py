@@ -100,37 +100,37 @@ def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def blocks(index: DataFrame) -> DataFrame:
-    """The rows of shingles that two or more sets share; one pass over sorted partitions, holding one row."""
+    """The rows of shingles that two or more sets share; one pass over partitions sorted by shingle."""
     spark = index.sparkSession
-    spread = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle").sortWithinPartitions("shingle", "n", "node")
+    spread = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle").sortWithinPartitions("shingle")
+    names = list(index.columns)
+
+    def shared(t: pa.Table) -> pa.Table:
+        key = t.column("shingle").to_numpy()
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        t = t.filter(pa.array(np.bincount(group)[group] > 1))
+        t = t.group_by(names).aggregate([])  # copies that several tasks saw
+        key, where = np.unique(t.column("shingle").to_numpy(), return_inverse=True)
+        return t.filter(pa.array(np.bincount(where, minlength=len(key))[where] > 1)).select(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the rows of the shingle that the last batch ended with, if it may go on
-
-        def shared(t: pa.Table) -> pa.Table:
-            key = t.column("shingle").to_numpy()
-            first = np.r_[True, key[1:] != key[:-1]]
-            node = np.array(t.column("node").to_pylist(), object)
-            fresh = first | np.r_[True, node[1:] != node[:-1]]
-            group = np.cumsum(first) - 1
-            many = np.bincount(group, fresh)
-            return t.filter(pa.array(fresh & (many[group] > 1)))
-
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
             if not t.num_rows:
                 continue
             key = t.column("shingle").to_numpy()
-            start = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
+            start = int(np.searchsorted(key, key[-1]))
             if start:
                 yield from shared(t.slice(0, start)).combine_chunks().to_batches()
                 held = t.slice(start).combine_chunks()
-            elif held is None or t.num_rows < 200_000:
+            elif t.num_rows < 200_000:
                 held = t
-            else:  # a long block goes out in parts
+            else:  # a long block goes out in parts, each with two sets that were out already; repeats in a block are harmless
                 out = shared(t)
                 yield from out.combine_chunks().to_batches()
-                held = t.slice(t.num_rows - 2)  # two rows that are out already keep it a block; repeats in a block are harmless
+                held = out.slice(0, 2).combine_chunks() if out.num_rows else t.slice(0, 1).combine_chunks()
         if held is not None:
             yield from shared(held).combine_chunks().to_batches()
 
@@ -167,20 +167,36 @@ def overlap_bound(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs a, b whose texts' sets are similar enough; texts: node, text."""
+def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
+    """The pairs a, b whose texts' sets are similar enough. docs: doc_id, text; holders: doc_id, node. Only texts in pairs are read."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = holders.join(asked, "node", "left_semi").withColumnRenamed("doc_id", "own_id")
+    texts = materialize(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("node", "text"), "texts")
     spread = texts.repartition(parts, "node")
     one = pairs.join(spread.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
     both = one.join(spread.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            kept, last, s = [], None, None
-            for i, (x, y, node) in enumerate(zip(b["left"], b["right"], b["b"], strict=True)):
-                if node != last:
-                    last, s = node, shingle_set(y)
-                t = shingle_set(x)
+            kept: list[int] = []
+            known: dict[bytes, np.ndarray] = {}
+
+            def of(node: bytes, text: str) -> np.ndarray | None:
+                """The set, if it is the node's: where ids repeat, another text may have come along."""
+                if node not in known:
+                    if len(known) > 200:
+                        known.clear()
+                    s = shingle_set(text)
+                    if xxhash.xxh3_128_digest(s.tobytes()) != node:
+                        return None
+                    known[node] = s
+                return known[node]
+
+            for i in range(len(b["a"])):
+                s, t = of(b["b"][i], b["right"][i]), of(b["a"][i], b["left"][i])
+                if s is None or t is None:
+                    continue
                 same = len(np.intersect1d(s, t, assume_unique=True))
                 if DENOMINATOR * same >= NUMERATOR * (len(s) + len(t) - same):
                     kept.append(i)
@@ -201,16 +217,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = blocks(prefix_index(docs, counts))
     involved = shared.select("node").distinct()
     known = materialize(classes.join(involved, "node", "left_semi"), "classes")
-    holders = known.select("doc_id", F.col("node").alias("own"))
-    texts = _texts(docs, holders)
+    holders = known.select("doc_id", "node")
     labels = known.select("node", F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), F.col("node").alias("node")).alias("label"))
     near = neighbours(shared, None).union(neighbours(shared, 1)).distinct()
     first = _filtered(near, known)
     first = materialize(first, "pairs")
-    links = verified(first, texts)
+    links = verified(first, docs, holders)
     labels = connect(labels, links)
     rest = materialize(_across(shared, labels, known).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest, texts)
+    more = verified(rest, docs, holders)
     if not more.isEmpty():
         labels = connect(labels, more.union(links))
     named = labels.select("node", F.col("label.rank").alias("component"))
@@ -221,18 +236,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
-def _texts(docs: DataFrame, holders: DataFrame) -> DataFrame:
-    """node, text of the document that stands for each class; where ids repeat, the one whose set is the class's."""
-    joined = docs.join(holders, docs["doc_id"].eqNullSafe(holders["doc_id"])).select("own", "text")
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            kept = [i for i, t in enumerate(b["text"]) if xxhash.xxh3_128_digest(shingle_set(t).tobytes()) == b["own"][i]]
-            yield {"node": [b["own"][i] for i in kept], "text": [b["text"][i] for i in kept]}
-
-    return materialize(arrow_rows(joined, run, "node binary, text string").dropDuplicates(["node"]), "texts")
-
-
 def _counts(df: DataFrame) -> DataFrame:
     """parts as an array of ints."""
 

@@ -6,22 +6,12 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-_MANY = 400_000
-_hashes: dict[bytes, int] = {}
 
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the words, ASCII letters lowered (bytes.split separates at exactly the six ASCII white-space bytes)."""
     words = text.encode().lower().split()
-    known = _hashes
-    new = [w for w in words if w not in known]
-    if new:
-        if len(known) > _MANY:
-            known.clear()
-            new = words
-        for w in new:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
