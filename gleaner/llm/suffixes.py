@@ -105,7 +105,7 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def settled(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """kind and the suffix's columns: copies of an earlier run, runs to compare window by window, and rows of groups at a bucket's edge."""
+    """kind and the suffix's columns: copies of an earlier run, runs to compare window by window, and of groups at a bucket's edge the first row of each run."""
     spread = suffixes.repartitionByRange(buckets, "gram", "context", "key", "place")
     names = ("gram", "context", "key", "place")
 
@@ -125,7 +125,7 @@ def settled(suffixes: DataFrame, buckets: int) -> DataFrame:
         kinds = np.full(len(gram), -1)
         kinds[~fresh] = COPY
         kinds[fresh & (np.bincount(group, fresh)[group] > 1)] = MIXED
-        kinds[(group == 0) | (group == group[-1])] = EDGE
+        kinds[fresh & ((group == 0) | (group == group[-1]))] = EDGE  # later rows of a run have its first one before them in this bucket
         at = np.flatnonzero(kinds >= 0)
         for lo in range(0, len(at), 200_000):
             own = at[lo : lo + 200_000]
