@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import gating, relational, sequential, textual
+from gleaner.plans import corpus, gating, relational, sequential, textual
 
-MODULES = (relational, textual, gating, sequential)
+MODULES = (relational, textual, gating, sequential, corpus)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,11 +163,10 @@ def document_names(docs: DataFrame, stop=X.STOPWORDS, skip: tuple[str, ...] = ()
 
 def known_entities(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """doc_id, name, form: entities of a bounded gazetteer (name, form, place) that a text mentions; of several forms the one listed first."""
-    from gleaner.operators.phrases import contained
+    from gleaner.operators.phrases import term_key, text_keys
 
-    forms = gazetteer.select(F.col("form").alias("term")).distinct()
-    found = contained(docs, forms).join(F.broadcast(gazetteer.withColumnRenamed("form", "term")), "term")
-    return found.groupBy("doc_id", "name").agg(F.min(F.struct("place", "term"))["term"].alias("form"))
+    forms = gazetteer.select("name", "form", "place", term_key("form").alias("key"))
+    return text_keys(docs).join(F.broadcast(forms), "key").groupBy("doc_id", "name").agg(F.min(F.struct("place", "form"))["form"].alias("form"))
 
 
 def decide(candidates: DataFrame, most: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
@@ -107,14 +107,21 @@ def group_tfidf(docs: DataFrame, group: str, most: int = 5, least: int = 2, stop
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(group, "rank", "word", "n", "df", "tfidf")
 
 
+def text_keys(docs: DataFrame, longest: int = 4) -> DataFrame:
+    """doc_id, key: the distinct runs of up to `longest` words of a text, in the form of term_key."""
+    words = docs.select("doc_id", F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: w != "").alias("words"))
+    return words.select("doc_id", F.explode(F.array_distinct(F.concat(*(X.word_ngrams(F.col("words"), n) for n in range(1, longest + 1))))).alias("key"))
+
+
+def term_key(term: str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(term), "[^a-z0-9]+", " "))
+
+
 def contained(docs: DataFrame, terms: DataFrame, longest: int = 4) -> DataFrame:
-    """doc_id, term of all terms that stand in a text between word boundaries; terms: term, words joined by spaces.
+    """doc_id, term of all terms that stand in a text between word boundaries; terms: term, of up to `longest` words.
 
-    The text's n-grams of up to `longest` words meet the terms in an equi-join, so no text is tried against every term."""
-    words = docs.select("doc_id", F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: w != "").alias("words"))
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.concat(*(X.word_ngrams(F.col("words"), n) for n in range(1, longest + 1))))).alias("term"))
-    keys = terms.select("term", F.trim(F.regexp_replace(F.lower("term"), "[^a-z0-9]+", " ")).alias("key"))
-    return grams.withColumnRenamed("term", "key").join(keys, "key").select("doc_id", "term").distinct()
+    The text's runs of words meet the terms in an equi-join, so no text is tried against every term."""
+    return text_keys(docs, longest).join(terms.select("term", term_key("term").alias("key")), "key").select("doc_id", "term").distinct()
 
 
 def phrase_candidates(docs: DataFrame, starters: list[str], most: int = 8, stop=X.STOPWORDS) -> DataFrame:

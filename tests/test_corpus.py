@@ -1,0 +1,46 @@
+"""The topic pipeline as a whole."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.plans import corpus as C
+
+
+@pytest.fixture(scope="module")
+def built(spark):
+    texts = [f"Today the vibe coding trend met prompt injection in Simon Willison notes number{k}. Then vibe coding and prompt injection again." for k in range(12)]
+    texts += [f"unrelated filler{k} sentence about other{k} matters entirely" for k in range(30)]
+    docs = spark.createDataFrame([(k, t, f"e{k % 4}") for k, t in enumerate(texts)] + [(90, None, "e0"), (91, "", "e1")], "doc_id long, text string, episode_id string")
+    gazetteer = spark.createDataFrame([("Simon Willison", "simon willison", 1), ("Simon Willison", "willison", 2)], "name string, form string, place int")
+    return C.build(docs, gazetteer)
+
+
+def test_topics(built):
+    rows = {r["name"]: r for r in built.topics.collect()}
+    assert rows["Simon Willison"]["kind"] == "entity" and rows["Simon Willison"]["usage"] == 12 and rows["Simon Willison"]["support"] == 4
+    assert "prompt injection" in rows and rows["prompt injection"]["usage"] == 12
+
+
+def test_nothing_hangs_loose(built):
+    assert built.links.join(built.topics, "topic_id", "left_anti").count() == 0
+    assert built.topics.join(built.links, "topic_id", "left_anti").count() == 0
+    assert built.artifacts.filter(F.size("warnings") > 0).count() == 2
+    assert {r["metric"]: r["value"] for r in C.characterization(built).collect()}["broken_links"] == 0
+
+
+def test_finalising_twice_changes_nothing(built):
+    again, links = C.finalized(built.topics, built.links, built.artifacts)
+    key = lambda df: sorted((r["topic_id"], r["usage"], r["support"], r["reason"] or "") for r in df.collect())
+    assert key(again) == key(built.topics)
+    assert sorted(map(tuple, links.collect())) == sorted(map(tuple, built.links.collect()))
+
+
+def test_sentences_and_eras(spark):
+    rows = spark.createDataFrame([("April 2025", 2, 1, ["a", "b", "c", "d"], 1), ("May 2025", 1, 5, [], 0)], "label string, episodes int, chunks int, top array<string>, new_topics int")
+    got = {r["label"]: r["summary"] for r in C.period_sentences(rows).collect()}
+    assert got["April 2025"] == "April 2025 has 2 episodes with 1 chunk. It is mostly about a, b, and c. 1 topic appears for the first time."
+    assert got["May 2025"] == "May 2025 has 1 episode with 5 chunks."
+    docs = spark.createDataFrame([(datetime.date(2025, 2, 1), "ai ai"), (datetime.date(2025, 5, 1), "ai")], "day date, text string")
+    assert sorted((r["quarter"], r["hits"]) for r in C.era_markers(docs, "day", {"ai": "ai"}).collect()) == [("2025-Q1", 2), ("2025-Q2", 1)]
