@@ -87,7 +87,9 @@ def quality_rules(df: DataFrame, labels: DataFrame, buckets: int = BUCKETS, thre
     out = base_rules(hashed_words(docs)).withColumn("features", features(F.col("words"), F.col("hashes"), buckets))
     total = F.aggregate("features", F.lit(0).cast("long"), lambda s, b: s + F.get(weights, b))
     out = out.withColumn("ratio", F.when(F.size("features") == 0, 0.0).otherwise(total / (1000.0 * F.size("features"))))
-    kept = ~F.col("base_failed") & (F.col("ratio") >= threshold)
+    # the last factor is always true and not deterministic: it keeps a later filter on kept from being pushed below, where
+    # every use of an array would be computed anew inside the lambdas
+    kept = ~F.col("base_failed") & (F.col("ratio") >= threshold) & (F.monotonically_increasing_id() >= 0)
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", kept.alias("kept"))
 
 
