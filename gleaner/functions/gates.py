@@ -12,7 +12,7 @@ from gleaner.functions.text import STOPWORDS
 
 @dataclass(frozen=True)
 class Tuning:
-    """Thresholds of promotion and display (fixed values), and the word lists of the noise rules."""
+    """Thresholds of promotion and display, and the word lists of the noise rules. Thresholds, starters and filler are fixed values."""
 
     chunk_support: int = 5
     episode_support: int = 2

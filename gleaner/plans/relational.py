@@ -256,3 +256,73 @@ def _(c):
 @_q("topic_histogram", "SELECT CAST(floor(usage / 5) AS BIGINT) AS bucket, count(*) AS topics, max(usage) AS most FROM used GROUP BY ALL")
 def _(c):
     return c.used.groupBy(F.floor(F.col("usage") / 5).alias("bucket")).agg(F.count("*").alias("topics"), F.max("usage").alias("most"))
+
+
+@_q("topic_chunks", "SELECT chunk_id, episode_id, published FROM dated WHERE topic_id = 5 ORDER BY published DESC, chunk_id LIMIT 40")
+def _(c):
+    return c.dated.filter("topic_id = 5").orderBy(F.desc("published"), "chunk_id").limit(40).select("chunk_id", "episode_id", "published")
+
+
+@_q("topic_episodes", "SELECT episode_id, count(*) AS n FROM dated WHERE topic_id = 5 GROUP BY episode_id")
+def _(c):
+    return c.dated.filter("topic_id = 5").groupBy("episode_id").agg(F.count("*").alias("n"))
+
+
+@_q("chunk_topics", "SELECT topic_id, name, usage FROM links JOIN used USING (topic_id) WHERE chunk_id = 7 AND NOT hidden")
+def _(c):
+    return c.links.filter("chunk_id = 7").join(c.used, "topic_id").filter(A.visible()).select("topic_id", "name", "usage")
+
+
+@_q("previous_episode", "SELECT episode_id, (SELECT max(p.episode_id) FROM episodes p WHERE p.published < e.published) AS previous FROM episodes e")
+def _(c):
+    from pyspark.sql import Window
+
+    per_year = Window.partitionBy("one").orderBy("published")  # months of the corpus: a short table
+    return c.episodes.withColumn("one", F.lit(1)).select("episode_id", F.lag("episode_id").over(per_year).alias("previous"))
+
+
+@_q("recent_episodes", "SELECT episode_id, published FROM episodes ORDER BY published DESC LIMIT 12")
+def _(c):
+    return c.episodes.orderBy(F.desc("published")).limit(12)
+
+
+@_q("episodes_by_year", "SELECT CAST(year(published) AS INTEGER) AS year, count(*) AS episodes, string_agg(episode_id::VARCHAR, ',' ORDER BY episode_id) AS listed FROM episodes GROUP BY ALL")
+def _(c):
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("episode_id")), lambda x: x.cast("string")), ",")
+    return c.episodes.groupBy(F.year("published").alias("year")).agg(F.count("*").alias("episodes"), listed.alias("listed"))
+
+
+@_q("topic_halves", "SELECT half, count(*) AS n, min(chunk_id) AS first_id FROM (SELECT chunk_id, CAST(ntile(2) OVER (ORDER BY published, chunk_id) AS INTEGER) AS half FROM dated WHERE topic_id = 5) GROUP BY half")
+def _(c):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("topic_id").orderBy("published", "chunk_id")
+    return c.dated.filter("topic_id = 5").withColumn("half", F.ntile(2).over(w)).groupBy("half").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_id"))
+
+
+@_q("share_of_period", f"SELECT topic_id, round(count(*) FILTER (WHERE {_NOW}) / count(*), 6) AS share FROM dated GROUP BY topic_id HAVING count(*) FILTER (WHERE {_NOW}) > 0")
+def _(c):
+    inside = F.count_if(A.within("published", *NOW))
+    return c.dated.groupBy("topic_id").agg(F.round(inside / F.count("*"), 6).alias("share"), inside.alias("n")).filter("n > 0").drop("n")
+
+
+@_q("first_and_last_use", "SELECT topic_id, arg_min(chunk_id, (published, chunk_id)) AS first_chunk, arg_max(chunk_id, (published, chunk_id)) AS last_chunk FROM dated GROUP BY topic_id")
+def _(c):
+    at = F.struct("published", "chunk_id")
+    return c.dated.groupBy("topic_id").agg(F.min(at)["chunk_id"].alias("first_chunk"), F.max(at)["chunk_id"].alias("last_chunk"))
+
+
+@_q("disappeared_topics", f"SELECT DISTINCT topic_id FROM dated WHERE {_BEFORE} EXCEPT SELECT topic_id FROM dated WHERE {_NOW}")
+def _(c):
+    return c.dated.filter(A.within("published", *BEFORE)).select("topic_id").distinct().join(c.dated.filter(A.within("published", *NOW)), "topic_id", "left_anti")
+
+
+@_q("kind_by_support", "SELECT kind, support >= 5 AS wide, count(*) AS topics, CAST(sum(usage) AS BIGINT) AS usage FROM used GROUP BY ALL")
+def _(c):
+    return c.used.groupBy("kind", (F.col("support") >= 5).alias("wide")).agg(F.count("*").alias("topics"), F.sum("usage").alias("usage"))
+
+
+@_q("usage_quantile_bands", "SELECT topic_id, usage, CAST(CASE WHEN usage = 0 THEN 0 WHEN usage < 3 THEN 1 WHEN usage < 10 THEN 2 ELSE 3 END AS INTEGER) AS band FROM used")
+def _(c):
+    band = F.when(F.col("usage") == 0, 0).when(F.col("usage") < 3, 1).when(F.col("usage") < 10, 2).otherwise(3)
+    return c.used.select("topic_id", "usage", band.alias("band"))

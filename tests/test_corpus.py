@@ -10,16 +10,16 @@ from gleaner.plans import corpus as C
 
 @pytest.fixture(scope="module")
 def built(spark):
-    texts = [f"Today the vibe coding trend met prompt injection in Simon Willison notes number{k}. Then vibe coding and prompt injection again." for k in range(12)]
+    texts = [f"Today the vibe coding trend met prompt injection in Ada Lovelace notes number{k}. Then vibe coding and prompt injection again." for k in range(12)]
     texts += [f"unrelated filler{k} sentence about other{k} matters entirely" for k in range(30)]
     docs = spark.createDataFrame([(k, t, f"e{k % 4}") for k, t in enumerate(texts)] + [(90, None, "e0"), (91, "", "e1")], "doc_id long, text string, episode_id string")
-    gazetteer = spark.createDataFrame([("Simon Willison", "simon willison", 1), ("Simon Willison", "willison", 2)], "name string, form string, place int")
+    gazetteer = spark.createDataFrame([("Ada Lovelace", "ada lovelace", 1), ("Ada Lovelace", "lovelace", 2)], "name string, form string, place int")
     return C.build(docs, gazetteer)
 
 
 def test_topics(built):
     rows = {r["name"]: r for r in built.topics.collect()}
-    assert rows["Simon Willison"]["kind"] == "entity" and rows["Simon Willison"]["usage"] == 12 and rows["Simon Willison"]["support"] == 4
+    assert rows["Ada Lovelace"]["kind"] == "entity" and rows["Ada Lovelace"]["usage"] == 12 and rows["Ada Lovelace"]["support"] == 4
     assert "prompt injection" in rows and rows["prompt injection"]["usage"] == 12
 
 

@@ -67,8 +67,8 @@ def test_rerank(spark):
 
 
 def test_query_language():
-    q = S.parse_query(f"before:2025-01-02 {chr(0x201C)}tyler cowen{chr(0x201D)} after:2024-01-01 year:2024 topic:LLMs TOPIC:agents free   text")
-    assert q == S.Query("free text", ["tyler cowen"], "2025-01-02", "2024-01-01", 2024, ["llms", "agents"])
+    q = S.parse_query(f"before:2025-01-02 {chr(0x201C)}ada lovelace{chr(0x201D)} after:2024-01-01 year:2024 topic:LLMs TOPIC:agents free   text")
+    assert q == S.Query("free text", ["ada lovelace"], "2025-01-02", "2024-01-01", 2024, ["llms", "agents"])
     assert S.expand_aliases("what is alphabet", [("Google", ["alphabet"])]) == ["what is alphabet", "Google", "alphabet"]
     assert S.parse_query("") == S.Query()
 
@@ -95,8 +95,8 @@ def test_keyphrases():
 
 
 def test_names():
-    got = dict(K.names("Yesterday Simon Willison wrote. He praised Claude and Very Large Language Models Today. The End."))
-    assert got["yesterday simon willison"] == "sentence_start_multiword" and got["claude"] == "mid_sentence_single_capitalized"
+    got = dict(K.names("Yesterday Ada Lovelace wrote. He praised Babbage and Very Large Language Models Today. The End."))
+    assert got["yesterday ada lovelace"] == "sentence_start_multiword" and got["babbage"] == "mid_sentence_single_capitalized"
     assert not any(len(n.split()) > 3 for n in got)
 
 
