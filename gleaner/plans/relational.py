@@ -30,7 +30,7 @@ def _q(name: str, sql: str):
 
 @_q("topic_counts_in_period", f"SELECT topic_id, count(*) AS n FROM dated WHERE {_NOW} GROUP BY topic_id")
 def _(c):
-    return A.topic_counts(c.dated, *NOW)
+    return A.topic_counts(c.within(*NOW).dated, *NOW)
 
 
 @_q("episodes_in_period", f"SELECT e.episode_id, e.published, count(c.chunk_id) AS chunks FROM episodes e LEFT JOIN chunks c USING (episode_id) WHERE e.published BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY ALL")
@@ -41,7 +41,7 @@ def _(c):
 
 @_q("chunks_in_period", f"SELECT chunk_id, episode_id FROM chunks WHERE {_NOW}")
 def _(c):
-    return c.chunks.filter(A.within("published", *NOW)).select("chunk_id", "episode_id")
+    return c.within(*NOW).chunks.select("chunk_id", "episode_id")
 
 
 @_q("top_topics_weighted", "SELECT topic_id, name, usage, round(usage * CASE WHEN distinctiveness > 0 THEN distinctiveness WHEN name LIKE '% %' THEN 20.0 ELSE 1.0 END, 6) AS score FROM used WHERE NOT hidden ORDER BY score DESC, topic_id LIMIT 50")

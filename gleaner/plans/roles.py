@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,14 @@ from pyspark.sql import functions as F
 class Corpus:
     """The frames that read-side analytics work on; each is lazy and reads only its columns."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, first: datetime.date | None = None, last: datetime.date | None = None):
+        """first and last: keep only chunks of these whole months; the bounds are on the stored date, so they reach the scan."""
         read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        self.spark = spark
-        self.chunks = read("orders").select(
+        self.spark, self.sf_dir = spark, sf_dir
+        orders = read("orders")
+        if first and last:
+            orders = orders.filter((F.col("o_orderdate") >= F.lit(first).cast("timestamp")) & (F.col("o_orderdate") < F.lit(last + datetime.timedelta(days=1)).cast("timestamp")))
+        self.chunks = orders.select(
             F.col("o_orderkey").alias("chunk_id"),
             (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long").alias("episode_id"),
             F.trunc("o_orderdate", "month").alias("published"),
@@ -27,6 +33,9 @@ class Corpus:
             (F.col("p_retailprice") / 100).alias("distinctiveness"),
         )
 
+    def within(self, first: datetime.date, last: datetime.date) -> Corpus:
+        return Corpus(self.spark, self.sf_dir, first, last)
+
     @property
     def dated(self) -> DataFrame:
         """chunk_id, topic_id, episode_id, published."""
