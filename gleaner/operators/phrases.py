@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.functions.scores import distinctiveness
+from gleaner.sources.shared import written
 
 
 def tokens(docs: DataFrame, stop=X.STOPWORDS) -> DataFrame:
@@ -40,19 +43,31 @@ def ngrams(docs: DataFrame, least_count: int = 5, least_docs: int = 3, stop=X.ST
     return per.groupBy("phrase").agg(F.sum("n").alias("total"), F.count("*").alias("docs")).filter((F.col("total") >= least_count) & (F.col("docs") >= least_docs))
 
 
-def pmi_pairs(docs: DataFrame, least: int = 5, low: int = 5, high: float = 0.1, most: int = 100, floor: float = 3.0, stop=X.STOPWORDS) -> DataFrame:
-    """Word pairs of one document by pointwise mutual information.
+def pmi_pairs(docs: DataFrame, least: int = 5, most: int = 100, floor: float = 3.0, stop=X.STOPWORDS) -> DataFrame:
+    """The `most` word pairs of one document with the highest pointwise mutual information of at least floor: a, b, both, pmi.
 
-    Words in fewer than `low` documents can't reach `least`, and words in more than `high` of all documents have little
-    information; leaving both out first keeps the pairs of a document few."""
+    A pair that co-occurs `least` times has words in that many documents, and its pmi is at most log(N / df) of the more
+    frequent word. So rare words go first: once `most` pairs are found, only words that could still beat the last of them
+    take part. Nothing is lost, and frequent words, whose pairs are many, never meet."""
+    size = docs.count()
     words = chunk_words(docs, stop).select("doc_id", "word")
-    size = docs.agg(F.count("*").alias("size"))
-    df = words.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).filter((F.col("df") >= low) & (F.col("df") <= F.col("size") * high))
-    kept = words.join(df.select("word", "df"), "word")
-    a, b = kept.select("doc_id", F.col("word").alias("a"), F.col("df").alias("df_a")), kept.select("doc_id", F.col("word").alias("b"), F.col("df").alias("df_b"))
-    pairs = a.join(b, "doc_id").filter("a < b").groupBy("a", "b", "df_a", "df_b").agg(F.count("*").alias("both")).filter(F.col("both") >= least).crossJoin(F.broadcast(size))
-    pairs = pairs.withColumn("pmi", F.round(F.log(F.col("both") * F.col("size") / (F.col("df_a") * F.col("df_b"))), 6))
-    return pairs.orderBy(F.desc("pmi"), "a", "b").limit(most).filter(F.col("pmi") >= floor).select("a", "b", "both", "pmi")
+    df = words.groupBy("word").agg(F.count("*").alias("df")).filter((F.col("df") >= least) & (F.col("df") <= size * math.exp(-floor) + 1e-9))
+    kept = written(words.join(df, "word"), "pair-words")
+
+    def best(cap: float) -> DataFrame:
+        rows = kept.filter(F.col("df") <= cap)
+        a, b = (rows.select("doc_id", F.col("word").alias(x), F.col("df").alias(f"df_{x}")) for x in "ab")
+        pairs = a.join(b, "doc_id").filter("a < b").groupBy("a", "b", "df_a", "df_b").agg(F.count("*").alias("both")).filter(F.col("both") >= least)
+        pairs = pairs.withColumn("pmi", F.round(F.log(F.col("both") * size / (F.col("df_a") * F.col("df_b"))), 6)).filter(F.col("pmi") >= floor)
+        return pairs.orderBy(F.desc("pmi"), "a", "b").limit(most).select("a", "b", "both", "pmi")
+
+    cap = 2.0 * least
+    while cap < size * math.exp(-floor):
+        found = best(cap).agg(F.count("*").alias("n"), F.min("pmi").alias("last")).head()
+        if found["n"] == most:
+            return best(max(cap, size * math.exp(-found["last"] + 1e-6)))
+        cap *= 4
+    return best(size)
 
 
 def phrase_lexicon(docs: DataFrame, least_docs: int = 3, floor: float = 1.5, most: int = 200, stop=X.STOPWORDS) -> DataFrame:
