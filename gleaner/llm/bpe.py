@@ -354,6 +354,10 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Free what was learned: between tasks a worker is idle and its memory is better used elsewhere."""
+        self.known, self.old = {}, {}
+
     def _learn(self, new: list[str]) -> None:
         """Every run gets its ids as bytes: all their words go through the library at once, and the tokens that end words tell them apart."""
         known, old = self.known, self.old

@@ -37,6 +37,7 @@ def cut_pieces(df: DataFrame, path: str, close: int = 1, capacity: int = CAPACIT
                     own = ids[start : start + capacity]
                     rows.append((doc, k, start, len(own), zlib.crc32(own.tobytes())))
             yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        encoder.forget()
 
     return arrow_rows(id_text(df, id_col, text_col), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
