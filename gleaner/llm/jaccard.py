@@ -231,6 +231,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = labels.select("node", F.col("label.rank").alias("component"))
     smallest = classes.select("node", F.coalesce("doc_id", F.lit(LAST)).alias("own"))
     final = smallest.join(named, "node", "left").select("node", F.coalesce("component", "own").alias("component"))
+    final = materialize(final, "components")  # so that the last join deals both sides anew and a node with many copies can be split
     out = rows.join(final, "node", "left")
     component = F.when(F.col("component") == LAST, F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
