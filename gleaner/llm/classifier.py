@@ -113,14 +113,20 @@ class Vectors:
         return out
 
 
-def context_vectors(texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-    """Random indexing over the sample: for its most frequent words, the unit sum of their neighbours' index vectors."""
-    counts = Counter(w for t in texts for w in t)
+def context_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Random indexing over the sample: for its most frequent words, the unit sum of their neighbours' index vectors.
+
+    Texts are cut into words anew wherever they are read: lists of all words would take many times their size."""
+    counts: Counter = Counter()
+    for t in texts:
+        counts.update(_WORD.findall(t))
     kept = sorted((w for w, n in counts.items() if n > 2), key=lambda w: (-counts[w], w))[:VOCABULARY]
+    counts.clear()
     known = {w: i for i, w in enumerate(kept)}
     out = np.zeros((len(kept), DIM))
     vectors = Vectors()
-    for t in texts:
+    for text in texts:
+        t = _WORD.findall(text)
         for k in range(0, len(t), 1 << 15):
             part = t[max(0, k - REACH) : k + (1 << 15)]
             rows, ids = vectors.rows(part), np.array([known.get(w, -1) for w in part])
@@ -187,14 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         texts, y = [], []
         for b in batches:
-            texts += [[*_WORD.findall(t)] for t in b["text"]]
+            texts += b["text"]
             y += b["quality"]
         y = np.array(y, float)
         model: dict = {"prior": float((y.sum() + 1) / (len(y) + 2))}
         if 0 < y.sum() < len(y) and len(y) >= 10:
             known, context = context_vectors(texts)
             vectors = Vectors(known, context)
-            x = np.stack([vectors.pool(" ".join(t)) for t in texts])
+            x = np.stack([vectors.pool(t) for t in texts])
             model |= {"known": known, "context": context, "net": train(x, y)}
         yield {"model": [pickle.dumps(model)]}
 
