@@ -1,10 +1,13 @@
 """Native quality rules: repetition and symbol counts, and a hashed n-gram log-likelihood ratio.
 
-Unigrams and bigrams of words hash into `buckets` features. Two multinomials with add-one smoothing are counted over
-whole tables: the trusted target (documents that the labels call good and not toxic) and the raw corpus (all documents).
-A document's score is the mean over its features of log p_target - log p_raw; it is kept if the score reaches
-`threshold` and no base rule failed. Only DataFrame functions: one pass counts, one pass scores. The weights are one
-array of `buckets` integers (thousandths), a size that doesn't depend on the data.
+Unigrams and bigrams of words are told apart by 64-bit hashes, however many there are. Two multinomials with add-one
+smoothing over the distinct n-grams are counted over whole tables: the trusted target (documents that the labels call good
+and not toxic) and the raw corpus (all documents). A document's score is the mean over its n-grams of log p_target - log
+p_raw, in thousandths; it is kept if the score reaches the threshold and no base rule failed. Unless one is given, the
+threshold is set from all trusted documents that no base rule fails: the highest thousandth that `KEEP` of them reach. Only
+DataFrame functions. The counts are a table that texts are joined with by n-gram; n-grams seen once and never in a trusted
+document share one weight and aren't stored; of n-grams with 1/HOT of all occurrences there are at most HOT, which are
+broadcast, so that no task gets all occurrences of a common one.
 
 Defined results: null or empty text has no words, fails and scores 0; without trusted documents every ratio is 0, so the
 base rules decide; repeated rows each get their row; a document with a null id is never trusted; other columns are ignored.
@@ -12,13 +15,14 @@ base rules decide; repeated rows each get their row; a document with a null id i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, table
+from .common import id_text, materialize, table
 
-BUCKETS = 1 << 16
-THRESHOLD = -0.15
+#: Share of the trusted documents that the threshold keeps.
+KEEP = 0.999
+HOT = 1 << 14
 #: The separators of words, and the characters counted as symbols.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -29,10 +33,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
 
 
-def features(words: Column, hashes: Column, buckets: int) -> Column:
-    """Hashed unigrams and bigrams; hashes: of the words, in order."""
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    two = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
+def features(words: Column, hashes: Column, buckets: int | None = None) -> Column:
+    """Hashed unigrams and bigrams, folded into so many buckets if given; hashes: of the words, in order."""
+    fold = (lambda h: F.pmod(h, F.lit(buckets))) if buckets else lambda h: h
+    one = F.transform(hashes, lambda h: fold(F.xxhash64(h)))
+    two = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: fold(F.xxhash64(a, b)))
     return F.concat(one, two)
 
 
@@ -45,16 +50,42 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
 
 
-def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """log p_target - log p_raw of each bucket, in thousandths, so that sums are exact; zeros without trusted documents."""
+def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int, int, int]:
+    """key, raw, target of all n-grams but those seen once and never in a trusted document; occurrences in all and in trusted documents; distinct n-grams."""
     marked = docs.join(trusted.withColumn("trusted", F.lit(1)).hint("merge"), "doc_id", "left")  # ids grow with the corpus: never broadcast
-    each = hashed_words(marked).select("trusted", F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("bucket"))
-    counted = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").fillna(0, ["raw", "target"])
-    total = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
-    ratio = lambda x: F.log((x["target"] + 1) / (F.col("targets") + buckets)) - F.log((x["raw"] + 1) / (F.col("raws") + buckets))
-    milli = F.transform("all", lambda x: F.when(F.col("targets") == 0, 0).otherwise(F.round(1000 * ratio(x)).cast("int")))
-    return [int(x) for x in total.select(milli.alias("weights")).head()["weights"]]
+    each = hashed_words(marked).select("trusted", F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("key"))
+    seen = Observation()
+    counted = each.groupBy("key").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    counted = counted.observe(seen, F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.count("*").alias("distinct"))
+    counts = materialize(counted.filter((F.col("raw") > 1) | (F.col("target") > 0)), "ngrams")
+    return counts, seen.get["raws"] or 0, seen.get["targets"] or 0, buckets or seen.get["distinct"]
+
+
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int | None = None) -> DataFrame | None:
+    """doc_id, text_hash, ratio of each document with words; None without trusted documents."""
+    counts, raws, targets, distinct = ngram_counts(docs, trusted, buckets)
+    if not targets:
+        return None
+    log = F.log((F.col("target") + 1) / F.lit(float(targets + distinct))) - F.log((F.col("raw") + 1) / F.lit(float(raws + distinct)))
+    milli = F.round(1000 * log).cast("int").alias("milli")
+    once = counts.sparkSession.range(1).select(F.lit(1).alias("raw"), F.lit(0).alias("target")).select(milli).head()["milli"]
+    common = F.broadcast(counts.filter(F.col("raw") * HOT >= raws).select("key", milli))
+    each = hashed_words(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("key"))
+    rare = each.join(common, "key", "left_anti").join(counts.filter(F.col("raw") * HOT < raws).select("key", milli).hint("merge"), "key", "left")
+    both = [x.groupBy("doc_id", "text_hash").agg(F.sum(F.coalesce("milli", F.lit(once))).alias("total"), F.count("*").alias("n")) for x in (each.join(common, "key"), rare)]
+    return both[0].unionByName(both[1]).groupBy("doc_id", "text_hash").agg((F.sum("total") / (1000.0 * F.sum("n"))).alias("ratio"))
+
+
+def threshold_of(scored: DataFrame, trusted: DataFrame, keep: float = KEEP) -> float | None:
+    """The highest thousandth that a share `keep` of the trusted documents without a failed base rule reaches. One row per thousandth goes to the driver, some ten thousand at most."""
+    mine = scored.filter(~F.col("base_failed")).join(trusted.hint("merge"), "doc_id", "left_semi")
+    steps = mine.groupBy(F.floor(F.col("ratio") * 1000).alias("milli")).count().orderBy("milli").collect()
+    spare = int((1 - keep) * sum(r["count"] for r in steps) + 1e-9)
+    for r in steps:
+        spare -= r["count"]
+        if spare < 0:
+            return r["milli"] / 1000
+    return None
 
 
 def base_rules(df: DataFrame) -> DataFrame:
@@ -80,17 +111,21 @@ def base_rules(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, the four counts, base_failed, ratio (mean log-likelihood ratio) and kept."""
-    docs = id_text(df, id_col, text_col)
-    weights = F.split(F.lit(",".join(map(str, ratio_weights(docs, trusted_ids(labels), buckets)))), ",").cast("array<int>")  # folded to a constant
-    out = base_rules(hashed_words(docs)).withColumn("features", features(F.col("words"), F.col("hashes"), buckets))
-    total = F.aggregate("features", F.lit(0).cast("long"), lambda s, b: s + F.get(weights, b))
-    out = out.withColumn("ratio", F.when(F.size("features") == 0, 0.0).otherwise(total / (1000.0 * F.size("features"))))
-    # the last factor is always true and not deterministic: it keeps a later filter on kept from being pushed below, where
-    # every use of an array would be computed anew inside the lambdas
-    kept = ~F.col("base_failed") & (F.col("ratio") >= threshold) & (F.monotonically_increasing_id() >= 0)
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", kept.alias("kept"))
+def quality_rules(df: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, the four counts, base_failed, ratio (mean log-likelihood ratio) and kept. buckets: None keeps all n-grams apart; threshold: None sets it from the trusted documents."""
+    docs, trusted = id_text(df, id_col, text_col), trusted_ids(labels)
+    columns = ["doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = base_rules(hashed_words(docs)).select(*columns, F.xxhash64("text").alias("text_hash"))
+    score = ratios(docs, trusted, buckets)
+    if score is None:
+        out = out.withColumn("ratio", F.lit(0.0))
+    else:
+        score = score.withColumnsRenamed({"doc_id": "scored_id", "text_hash": "scored_hash"}).hint("merge")
+        out = out.join(score, F.col("doc_id").eqNullSafe(F.col("scored_id")) & (F.col("text_hash") == F.col("scored_hash")), "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+    out = materialize(out.drop("text_hash", "scored_id", "scored_hash"), "scored")
+    if threshold is None and score is not None:
+        threshold = threshold_of(out, trusted)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.lit(True) if threshold is None else F.col("ratio") >= threshold))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

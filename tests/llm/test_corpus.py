@@ -156,6 +156,15 @@ def test_rules_reject_odd_words(spark):
     assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in bad)
 
 
+def test_rules_keep_ngrams_apart(spark):
+    """1.6 million distinct n-grams of trusted documents don't hide those of 30 bad ones; of trusted ones a thousandth may go."""
+    good = spark.range(800).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), F.col("id"), F.lit("x"), i))).alias("text"))
+    bad = spark.createDataFrame([(1000 + i, " ".join(f"bad{i % 10}y{j}" for j in range(40))) for i in range(30)], "doc_id long, text string")
+    labels = spark.range(800).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(good.union(bad), labels).collect()}
+    assert len(kept) == 830 and all(kept[i] for i in range(800)) and not any(kept[i] for i in range(1000, 1030))
+
+
 def test_classifier(spark, odd, nothing):
     rnd = random.Random(4)
     rows = [(i, " ".join(rnd.choice(["river", "stone", "valley", "forest", "bridge"]) + rnd.choice("aeiou") for _ in range(40)) if i % 2 else " ".join("@@" + rnd.choice("xyzwv") * 3 for _ in range(40))) for i in range(400)]
