@@ -219,6 +219,18 @@ def _(e):
     return S.cosine_topk(e, e.filter("vec_id < 20"), None, 0.5).select("query_id", "vec_id", "score")
 
 
+@_q("cosine_topk_all", None, "embeddings")
+def _(e):
+    """cosine_topk over the whole query set, without SQL."""
+    return S.cosine_topk(e, e.filter("vec_id % 50 = 0"), 10)
+
+
+@_q("cross_references_all", None, "embeddings")
+def _(e):
+    """cross_references over the whole query set, without SQL."""
+    return S.cosine_topk(e, e.filter("vec_id % 50 = 0"), None, 0.5).select("query_id", "vec_id", "score")
+
+
 @_q("mean_pool_by_label", "SELECT label, place, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(0, 64)) AS place, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY ALL", "embeddings")
 def _(e):
     return mean_pool(e, "label", "embedding").select("label", F.posexplode("pooled").alias("place", "mean")).select("label", F.col("place").cast("long").alias("place"), F.round("mean", 6).alias("mean"))

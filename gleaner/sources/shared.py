@@ -5,16 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read again: its lineage ends here, and frames built on it don't compute it anew."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gleaner.shared.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("gleaner.shared.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read again: its lineage ends here, and frames built on it don't compute it anew."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

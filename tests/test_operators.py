@@ -152,3 +152,26 @@ def test_late_events(spark, tmp_path):
     q = I.late_safe_counts(stream).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["n"] for r in spark.table("late").collect()] == [2]
+
+
+def test_cosine_topk_takes_any_number_of_queries(spark):
+    """Blocks of three queries give what one block gives, and what pairs worked out in Python give."""
+    rows = [(i, [float(i % 7 + 1), float(i % 5), float(i % 3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.filter("vec_id % 4 = 0")
+    want = []
+    for q, x in rows[::4]:
+        near = sorted((-round(sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5), 6), v) for v, y in rows if v != q)
+        want += [(q, v, -s, k + 1) for k, (s, v) in enumerate(near[:5])]
+    for block in (3, 1000):
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in S.cosine_topk(df, asked, 5, block=block).collect()) == sorted((q, k, v, s) for q, v, s, k in want)
+
+
+def test_whole_query_set(spark):
+    """Every fiftieth vector asks, not the first five or twenty."""
+    from gleaner.plans import textual
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    got = textual.QUERIES["cosine_topk_all"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {r["vec_id"]: 10 for r in e.filter("vec_id % 50 = 0").collect()}
+    assert {r["query_id"] for r in textual.QUERIES["cross_references_all"](spark, "/root/testdata/sf0.001").collect()} - {r["vec_id"] for r in e.filter("vec_id % 50 = 0").collect()} == set()
