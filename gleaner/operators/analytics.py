@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.dates import quarter_key, quarter_ordinal
 from gleaner.functions.scores import phrase_weight, weighted_delta, weighted_score
+from gleaner.sources.shared import written
 
 
 def visible(prefix: str = "") -> Column:
@@ -47,11 +48,21 @@ def rank_history(dated: DataFrame, most: int) -> DataFrame:
     return ranked(yearly, ["year"], [F.desc("n"), F.asc("topic_id")], most)
 
 
-def neighbours_in_rank(used: DataFrame, most: int) -> DataFrame:
-    """Rank by usage with the topics above and below. The global order is taken over the first `most` rows only."""
-    top = used.orderBy(F.desc("usage"), F.desc("distinctiveness"), "name", "topic_id").limit(most)
-    w = Window.orderBy(F.desc("usage"), F.desc("distinctiveness"), "name", "topic_id")
-    return top.select("topic_id", F.row_number().over(w).alias("rank"), F.lag("topic_id").over(w).alias("above"), F.lead("topic_id").over(w).alias("below"))
+def neighbours_in_rank(used: DataFrame, most: int | None = None) -> DataFrame:
+    """Rank by usage with the topics above and below; `most` takes the first rows only, as they are. All rows are ranked in ranges of the order, whose sizes and edge rows (one row for each range) go over the boundaries."""
+    order = [F.desc("usage"), F.desc("distinctiveness"), F.asc("name"), F.asc("topic_id")]
+    if most is not None:
+        w = Window.orderBy(*order)
+        return used.orderBy(*order).limit(most).select("topic_id", F.row_number().over(w).alias("rank"), F.lag("topic_id").over(w).alias("above"), F.lead("topic_id").over(w).alias("below"))
+    rows = used.select("topic_id", "usage", "distinctiveness", "name").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = written(rows, "ranges")  # the ranges are sampled: read them again, don't draw them anew
+    w, all_of = Window.partitionBy("part").orderBy(*order), Window.partitionBy("part")
+    here = rows.withColumns({"at": F.row_number().over(w), "above": F.lag("topic_id").over(w), "below": F.lead("topic_id").over(w), "size": F.count("*").over(all_of)})
+    edges = here.groupBy("part").agg(F.count("*").alias("size"), F.max(F.when(F.col("at") == 1, F.col("topic_id"))).alias("first"), F.max(F.when(F.col("at") == F.col("size"), F.col("topic_id"))).alias("last"))
+    ranges = Window.orderBy("part")
+    edges = edges.select("part", (F.sum("size").over(ranges) - F.col("size")).alias("before"), F.lag("last").over(ranges).alias("last_before"), F.lead("first").over(ranges).alias("first_after"))
+    placed = here.join(F.broadcast(edges), "part")
+    return placed.select("topic_id", (F.col("before") + F.col("at")).alias("rank"), F.coalesce("above", "last_before").alias("above"), F.coalesce("below", "first_after").alias("below"))
 
 
 def sparkline(dated: DataFrame, episodes: DataFrame, topics: DataFrame) -> DataFrame:

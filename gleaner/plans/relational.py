@@ -19,10 +19,11 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def _q(name: str, sql: str):
+def _q(name: str, sql: str | None):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
-        ORACLE[name] = SQL + sql
+        if sql is not None:
+            ORACLE[name] = SQL + sql
         return f
 
     return add
@@ -59,6 +60,12 @@ def _(c):
     return A.neighbours_in_rank(c.used, 200)
 
 
+@_q("adjacent_topics_all", None)
+def _(c):
+    """All visible topics in rank, without SQL."""
+    return A.neighbours_in_rank(c.used.filter(A.visible()))
+
+
 @_q("topic_sparkline_dense", "SELECT t.topic_id, e.episode_id, count(d.chunk_id) AS n FROM (SELECT topic_id FROM used WHERE NOT hidden ORDER BY usage DESC, topic_id LIMIT 10) t CROSS JOIN episodes e LEFT JOIN dated d ON d.topic_id = t.topic_id AND d.episode_id = e.episode_id GROUP BY ALL")
 def _(c):
     top = c.used.filter(A.visible()).orderBy(F.desc("usage"), "topic_id").limit(10)

@@ -175,3 +175,20 @@ def test_whole_query_set(spark):
     got = textual.QUERIES["cosine_topk_all"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in got} == {r["vec_id"]: 10 for r in e.filter("vec_id % 50 = 0").collect()}
     assert {r["query_id"] for r in textual.QUERIES["cross_references_all"](spark, "/root/testdata/sf0.001").collect()} - {r["vec_id"] for r in e.filter("vec_id % 50 = 0").collect()} == set()
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_adjacent_topics_all(spark, sf):
+    """Every visible topic has its rank and neighbours, hidden ones have none; the order is worked out in Python."""
+    from gleaner.plans import relational
+    from gleaner.plans.roles import Corpus
+
+    rows = sorted((-r["usage"], -r["distinctiveness"], r["name"], r["topic_id"]) for r in Corpus(spark, sf).used.filter("NOT hidden").collect())
+    ids = [None, *(r[-1] for r in rows), None]
+    want = [(k, ids[k], ids[k - 1], ids[k + 1]) for k in range(1, len(ids) - 1)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else tables this small are one range
+    try:
+        got = sorted((r["rank"], r["topic_id"], r["above"], r["below"]) for r in relational.QUERIES["adjacent_topics_all"](spark, sf).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want and len(got) > (200 if sf.endswith("0.01") else 100)
