@@ -70,8 +70,8 @@ def pmi_pairs(docs: DataFrame, least: int = 5, most: int = 100, floor: float = 3
     return best(size)
 
 
-def phrase_lexicon(docs: DataFrame, least_docs: int = 3, floor: float = 1.5, most: int = 200, stop=X.STOPWORDS) -> DataFrame:
-    """Adjacent pairs by pmi * (1 + log2(support + 1)), gated and cut to the best: phrase, docs, support, quality."""
+def phrase_lexicon(docs: DataFrame, least_docs: int = 3, floor: float = 1.5, most: int | None = 200, stop=X.STOPWORDS) -> DataFrame:
+    """Adjacent pairs by pmi * (1 + log2(support + 1)), gated and cut to the best if most is given: phrase, docs, support, quality."""
     words = tokens(docs, stop)
     pairs = words.select("doc_id", F.explode(X.word_ngrams(F.col("words"), 2)).alias("phrase"))
     per = pairs.groupBy("phrase", "doc_id").agg(F.count("*").alias("n")).groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("n").alias("support")).filter(F.col("docs") >= least_docs)
@@ -81,7 +81,16 @@ def phrase_lexicon(docs: DataFrame, least_docs: int = 3, floor: float = 1.5, mos
     rows = split.join(df.toDF("a", "df_a"), "a").join(df.toDF("b", "df_b"), "b").crossJoin(F.broadcast(size))
     pmi = F.log(F.col("docs") * F.col("size") / (F.col("df_a") * F.col("df_b")))
     rows = rows.withColumn("quality", F.round(pmi * (1 + F.log2(F.col("support") + 1)), 6)).filter(F.col("quality") >= floor)
-    return rows.orderBy(F.desc("quality"), "phrase").limit(most).select("phrase", "docs", "support", "quality")
+    rows = rows if most is None else rows.orderBy(F.desc("quality"), "phrase").limit(most)
+    return rows.select("phrase", "docs", "support", "quality")
+
+
+def repeated_ngrams(docs: DataFrame, least_docs: int = 3, stop=X.STOPWORDS) -> DataFrame:
+    """Runs of two and three of the kept words of three letters or more, once per document, by count times documents: phrase, docs, support, quality."""
+    words = docs.select(F.filter(X.words_kept(F.col("text")), lambda w: (F.length(w) >= 3) & ~w.isin(*stop)).alias("words"))
+    runs = words.select(F.explode(F.array_distinct(F.concat(X.word_ngrams(F.col("words"), 2), X.word_ngrams(F.col("words"), 3)))).alias("phrase"))
+    rows = runs.groupBy("phrase").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_docs)
+    return rows.select("phrase", "docs", F.col("docs").alias("support"), (F.col("docs") * F.col("docs")).cast("double").alias("quality"))
 
 
 def improbable_phrases(docs: DataFrame, common: list[str], least: int = 3, stop=X.STOPWORDS) -> DataFrame:

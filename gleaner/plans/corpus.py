@@ -42,7 +42,7 @@ def candidates(rows: DataFrame, gazetteer: DataFrame | None = None, lexicon: Dat
     if gazetteer is not None:
         found.append(shaped(K.known_entities(rows, gazetteer), "known_entity", "name", "entity", F.lit(200)))
     if lexicon is not None:
-        hits = P.contained(rows, lexicon.select(F.col("phrase").alias("term")), 2).withColumnRenamed("term", "phrase")
+        hits = P.contained(rows, lexicon.select(F.col("phrase").alias("term")), 3).withColumnRenamed("term", "phrase")
         found.append(shaped(hits.join(F.broadcast(lexicon.select("phrase", "quality")), "phrase"), "phrase_lexicon", "phrase", "phrase", F.col("quality")))
     if mode:
         found.append(shaped(K.document_keyphrases(rows, mode), "keyphrase", "phrase", "concept", -F.col("score")))
@@ -94,11 +94,24 @@ def finalized(topics: DataFrame, links: DataFrame, rows: DataFrame, least_episod
     return kept.drop("reason").withColumn("reason", reason), links
 
 
+def gated_lexicon(rows: DataFrame, t: G.Tuning = G.DEFAULT, most: int = 200) -> DataFrame:
+    """phrase, docs, support, quality: adjacent pairs and repeated n-grams, of each slug the best; the best `most` of those that pass all gates."""
+    filled = rows.filter("text != ''")
+    size = filled.count()
+    least = 3 if size >= 10 else 2
+    pairs, runs = P.phrase_lexicon(filled, least, 1e-6, None), P.repeated_ngrams(filled, least)
+    both = pairs.withColumn("first", F.lit(1)).unionByName(runs.withColumn("first", F.lit(0))).filter(F.lit(size >= 2))
+    both = both.withColumn("phrase", X.normalize_term(F.col("phrase"))).withColumn("slug", X.slugify(F.col("phrase")))
+    both = both.filter((F.length("slug") >= 3) & ~G.is_noise(F.col("phrase"), t))
+    best = both.groupBy("slug").agg(F.max(F.struct("quality", "first", "docs", "support", "phrase")).alias("x")).select("x.phrase", "x.docs", "x.support", "x.quality")
+    passed = best.filter(G.phrase_reason(F.col("phrase"), F.col("docs"), F.col("support"), F.col("quality"), t).isNull())
+    return passed.orderBy(F.desc("quality"), F.desc("docs"), "phrase").limit(most)
+
+
 def build(docs: DataFrame, gazetteer: DataFrame | None = None, baseline: DataFrame | None = None, mode: str | None = None, t: G.Tuning = G.DEFAULT) -> Topics:
     """The whole way from documents (doc_id, text, episode_id) to topics."""
     rows = written(artifacts(docs), "artifacts")
-    lexicon = P.phrase_lexicon(rows)
-    lexicon = written(lexicon, "lexicon").filter(G.phrase_reason(F.col("phrase"), F.col("docs"), F.col("support"), F.col("quality"), t).isNull())
+    lexicon = written(gated_lexicon(rows, t), "lexicon")
     audit = written(decided(candidates(rows, gazetteer, lexicon, mode), t=t), "audit")
     baseline = baseline if baseline is not None else docs.sparkSession.createDataFrame([], "word string, rank int")
     topics = written(promoted(audit, rows, P.word_distinctiveness(rows, baseline), t), "topics")

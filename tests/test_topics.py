@@ -44,3 +44,18 @@ def test_sentences_and_eras(spark):
     assert got["May 2025"] == "May 2025 has 1 episode with 5 chunks."
     docs = spark.createDataFrame([(datetime.date(2025, 2, 1), "ai ai"), (datetime.date(2025, 5, 1), "ai")], "day date, text string")
     assert sorted((r["quarter"], r["hits"]) for r in C.era_markers(docs, "day", {"ai": "ai"}).collect()) == [("2025-Q1", 2), ("2025-Q2", 1)]
+
+
+def test_lexicon_gates_before_it_cuts(spark):
+    """A noise phrase of the best quality takes nobody's place, and a repeated three-word phrase becomes a candidate."""
+    from gleaner.functions import gates as G
+
+    noise = sorted(G.DEFAULT.starters, key=lambda w: (-len(w), w))[0]
+    texts = [f"{noise} quagmire{k}z {noise} zebrafish" for k in range(5)] + [f"solid state battery cell{k}q" for k in range(6)] + [f"other{k} text{k}" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert C.G.is_noise is G.is_noise and C.P.phrase_lexicon(docs, most=1).collect()[0]["phrase"] == f"{noise} zebrafish"
+    got = [r["phrase"] for r in C.gated_lexicon(docs, most=50).collect()]
+    assert "solid state battery" in got and not any(noise in p for p in got)
+    assert C.gated_lexicon(docs, most=1).count() == 1
+    found = C.candidates(docs, lexicon=C.gated_lexicon(docs)).filter("source = 'phrase_lexicon' AND raw = 'solid state battery'")
+    assert found.count() == 6
