@@ -142,10 +142,16 @@ def term_key(term: str) -> Column:
 
 
 def contained(docs: DataFrame, terms: DataFrame, longest: int = 4) -> DataFrame:
-    """doc_id, term of all terms that stand in a text between word boundaries; terms: term, of up to `longest` words.
-
-    The text's runs of words meet the terms in an equi-join, so no text is tried against every term."""
-    return text_keys(docs, longest).join(terms.select("term", term_key("term").alias("key")), "key").select("doc_id", "term").distinct()
+    """doc_id, term of all terms that stand in a text between word boundaries; terms: term, of any number of words.
+
+    The text's runs of up to `longest` words meet the terms in an equi-join, so no text is tried against every term; longer
+    terms meet by their first `longest` words, and only then are looked for in the text as a whole."""
+    keyed = terms.select("term", term_key("term").alias("whole")).withColumn("key", F.substring_index("whole", " ", longest))
+    met = text_keys(docs, longest).join(keyed, "key").withColumnRenamed("doc_id", "met_id")
+    texts = docs.select("doc_id", F.concat(F.lit(" "), term_key("text"), F.lit(" ")).alias("form"))
+    placed = met.join(texts, (F.col("met_id") == F.col("doc_id")) & (F.col("key") != F.col("whole")), "left")
+    whole = (F.col("key") == F.col("whole")) | F.contains("form", F.concat(F.lit(" "), "whole", F.lit(" ")))
+    return placed.filter(whole).select(F.col("met_id").alias("doc_id"), "term").distinct()
 
 
 def phrase_candidates(docs: DataFrame, starters: list[str], most: int = 8, stop=X.STOPWORDS) -> DataFrame:

@@ -192,3 +192,15 @@ def test_adjacent_topics_all(spark, sf):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == want and len(got) > (200 if sf.endswith("0.01") else 100)
+
+
+def test_contained_takes_long_terms(spark):
+    """Terms of five words and more are found, and only where all their words stand."""
+    from gleaner.operators import phrases as P
+
+    docs = spark.createDataFrame([(1, "So: one two, three four FIVE six seven."), (2, "one two three four fives six seven"), (3, "three four"), (4, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("One two three four five",), ("two three four five six seven",), ("three four",), ("one two three four",)], "term string")
+    got = sorted(map(tuple, P.contained(docs, terms).collect()))
+    assert got == [(1, "One two three four five"), (1, "one two three four"), (1, "three four"), (1, "two three four five six seven"), (2, "one two three four"), (2, "three four"), (3, "three four")]
+    gazetteer = spark.createDataFrame([("N", "one two three four five six", 1), ("N", "six", 2)], "name string, form string, place int")
+    assert sorted(map(tuple, K.known_entities(docs, gazetteer).select("doc_id", "name", "form").collect())) == [(1, "N", "one two three four five six"), (2, "N", "six")]
