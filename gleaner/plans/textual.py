@@ -76,6 +76,12 @@ def _(d):
     return d.select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
 
 
+@_q("slugify_all", None)
+def _(d):
+    """slugify over whole texts, without SQL."""
+    return d.select("doc_id", X.slugify(F.col("text")).alias("slug"))
+
+
 _SINGULAR = "CASE WHEN length(word) <= 4 OR word IN (" + ", ".join(f"'{w}'" for w in X.KEEP_S) + ") THEN word WHEN word LIKE '%ies' AND length(word) > 5 THEN left(word, -3) || 'y' WHEN regexp_matches(word, '(ses|xes|zes|ches|shes)$') THEN left(word, -2) WHEN word LIKE '%s' AND NOT regexp_matches(word, '(ss|us|is)$') THEN left(word, -1) ELSE word END"
 
 

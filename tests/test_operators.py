@@ -204,3 +204,16 @@ def test_contained_takes_long_terms(spark):
     assert got == [(1, "One two three four five"), (1, "one two three four"), (1, "three four"), (1, "two three four five six seven"), (2, "one two three four"), (2, "three four"), (3, "three four")]
     gazetteer = spark.createDataFrame([("N", "one two three four five six", 1), ("N", "six", 2)], "name string, form string, place int")
     assert sorted(map(tuple, K.known_entities(docs, gazetteer).select("doc_id", "name", "form").collect())) == [(1, "N", "one two three four five six"), (2, "N", "six")]
+
+
+def test_slugify_all(spark):
+    """What stands after 60 characters is part of the slug."""
+    import re
+
+    from gleaner.plans import textual
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["slug"] for r in textual.QUERIES["slugify_all"](spark, sf).collect()}
+    plain = [d for d, t in docs.items() if t and t.isascii() and len(t) > 80]
+    assert plain and all(got[d] == re.sub("[^a-z0-9]+", "-", docs[d].lower().replace("'", "")).strip("-") for d in plain)
