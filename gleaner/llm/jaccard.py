@@ -3,11 +3,14 @@
 Documents with equal shingle sets form one class. Each class puts its prefix, the rarest n - ceil(t n) + 1 shingles, into
 an index; the order comes from counts of all shingles in a fixed number of hash buckets, so rarity is a bounded table and
 the order is the same everywhere. Classes that share a prefix shingle form a block. Blocks are not expanded into all
-pairs: first each member meets a few neighbours in two orders of its block, verified pairs are linked and components
-formed; then only pairs between different components meet, and of these only pairs that pass the length filter, the
-positional filter and the suffix filter, which bounds the overlap by counts of shingles in 64 parts of the hash space.
-Every pair is verified once, on the whole texts. No pair that could join two components is left out, so components are
-those of all links.
+pairs. Each block has a centre, the least member by a hash that is the same in all blocks, so that the blocks of a group
+of near copies mostly agree on it; members meet their blocks' centres only, and verified pairs are linked. That is
+repeated, with another hash and between different components only, as long as it links anything. What could still join
+two components then meets pairwise, after the length filter, the positional filter and the suffix filter, which bounds the
+overlap by counts of shingles in 64 parts of the hash space. Every pair is verified once, on the whole sets. No pair that
+could join two components is left out, so components are those of all links.
+
+A shingle that stands in many of a few hundred neighbouring documents is spread by a salt, so that no task gets all its rows.
 
 Defined results: a document without words has no shingles and is its own component; rows with equal sets share a
 component; a null id never names a component unless all ids of it are null; repeated rows each get their row; other
@@ -28,57 +31,56 @@ from .common import arrow_rows, id_text, materialize, table
 from .components import connect
 from .shingles import shingle_set
 
-BUCKETS, PARTS, NEAR = 1 << 18, 64, 3
+BUCKETS, PARTS, CHUNK, COMMON = 1 << 18, 64, 512, 32
+#: Most rounds with centres before the rest meets pairwise.
+ROUNDS = 4
 LAST = (1 << 63) - 1
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
 
 
-def _needed(a, b):
+def needed(a, b):
     """Least overlap of sets of sizes a and b that are similar enough: o / (a + b - o) >= 3/4."""
-    return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
-
-
-def _suffix_counts(s: np.ndarray) -> bytes:
-    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
-    return counts.astype("<u4").tobytes()
+    return F.ceil((F.col(a) + F.col(b)) * NUMERATOR / (NUMERATOR + DENOMINATOR))
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n, node (hash of the set), parts (counts for the suffix filter); and rows bucket, hits with shingle counts."""
+    """A row per document: doc_id, n, node (hash of the set); and rows bucket, hits with shingle counts."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            out: dict = {"n": [], "node": [], "parts": []}
+            out: dict = {"n": [], "node": []}
             for text in b["text"]:
                 s = shingle_set(text)
                 np.add.at(total, (s >> np.uint64(46)).astype(np.int64), 1)
                 out["n"].append(len(s))
                 out["node"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                out["parts"].append(_suffix_counts(s) if len(s) else None)
             none = [None] * len(b["text"])
             yield {"doc_id": b["doc_id"], **out, "bucket": none, "hits": none}
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 65_536):
             own = at[lo : lo + 65_536]
             none = [None] * len(own)
-            yield {"doc_id": none, "n": none, "node": none, "parts": none, "bucket": own, "hits": total[own]}
+            yield {"doc_id": none, "n": none, "node": none, "bucket": own, "hits": total[own]}
 
-    return materialize(arrow_rows(docs, run, "doc_id long, n int, node binary, parts binary, bucket int, hits long"), "sets")
+    return materialize(arrow_rows(docs, run, "doc_id long, n int, node binary, bucket int, hits long"), "sets")
 
 
 def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """shingle, n, node, pos: the prefix of each set; copies that one task sees go in once."""
+    """shingle, salt, n, node, pos: the prefix of each set; copies that one task sees go in once.
+
+    A shingle of COMMON sets of one chunk is salted by the set; two of its rows stay without salt, so that a row of it
+    elsewhere still meets another set."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
-    schema = "shingle long, n int, node binary, pos int"
+    schema = "shingle long, salt int, n int, node binary, pos int"
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         counts, seen = shared.value, set()
         for b in batches:
-            for lo in range(0, len(b["text"]), 512):
+            for lo in range(0, len(b["text"]), CHUNK):
                 parts: list = []
-                for text in b["text"][lo : lo + 512]:
+                for text in b["text"][lo : lo + CHUNK]:
                     s = shingle_set(text)
                     if not len(s):
                         continue
@@ -92,26 +94,34 @@ def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     many = n - -(-NUMERATOR * n // DENOMINATOR) + 1
                     order = np.lexsort((s, counts[(s >> np.uint64(46)).astype(np.int64)]))[:many]
                     parts.append((s[order], n, node))
-                if parts:
-                    sizes = [len(p[0]) for p in parts]
-                    yield {"shingle": np.concatenate([p[0] for p in parts]).view(np.int64), "n": np.repeat([p[1] for p in parts], sizes), "node": [p[2] for p, k in zip(parts, sizes, strict=True) for _ in range(k)], "pos": np.concatenate([np.arange(k) for k in sizes])}
+                if not parts:
+                    continue
+                sizes = [len(p[0]) for p in parts]
+                shingle = np.concatenate([p[0] for p in parts])
+                order = np.argsort(shingle, kind="stable")
+                first = np.r_[True, np.diff(shingle[order]) != 0]
+                group = np.cumsum(first) - 1
+                rank = np.arange(len(order)) - np.flatnonzero(first)[group]
+                salted = np.zeros(len(order), bool)
+                salted[order] = (np.bincount(group)[group] >= COMMON) & (rank > 1)
+                salt = np.repeat([1 + int.from_bytes(p[2][:3], "little") % 65_521 for p in parts], sizes)
+                yield {"shingle": shingle.view(np.int64), "salt": np.where(salted, salt, 0), "n": np.repeat([p[1] for p in parts], sizes), "node": [p[2] for p, k in zip(parts, sizes, strict=True) for _ in range(k)], "pos": np.concatenate([np.arange(k) for k in sizes])}
 
     return arrow_rows(docs, run, schema)
 
 
 def blocks(index: DataFrame) -> DataFrame:
-    """The rows of shingles that two or more sets share; one pass over partitions sorted by shingle."""
+    """shingle, n, node, pos: the rows of shingles that two or more sets share; one pass over partitions sorted by shingle."""
     spark = index.sparkSession
-    spread = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle").sortWithinPartitions("shingle")
-    names = list(index.columns)
+    spread = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle", "salt").sortWithinPartitions("shingle", "salt")
+    names = ["shingle", "n", "node", "pos"]
 
     def shared(t: pa.Table) -> pa.Table:
-        key = t.column("shingle").to_numpy()
-        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-        t = t.filter(pa.array(np.bincount(group)[group] > 1))
-        t = t.group_by(names).aggregate([])  # copies that several tasks saw
-        key, where = np.unique(t.column("shingle").to_numpy(), return_inverse=True)
-        return t.filter(pa.array(np.bincount(where, minlength=len(key))[where] > 1)).select(names)
+        """Without copies that several tasks saw, and without shingles of one set but the salted, which are known to be shared."""
+        t = t.group_by([*names, "salt"]).aggregate([])
+        key = t.column("shingle").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + t.column("salt").to_numpy().astype(np.uint64)
+        key, where = np.unique(key, return_inverse=True)
+        return t.filter(pa.array((np.bincount(where, minlength=len(key))[where] > 1) | (t.column("salt").to_numpy() > 0))).select(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the rows of the shingle that the last batch ended with, if it may go on
@@ -130,79 +140,116 @@ def blocks(index: DataFrame) -> DataFrame:
             else:  # a long block goes out in parts, each with two sets that were out already; repeats in a block are harmless
                 out = shared(t)
                 yield from out.combine_chunks().to_batches()
-                held = out.slice(0, 2).combine_chunks() if out.num_rows else t.slice(0, 1).combine_chunks()
+                two = out.slice(0, 2)
+                held = (two.append_column("salt", pa.nulls(len(two), pa.int32()).fill_null(0)).select(t.column_names) if len(two) else t.slice(0, 1)).combine_chunks()
         if held is not None:
             yield from shared(held).combine_chunks().to_batches()
 
-    return materialize(spread.mapInArrow(run, spread.schema), "blocks")
+    return materialize(spread.mapInArrow(run, "shingle long, n int, node binary, pos int"), "blocks")
 
 
-def neighbours(rows: DataFrame, salt: int | None, near: int = NEAR) -> DataFrame:
-    """Pairs a < b of each block's members with the `near` next ones, by size or by a salted hash of the set."""
-    key = F.col("n") if salt is None else F.xxhash64("node", F.lit(salt))
-    spread = rows.withColumn("key", key.cast("long")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shingle").sortWithinPartitions("shingle", "key", "node")
+def members(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """node, doc_id, sorted (the set, 8 bytes a shingle) and parts (counts for the suffix filter) of the classes in blocks; each class's text is read once."""
+    asked = shared.select("node").distinct()
+    wanted = classes.join(asked, "node", "left_semi").select("node", F.col("doc_id").alias("own_id"))
+    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("doc_id", "node", "text")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        last: list = []
+        seen: set[bytes] = set()
         for b in batches:
-            rows = last + list(zip(b["shingle"], b["n"], b["pos"], b["node"], strict=True))
-            a, c = [], []
-            for i in range(len(last), len(rows)):
-                s, n, p, node = rows[i]
-                for j in range(i - 1, max(-1, i - 1 - near), -1):
-                    s2, n2, p2, node2 = rows[j]
-                    if s2 != s:
-                        break
-                    if node2 != node and 4 * min(n, n2) >= 3 * max(n, n2) and min(n - p, n2 - p2) >= _needed(n, n2):
-                        a.append(min(node, node2))
-                        c.append(max(node, node2))
-            last = rows[-near:]
-            yield {"a": a, "b": c}
-
-    return arrow_rows(spread.select("shingle", "n", "pos", "node"), run, "a binary, b binary")
-
-
-def overlap_bound(a: str, b: str):
-    """Most shingles that two sets can share: the sum over parts of the smaller count."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
-    """The pairs a, b whose texts' sets are similar enough. docs: doc_id, text; holders: doc_id, node. Only texts in pairs are read."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = holders.join(asked, "node", "left_semi").withColumnRenamed("doc_id", "own_id")
-    texts = materialize(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("node", "text"), "texts")
-    spread = texts.repartition(parts, "node")
-    one = pairs.join(spread.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    both = one.join(spread.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+            out: dict = {"doc_id": [], "node": [], "sorted": [], "parts": []}
+            for doc_id, node, text in zip(b["doc_id"], b["node"], b["text"], strict=True):
+                if node in seen:
+                    continue
+                s = shingle_set(text)
+                raw = s.tobytes()
+                if xxhash.xxh3_128_digest(raw) != node:
+                    continue  # another text with the same id
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(node)
+                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
+                for k, v in zip(out, (doc_id, node, raw, counts.astype(np.int32)), strict=True):
+                    out[k].append(v)
+            yield out
+
+    return materialize(arrow_rows(joined, run, "doc_id long, node binary, sorted binary, parts array<int>"), "members")
+
+
+def component(label: str = "label"):
+    """A number for the component of a label."""
+    return F.xxhash64(f"{label}.rank", f"{label}.node")
+
+
+def open_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """shingle, n, node, pos, comp: the rows of blocks that hold two components or more."""
+    labelled = shared.join(labels.select("node", component().alias("comp")), "node")
+    split = labelled.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("shingle")
+    return materialize(labelled.join(split, "shingle", "left_semi"), "open-blocks")
+
+
+def fits():
+    """The length filter and the positional filter on the rows a, b of one block."""
+    alike = 4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
+    return alike & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= needed("n_a", "n_b"))
+
+
+def with_centres(rows: DataFrame, salt: int) -> DataFrame:
+    """Distinct pairs a, b of each block's centre and its members of other components; the centre is the least by a hash of the set."""
+    least = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("order"), "node", "n", "pos", "comp")).alias("c")
+    centre = rows.groupBy("shingle").agg(least).select("shingle", F.col("c.node").alias("a"), *(F.col(f"c.{k}").alias(f"{k}_a") for k in ("n", "pos", "comp")))
+    centre = materialize(centre, "centres")  # so that a block with many members can be split in the join
+    met = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b")).join(centre, "shingle")
+    return met.filter((F.col("comp_a") != F.col("comp_b")) & fits()).select("a", "b").distinct()
+
+
+def all_across(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct pairs of one block and different components that pass all filters."""
+    rows = materialize(rows.join(known.select("node", "parts"), "node"), "open-blocks")
+    x, y = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "comp", "parts"))) for s in "ab")
+    bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
+    met = x.join(y, (x["shingle"] == y["shingle"]) & apart & fits() & (bound >= needed("n_a", "n_b")))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b, similar: pairs whose sets are compared whole."""
+    side = lambda k, c: known.select(F.col("node").alias(k), F.col("sorted").alias(c))
+    both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            kept: list[int] = []
-            known: dict[bytes, np.ndarray] = {}
-
-            def of(node: bytes, text: str) -> np.ndarray | None:
-                """The set, if it is the node's: where ids repeat, another text may have come along."""
-                if node not in known:
-                    if len(known) > 200:
-                        known.clear()
-                    s = shingle_set(text)
-                    if xxhash.xxh3_128_digest(s.tobytes()) != node:
-                        return None
-                    known[node] = s
-                return known[node]
-
-            for i in range(len(b["a"])):
-                s, t = of(b["b"][i], b["right"][i]), of(b["a"][i], b["left"][i])
-                if s is None or t is None:
-                    continue
-                same = len(np.intersect1d(s, t, assume_unique=True))
-                if DENOMINATOR * same >= NUMERATOR * (len(s) + len(t) - same):
-                    kept.append(i)
-            yield {"a": [b["a"][i] for i in kept], "b": [b["b"][i] for i in kept]}
-
-    return materialize(arrow_rows(both.select("a", "b", "left", "right"), run, "a binary, b binary"), "verified")
+            similar = []
+            for left, right in zip(b["left"], b["right"], strict=True):
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                similar.append(DENOMINATOR * same >= NUMERATOR * (len(x) + len(y) - same))
+            yield {"a": b["a"], "b": b["b"], "similar": similar}
+
+    return materialize(arrow_rows(both.select("a", "b", "left", "right"), run, "a binary, b binary, similar boolean"), "verified")
+
+
+def linked(shared: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels after all links between classes of the blocks."""
+    tested: DataFrame | None = None
+    both_ways = {"low": F.least("a", "b"), "high": F.greatest("a", "b")}
+    rows, salt, found, whole = open_blocks(shared, labels), 0, True, False
+    while not whole and not rows.isEmpty():
+        whole = not found or salt >= ROUNDS
+        pairs = all_across(rows, known) if whole else with_centres(rows, salt)
+        if tested is not None:
+            pairs = pairs.withColumns(both_ways).join(tested, ["low", "high"], "left_anti").select("a", "b")
+        done = verified(materialize(pairs, "pairs"), known)
+        links = done.filter("similar")
+        found = not links.isEmpty()
+        if found:
+            labels = connect(labels, links)
+            rows = open_blocks(rows.drop("comp"), labels)
+        missed = done.filter(~F.col("similar")).withColumns(both_ways).select("low", "high")  # those alike are in one component now
+        tested = missed if tested is None else tested.unionByName(missed)
+        salt += 1
+    return labels
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,70 +259,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = np.zeros(BUCKETS, np.int64)
     for r in described.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect():  # at most BUCKETS rows
         counts[r["bucket"]] = r["hits"]
-    rows = described.filter("bucket IS NULL").select("doc_id", "n", "node", "parts")
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parts").alias("parts"))
+    rows = described.filter("bucket IS NULL").select("doc_id", "n", "node")
+    classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     shared = blocks(prefix_index(docs, counts))
-    involved = shared.select("node").distinct()
-    known = materialize(classes.join(involved, "node", "left_semi"), "classes")
-    holders = known.select("doc_id", "node")
-    labels = known.select("node", F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), F.col("node").alias("node")).alias("label"))
-    near = neighbours(shared, None).union(neighbours(shared, 1)).distinct()
-    first = _filtered(near, known)
-    first = materialize(first, "pairs")
-    links = verified(first, docs, holders)
-    labels = connect(labels, links)
-    rest = materialize(_across(shared, labels, known).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest, docs, holders)
-    if not more.isEmpty():
-        labels = connect(labels, more.union(links))
-    named = labels.select("node", F.col("label.rank").alias("component"))
+    known = members(docs, classes, shared)
+    labels = known.select("node", F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), F.col("node").alias("node")).alias("label")).distinct()
+    named = linked(shared, known, labels).select("node", F.col("label.rank").alias("component"))
     smallest = classes.select("node", F.coalesce("doc_id", F.lit(LAST)).alias("own"))
     final = smallest.join(named, "node", "left").select("node", F.coalesce("component", "own").alias("component"))
     final = materialize(final, "components")  # so that the last join deals both sides anew and a node with many copies can be split
     out = rows.join(final, "node", "left")
-    component = F.when(F.col("component") == LAST, F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
-
-
-def _counts(df: DataFrame) -> DataFrame:
-    """parts as an array of ints."""
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            yield {"node": b["node"], "parts": [np.frombuffer(p, "<u4").astype(np.int32) for p in b["parts"]]}
-
-    return arrow_rows(df.select("node", "parts"), run, "node binary, parts array<int>")
-
-
-def _filtered(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs that pass the suffix filter."""
-    side = known.select("node", "n", "parts").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    named = lambda k: side.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("parts").alias(f"p_{k}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b")
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            if not b["a"]:
-                continue
-            x, y = (np.frombuffer(b"".join(b[k]), "<u4").reshape(-1, PARTS).astype(np.int64) for k in ("p_a", "p_b"))
-            kept = np.flatnonzero(np.minimum(x, y).sum(1) >= _needed(np.array(b["n_a"], np.int64), np.array(b["n_b"], np.int64)))
-            yield {"a": [b["a"][i] for i in kept], "b": [b["b"][i] for i in kept]}
-
-    return arrow_rows(both.select("a", "b", "n_a", "n_b", "p_a", "p_b"), run, "a binary, b binary")
-
-
-def _across(shared: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct pairs of one block and different components that pass all filters."""
-    labelled = shared.join(labels, "node")
-    split = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("shingle")
-    rows = materialize(labelled.join(split, "shingle", "left_semi").join(_counts(known), "node"), "open-blocks")
-    x = rows.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "label", "parts")))
-    y = rows.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label", "parts")))
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    fits = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
-    fits = fits & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
-    met = x.join(y, (x["shingle"] == y["shingle"]) & fits & (overlap_bound("parts_a", "parts_b") >= need))
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    component_id = F.when(F.col("component") == LAST, F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component_id.alias("component_id"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 import xxhash
 
 WORDS = 5
+#: Odd multipliers of a run's words, by place.
+_PLACES = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ** 3) & ((1 << 64) - 1) | 1) for k in range(64)]
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -28,5 +30,5 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     each = min(words, len(h))
     out = np.full(len(h) - each + 1, each, np.uint64)
     for k in range(each):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - each + 1 + k])
-    return np.unique(out)
+        out += h[k : len(h) - each + 1 + k] * _PLACES[k]
+    return np.unique(mix(out))
