@@ -4,11 +4,11 @@ Documents with equal shingle sets form one class. Each class puts its prefix, th
 an index; the order comes from counts of all shingles in a fixed number of hash buckets, so rarity is a bounded table and
 the order is the same everywhere. Classes that share a prefix shingle form a block. Blocks are not expanded into all
 pairs. Each block has a centre, the least member by a hash that is the same in all blocks, so that the blocks of a group
-of near copies mostly agree on it; members meet their blocks' centres only, and verified pairs are linked. That is
-repeated, with another hash and between different components only, as long as it links anything. What could still join
-two components then meets pairwise, after the length filter, the positional filter and the suffix filter, which bounds the
-overlap by counts of shingles in 64 parts of the hash space. Every pair is verified once, on the whole sets. No pair that
-could join two components is left out, so components are those of all links.
+of near copies mostly agree on it; members meet their blocks' centres only, and verified pairs are linked. A second
+round takes another hash and only different components. What could still join two components then meets pairwise. All
+pairs pass the length filter, the positional filter and the suffix filter, which bounds the overlap by counts of shingles
+in 64 parts of the hash space, before they are verified, once, on the whole sets. No pair that could join two components
+is left out, so components are those of all links.
 
 A shingle that stands in many of a few hundred neighbouring documents is spread by a salt, so that no task gets all its rows.
 
@@ -32,8 +32,8 @@ from .components import connect
 from .shingles import shingle_set
 
 BUCKETS, PARTS, CHUNK, COMMON = 1 << 18, 64, 512, 32
-#: Most rounds with centres before the rest meets pairwise.
-ROUNDS = 4
+#: Rounds with centres before the rest meets pairwise.
+CENTRES = 2
 LAST = (1 << 63) - 1
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
@@ -45,26 +45,28 @@ def needed(a, b):
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n, node (hash of the set); and rows bucket, hits with shingle counts."""
+    """A row per document: doc_id, n, node (hash of the set), parts (counts for the suffix filter); and rows bucket, hits with shingle counts."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            out: dict = {"n": [], "node": []}
+            out: dict = {"n": [], "node": [], "parts": []}
             for text in b["text"]:
                 s = shingle_set(text)
                 np.add.at(total, (s >> np.uint64(46)).astype(np.int64), 1)
+                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
                 out["n"].append(len(s))
                 out["node"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                out["parts"].append(counts.astype("<u4").tobytes() if len(s) else None)
             none = [None] * len(b["text"])
             yield {"doc_id": b["doc_id"], **out, "bucket": none, "hits": none}
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 65_536):
             own = at[lo : lo + 65_536]
             none = [None] * len(own)
-            yield {"doc_id": none, "n": none, "node": none, "bucket": own, "hits": total[own]}
+            yield {"doc_id": none, "n": none, "node": none, "parts": none, "bucket": own, "hits": total[own]}
 
-    return materialize(arrow_rows(docs, run, "doc_id long, n int, node binary, bucket int, hits long"), "sets")
+    return materialize(arrow_rows(docs, run, "doc_id long, n int, node binary, parts binary, bucket int, hits long"), "sets")
 
 
 def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -113,7 +115,7 @@ def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 def blocks(index: DataFrame) -> DataFrame:
     """shingle, n, node, pos: the rows of shingles that two or more sets share; one pass over partitions sorted by shingle."""
     spark = index.sparkSession
-    spread = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle", "salt").sortWithinPartitions("shingle", "salt")
+    spread = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle", "salt").sortWithinPartitions("shingle")
     names = ["shingle", "n", "node", "pos"]
 
     def shared(t: pa.Table) -> pa.Table:
@@ -148,42 +150,14 @@ def blocks(index: DataFrame) -> DataFrame:
     return materialize(spread.mapInArrow(run, "shingle long, n int, node binary, pos int"), "blocks")
 
 
-def members(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """node, doc_id, sorted (the set, 8 bytes a shingle) and parts (counts for the suffix filter) of the classes in blocks; each class's text is read once."""
-    asked = shared.select("node").distinct()
-    wanted = classes.join(asked, "node", "left_semi").select("node", F.col("doc_id").alias("own_id"))
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("doc_id", "node", "text")
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        seen: set[bytes] = set()
-        for b in batches:
-            out: dict = {"doc_id": [], "node": [], "sorted": [], "parts": []}
-            for doc_id, node, text in zip(b["doc_id"], b["node"], b["text"], strict=True):
-                if node in seen:
-                    continue
-                s = shingle_set(text)
-                raw = s.tobytes()
-                if xxhash.xxh3_128_digest(raw) != node:
-                    continue  # another text with the same id
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(node)
-                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
-                for k, v in zip(out, (doc_id, node, raw, counts.astype(np.int32)), strict=True):
-                    out[k].append(v)
-            yield out
-
-    return materialize(arrow_rows(joined, run, "doc_id long, node binary, sorted binary, parts array<int>"), "members")
-
-
 def component(label: str = "label"):
     """A number for the component of a label."""
     return F.xxhash64(f"{label}.rank", f"{label}.node")
 
 
-def open_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def open_blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """shingle, n, node, pos, comp: the rows of blocks that hold two components or more."""
-    labelled = shared.join(labels.select("node", component().alias("comp")), "node")
+    labelled = rows.select("shingle", "n", "node", "pos").join(labels.select("node", component().alias("comp")), "node")
     split = labelled.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("shingle")
     return materialize(labelled.join(split, "shingle", "left_semi"), "open-blocks")
 
@@ -205,7 +179,7 @@ def with_centres(rows: DataFrame, salt: int) -> DataFrame:
 
 def all_across(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Distinct pairs of one block and different components that pass all filters."""
-    rows = materialize(rows.join(known.select("node", "parts"), "node"), "open-blocks")
+    rows = materialize(rows.join(counted(known), "node"), "open-blocks")
     x, y = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "comp", "parts"))) for s in "ab")
     bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
@@ -213,10 +187,63 @@ def all_across(rows: DataFrame, known: DataFrame) -> DataFrame:
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """a, b, similar: pairs whose sets are compared whole."""
-    side = lambda k, c: known.select(F.col("node").alias(k), F.col("sorted").alias(c))
-    both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
+def counted(known: DataFrame) -> DataFrame:
+    """node and parts as an array of ints."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"node": b["node"], "parts": [np.frombuffer(p, "<u4").astype(np.int32) for p in b["parts"]]}
+
+    return arrow_rows(known.select("node", "parts"), run, "node binary, parts array<int>")
+
+
+def suffix_filtered(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b: pairs whose counts by part of the hash space allow the overlap they need."""
+    side = lambda k: known.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("parts").alias(f"p_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            if not b["a"]:
+                continue
+            x, y = (np.frombuffer(b"".join(b[k]), "<u4").reshape(-1, PARTS).astype(np.int64) for k in ("p_a", "p_b"))
+            n = np.array(b["n_a"], np.int64) + np.array(b["n_b"], np.int64)
+            kept = np.flatnonzero((NUMERATOR + DENOMINATOR) * np.minimum(x, y).sum(1) >= NUMERATOR * n)
+            yield {"a": [b["a"][i] for i in kept], "b": [b["b"][i] for i in kept]}
+
+    return arrow_rows(both.select("a", "b", "n_a", "n_b", "p_a", "p_b"), run, "a binary, b binary")
+
+
+def sets_of(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """node, sorted (the set, 8 bytes a shingle) of the classes in pairs; only their texts are read."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = known.join(asked, "node", "left_semi").select("node", F.col("doc_id").alias("own_id"))
+    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("node", "text")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        seen: set[bytes] = set()
+        for b in batches:
+            out: dict = {"node": [], "sorted": []}
+            for node, text in zip(b["node"], b["text"], strict=True):
+                if node in seen:
+                    continue
+                raw = shingle_set(text).tobytes()
+                if xxhash.xxh3_128_digest(raw) != node:
+                    continue  # another text with the same id
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(node)
+                out["node"].append(node)
+                out["sorted"].append(raw)
+            yield out
+
+    return materialize(arrow_rows(joined, run, "node binary, sorted binary"), "members")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b, similar: pairs whose sets are compared whole. a, which stands in many pairs, is joined first, so that its sets go out by b."""
+    sets = sets_of(pairs, docs, known)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sorted").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("sorted").alias("right")), "b")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -230,25 +257,29 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return materialize(arrow_rows(both.select("a", "b", "left", "right"), run, "a binary, b binary, similar boolean"), "verified")
 
 
-def linked(shared: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels after all links between classes of the blocks."""
-    tested: DataFrame | None = None
+def linked(shared: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """node, label: the component of each class in a block after all links; rank is the least id, LAST if all are null."""
+    labels = known.select("node", F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), F.col("node").alias("node")).alias("label"))
     both_ways = {"low": F.least("a", "b"), "high": F.greatest("a", "b")}
-    rows, salt, found, whole = open_blocks(shared, labels), 0, True, False
-    while not whole and not rows.isEmpty():
-        whole = not found or salt >= ROUNDS
-        pairs = all_across(rows, known) if whole else with_centres(rows, salt)
-        if tested is not None:
+    tested = docs.sparkSession.createDataFrame([], "low binary, high binary")
+    for turn in range(CENTRES + 1):
+        if not turn:
+            pairs = with_centres(shared.withColumn("comp", F.xxhash64("node")), turn)
+        else:
+            shared = open_blocks(shared, labels)
+            if shared.isEmpty():
+                break
+            pairs = with_centres(shared, turn) if turn < CENTRES else all_across(shared, known)
             pairs = pairs.withColumns(both_ways).join(tested, ["low", "high"], "left_anti").select("a", "b")
-        done = verified(materialize(pairs, "pairs"), known)
-        links = done.filter("similar")
-        found = not links.isEmpty()
-        if found:
-            labels = connect(labels, links)
-            rows = open_blocks(rows.drop("comp"), labels)
+        if turn < CENTRES:
+            pairs = suffix_filtered(pairs, known)
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        done = verified(pairs, docs, known)
+        labels = connect(labels, done.filter("similar"))
         missed = done.filter(~F.col("similar")).withColumns(both_ways).select("low", "high")  # those alike are in one component now
-        tested = missed if tested is None else tested.unionByName(missed)
-        salt += 1
+        tested = tested.unionByName(missed)
     return labels
 
 
@@ -259,12 +290,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = np.zeros(BUCKETS, np.int64)
     for r in described.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect():  # at most BUCKETS rows
         counts[r["bucket"]] = r["hits"]
-    rows = described.filter("bucket IS NULL").select("doc_id", "n", "node")
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    rows = described.filter("bucket IS NULL").select("doc_id", "n", "node", "parts")
+    classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parts").alias("parts"))
     shared = blocks(prefix_index(docs, counts))
-    known = members(docs, classes, shared)
-    labels = known.select("node", F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), F.col("node").alias("node")).alias("label")).distinct()
-    named = linked(shared, known, labels).select("node", F.col("label.rank").alias("component"))
+    known = materialize(classes.join(shared.select("node").distinct(), "node", "left_semi"), "classes")
+    named = linked(shared, docs, known).select("node", F.col("label.rank").alias("component"))
     smallest = classes.select("node", F.coalesce("doc_id", F.lit(LAST)).alias("own"))
     final = smallest.join(named, "node", "left").select("node", F.coalesce("component", "own").alias("component"))
     final = materialize(final, "components")  # so that the last join deals both sides anew and a node with many copies can be split

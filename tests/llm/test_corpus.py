@@ -269,7 +269,7 @@ def test_jaccard_near_group_meets_centres(spark, monkeypatch):
     """Pairs of a group of near copies grow with its members, not with their square; no member is lost."""
     met = []
     plain = jaccard.verified
-    monkeypatch.setattr(jaccard, "verified", lambda pairs, known: met.append(pairs.count()) or plain(pairs, known))
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, docs, known: met.append(pairs.count()) or plain(pairs, docs, known))
     for many in (150, 600):
         met.clear()
         rows = list(enumerate(near_copies(random.Random(8), many)))
