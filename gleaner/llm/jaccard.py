@@ -4,9 +4,9 @@ Documents with equal shingle sets form one class. Each class puts its prefix, th
 an index; the order comes from counts of all shingles in a fixed number of hash buckets, so rarity is a bounded table and
 the order is the same everywhere. Classes that share a prefix shingle form a block. Blocks are not expanded into all
 pairs. Each block has a centre, the least member by a hash that is the same in all blocks, so that the blocks of a group
-of near copies mostly agree on it; members meet their blocks' centres only, and verified pairs are linked. A second
-round takes another hash and only different components. What could still join two components then meets pairwise. All
-pairs pass the length filter, the positional filter and the suffix filter, which bounds the overlap by counts of shingles
+of near copies mostly agree on it; members meet their blocks' centres only, and verified pairs are linked. In a
+second round members meet four centres of other components, drawn anew in each block from its largest component. What
+could still join two components then meets pairwise, in the first block that a pair shares. All pairs pass the length filter, the positional filter and the suffix filter, which bounds the overlap by counts of shingles
 in 64 parts of the hash space, before they are verified, once, on the whole sets. No pair that could join two components
 is left out, so components are those of all links.
 
@@ -32,8 +32,8 @@ from .components import connect
 from .shingles import shingle_set
 
 BUCKETS, PARTS, CHUNK, COMMON = 1 << 18, 64, 512, 32
-#: Rounds with centres before the rest meets pairwise.
-CENTRES = 2
+#: Centres of a block in the second round; earlier shingles that a row carries in the last one.
+CENTRES, EARLIER = 4, 64
 LAST = (1 << 63) - 1
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
@@ -150,14 +150,11 @@ def blocks(index: DataFrame) -> DataFrame:
     return materialize(spread.mapInArrow(run, "shingle long, n int, node binary, pos int"), "blocks")
 
 
-def component(label: str = "label"):
-    """A number for the component of a label."""
-    return F.xxhash64(f"{label}.rank", f"{label}.node")
-
-
 def open_blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """shingle, n, node, pos, comp: the rows of blocks that hold two components or more."""
-    labelled = rows.select("shingle", "n", "node", "pos").join(labels.select("node", component().alias("comp")), "node")
+    """shingle, n, node, pos, comp, size: the rows of blocks that hold two components or more; size is the component's number of classes."""
+    sizes = materialize(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
+    own = labels.join(sizes, "label").select("node", F.xxhash64("label.rank", "label.node").alias("comp"), "size")
+    labelled = rows.select("shingle", "n", "node", "pos").join(own, "node")
     split = labelled.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("shingle")
     return materialize(labelled.join(split, "shingle", "left_semi"), "open-blocks")
 
@@ -168,22 +165,28 @@ def fits():
     return alike & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= needed("n_a", "n_b"))
 
 
-def with_centres(rows: DataFrame, salt: int) -> DataFrame:
-    """Distinct pairs a, b of each block's centre and its members of other components; the centre is the least by a hash of the set."""
-    least = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("order"), "node", "n", "pos", "comp")).alias("c")
-    centre = rows.groupBy("shingle").agg(least).select("shingle", F.col("c.node").alias("a"), *(F.col(f"c.{k}").alias(f"{k}_a") for k in ("n", "pos", "comp")))
-    centre = materialize(centre, "centres")  # so that a block with many members can be split in the join
-    met = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b")).join(centre, "shingle")
+def with_centres(rows: DataFrame, orders: list) -> DataFrame:
+    """Distinct pairs a, b of each block's centres, the least member by each of orders, and its members of other components."""
+    least = [F.min(F.struct(order.alias("order"), "node", "n", "pos", "comp")) for order in orders]
+    centres = rows.groupBy("shingle").agg(F.array(*least).alias("all")).select("shingle", F.explode("all").alias("c"))
+    centres = centres.select("shingle", F.col("c.node").alias("a"), *(F.col(f"c.{k}").alias(f"{k}_a") for k in ("n", "pos", "comp")))
+    centres = materialize(centres, "centres")  # so that a block with many members can be split in the join
+    met = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b")).join(centres, "shingle")
     return met.filter((F.col("comp_a") != F.col("comp_b")) & fits()).select("a", "b").distinct()
 
 
 def all_across(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct pairs of one block and different components that pass all filters."""
-    rows = materialize(rows.join(counted(known), "node"), "open-blocks")
-    x, y = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "comp", "parts"))) for s in "ab")
+    """Pairs of different components that pass all filters, each in the first block that they share.
+
+    A row carries the first EARLIER of its set's shingles before its own; a pair that has one in common was met there."""
+    own = rows.join(counted(known), "node").groupBy("node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.min("parts").alias("parts"), F.array_sort(F.collect_set(F.struct("pos", "shingle"))).alias("at"))  # as many as a prefix has
+    each = own.select("node", "n", "comp", "parts", "at", F.posexplode("at").alias("k", "x"))
+    each = each.select("node", "n", "comp", "parts", F.col("x.pos").alias("pos"), F.col("x.shingle").alias("shingle"), F.transform(F.slice("at", 1, F.least("k", F.lit(EARLIER))), lambda e: e["shingle"]).alias("earlier"))
+    each = materialize(each, "open-blocks")
+    x, y = (each.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "comp", "parts", "earlier"))) for s in "ab")
     bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
-    met = x.join(y, (x["shingle"] == y["shingle"]) & apart & fits() & (bound >= needed("n_a", "n_b")))
+    met = x.join(y, (x["shingle"] == y["shingle"]) & apart & fits() & ~F.arrays_overlap("earlier_a", "earlier_b") & (bound >= needed("n_a", "n_b")))
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -262,16 +265,17 @@ def linked(shared: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     labels = known.select("node", F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), F.col("node").alias("node")).alias("label"))
     both_ways = {"low": F.least("a", "b"), "high": F.greatest("a", "b")}
     tested = docs.sparkSession.createDataFrame([], "low binary, high binary")
-    for turn in range(CENTRES + 1):
-        if not turn:
-            pairs = with_centres(shared.withColumn("comp", F.xxhash64("node")), turn)
+    for turn in ("one centre", "more centres", "all"):
+        if turn == "one centre":
+            pairs = with_centres(shared.withColumn("comp", F.xxhash64("node")), [F.xxhash64("node")])
         else:
             shared = open_blocks(shared, labels)
             if shared.isEmpty():
                 break
-            pairs = with_centres(shared, turn) if turn < CENTRES else all_across(shared, known)
+            orders = [F.struct(-F.col("size"), F.xxhash64("node", "shingle", F.lit(k))) for k in range(CENTRES)]
+            pairs = with_centres(shared, orders) if turn == "more centres" else all_across(shared, known)
             pairs = pairs.withColumns(both_ways).join(tested, ["low", "high"], "left_anti").select("a", "b")
-        if turn < CENTRES:
+        if turn != "all":
             pairs = suffix_filtered(pairs, known)
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
