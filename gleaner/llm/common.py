@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java and Python pattern of a word: a maximal run of anything but ASCII white space.
@@ -49,6 +49,11 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def text_hash(text_col: str) -> Column:
+    """64-bit hash of a text; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def arrow_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, flush: int = 4096) -> DataFrame:
     """mapInArrow over lists of columns: fn gets {column: list} per batch and yields {column: list}."""
     spark_schema = df.sparkSession.createDataFrame([], schema).schema

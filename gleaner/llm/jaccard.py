@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_text, materialize, table
+from .common import arrow_rows, id_text, materialize, table, text_hash
 from .components import connect
 from .shingles import shingle_set
 
@@ -45,12 +45,12 @@ def needed(a, b):
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n, node (hash of the set), parts (counts for the suffix filter); and rows bucket, hits with shingle counts."""
+    """A row per document: doc_id, text_hash, n, node (hash of the set), parts (counts for the suffix filter); and rows bucket, hits with shingle counts."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            out: dict = {"n": [], "node": [], "parts": []}
+            out: dict = {"text_hash": b["text_hash"], "n": [], "node": [], "parts": []}
             for text in b["text"]:
                 s = shingle_set(text)
                 np.add.at(total, (s >> np.uint64(46)).astype(np.int64), 1)
@@ -64,9 +64,9 @@ def describe(docs: DataFrame) -> DataFrame:
         for lo in range(0, len(at), 65_536):
             own = at[lo : lo + 65_536]
             none = [None] * len(own)
-            yield {"doc_id": none, "n": none, "node": none, "parts": none, "bucket": own, "hits": total[own]}
+            yield {"doc_id": none, "text_hash": none, "n": none, "node": none, "parts": none, "bucket": own, "hits": total[own]}
 
-    return materialize(arrow_rows(docs, run, "doc_id long, n int, node binary, parts binary, bucket int, hits long"), "sets")
+    return materialize(arrow_rows(docs.withColumn("text_hash", text_hash("text")), run, "doc_id long, text_hash long, n int, node binary, parts binary, bucket int, hits long"), "sets")
 
 
 def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -288,23 +288,24 @@ def linked(shared: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+    """doc_id, n_shingles, component_id, text_hash (which tells rows that share an id apart), leader (whether the row is of the class and id that name the component), node (hash of the set, null without words)."""
     docs = id_text(df, id_col, text_col)
     described = describe(docs)
     counts = np.zeros(BUCKETS, np.int64)
     for r in described.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect():  # at most BUCKETS rows
         counts[r["bucket"]] = r["hits"]
-    rows = described.filter("bucket IS NULL").select("doc_id", "n", "node", "parts")
+    rows = described.filter("bucket IS NULL").select("doc_id", "text_hash", "n", "node", "parts")
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parts").alias("parts"))
     shared = blocks(prefix_index(docs, counts))
     known = materialize(classes.join(shared.select("node").distinct(), "node", "left_semi"), "classes")
-    named = linked(shared, docs, known).select("node", F.col("label.rank").alias("component"))
+    named = linked(shared, docs, known).select("node", F.col("label.rank").alias("component"), (F.col("node") == F.col("label.node")).alias("leads"))
     smallest = classes.select("node", F.coalesce("doc_id", F.lit(LAST)).alias("own"))
-    final = smallest.join(named, "node", "left").select("node", F.coalesce("component", "own").alias("component"))
+    final = smallest.join(named, "node", "left").select("node", F.coalesce("component", "own").alias("component"), F.coalesce("leads", F.lit(True)).alias("leads"))
     final = materialize(final, "components")  # so that the last join deals both sides anew and a node with many copies can be split
     out = rows.join(final, "node", "left")
     component_id = F.when(F.col("component") == LAST, F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component_id.alias("component_id"))
+    leader = F.coalesce(F.col("leads") & F.coalesce("doc_id", F.lit(LAST)).eqNullSafe(F.col("component")), F.lit(True))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component_id.alias("component_id"), "text_hash", leader.alias("leader"), "node")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """Native quality rules: repetition and symbol counts, and a hashed n-gram log-likelihood ratio.
 
-Unigrams and bigrams of words are told apart by 64-bit hashes, however many there are. Two multinomials with add-one
-smoothing over the distinct n-grams are counted over whole tables: the trusted target (documents that the labels call good
-and not toxic) and the raw corpus (all documents). A document's score is the mean over its n-grams of log p_target - log
-p_raw, in thousandths; it is kept if the score reaches the threshold and no base rule failed. Unless one is given, the
-threshold is set from all trusted documents that no base rule fails: the highest thousandth that `KEEP` of them reach. Only
-DataFrame functions. The counts are a table that texts are joined with by n-gram; n-grams seen once and never in a trusted
-document share one weight and aren't stored; of n-grams with 1/HOT of all occurrences there are at most HOT, which are
-broadcast, so that no task gets all occurrences of a common one.
+Unigrams and bigrams of words are hashed into BUCKETS buckets. Two multinomials with add-one smoothing over the buckets are
+counted over whole tables: the trusted target (documents that the labels call good and not toxic) and the raw corpus (all
+documents). A document's score is the mean over its n-grams of log p_target - log p_raw, in thousandths; it is kept if the
+score reaches the threshold and no base rule failed. Unless one is given, the threshold is set from all trusted documents
+that no base rule fails: the highest thousandth that `KEEP` of them reach; so it follows the load of the buckets as the
+corpus grows. Only DataFrame functions.
+
+Weights are a table of BUCKETS / BLOCK rows whatever the corpus, so it is broadcast and texts aren't shuffled to be scored.
+Counts are combined before their shuffle. Trusted ids are broadcast up to SMALL of them, else both sides are sorted and
+merged; the result is the same. With buckets=None n-grams are told apart by their 64-bit hashes instead, and texts are joined
+with the table of n-grams; n-grams seen once and never in a trusted document share one weight and aren't stored, and those
+with 1/HOT of all occurrences (at most HOT) are broadcast, so that no task gets all occurrences of a common one.
 
 Defined results: null or empty text has no words, fails and scores 0; without trusted documents every ratio is 0, so the
 base rules decide; repeated rows each get their row; a document with a null id is never trusted; other columns are ignored.
@@ -23,6 +27,10 @@ from .common import id_text, materialize, table
 #: Share of the trusted documents that the threshold keeps.
 KEEP = 0.999
 HOT = 1 << 14
+#: Buckets of n-grams, and how many of them one row of the weights holds.
+BUCKETS, BLOCK = 1 << 22, 64
+#: Most trusted ids (8 bytes each) that are broadcast.
+SMALL = 4_000_000
 #: The separators of words, and the characters counted as symbols.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -35,7 +43,7 @@ def words_of(text: Column) -> Column:
 
 def features(words: Column, hashes: Column, buckets: int | None = None) -> Column:
     """Hashed unigrams and bigrams, folded into so many buckets if given; hashes: of the words, in order."""
-    fold = (lambda h: F.pmod(h, F.lit(buckets))) if buckets else lambda h: h
+    fold = (lambda h: F.pmod(h, F.lit(buckets)).cast("int")) if buckets else lambda h: h
     one = F.transform(hashes, lambda h: fold(F.xxhash64(h)))
     two = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: fold(F.xxhash64(a, b)))
     return F.concat(one, two)
@@ -50,27 +58,63 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int, int, int]:
+def ngram_counts(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, int, int, int]:
     """key, raw, target of all n-grams but those seen once and never in a trusted document; occurrences in all and in trusted documents; distinct n-grams."""
-    marked = docs.join(trusted.withColumn("trusted", F.lit(1)).hint("merge"), "doc_id", "left")  # ids grow with the corpus: never broadcast
-    each = hashed_words(marked).select("trusted", F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("key"))
+    each = hashed_words(marked(docs, trusted)).select("trusted", F.explode(features(F.col("words"), F.col("hashes"))).alias("key"))
     seen = Observation()
     counted = each.groupBy("key").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     counted = counted.observe(seen, F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.count("*").alias("distinct"))
     counts = materialize(counted.filter((F.col("raw") > 1) | (F.col("target") > 0)), "ngrams")
-    return counts, seen.get["raws"] or 0, seen.get["targets"] or 0, buckets or seen.get["distinct"]
+    return counts, seen.get["raws"] or 0, seen.get["targets"] or 0, seen.get["distinct"]
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int | None = None) -> DataFrame | None:
-    """doc_id, text_hash, ratio of each document with words; None without trusted documents."""
-    counts, raws, targets, distinct = ngram_counts(docs, trusted, buckets)
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """docs with a column trusted: 1 or null."""
+    small = trusted.limit(SMALL + 1).count() <= SMALL
+    return docs.join(trusted.withColumn("trusted", F.lit(1)).hint("broadcast" if small else "merge"), "doc_id", "left")
+
+
+def log_ratio(raws: float, targets: float, distinct: int):
+    """Thousandths of log p_target - log p_raw of the columns raw and target."""
+    log = F.log((F.col("target") + 1) / F.lit(float(targets + distinct))) - F.log((F.col("raw") + 1) / F.lit(float(raws + distinct)))
+    return F.round(1000 * log).cast("int").alias("milli")
+
+
+def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame | None:
+    """block, weights: the thousandths of BLOCK neighbouring buckets a row; None without words in trusted documents."""
+    each = hashed_words(marked(docs, trusted)).select(F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("key"), "trusted")
+    counted = each.groupBy("key").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+    none = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("key"), *(F.lit(0).cast("long").alias(c) for c in ("raw", "target")))
+    counts = materialize(counted.unionByName(none), "buckets")
+    raws, targets = counts.agg(F.sum("raw"), F.sum("target")).head()
     if not targets:
         return None
-    log = F.log((F.col("target") + 1) / F.lit(float(targets + distinct))) - F.log((F.col("raw") + 1) / F.lit(float(raws + distinct)))
-    milli = F.round(1000 * log).cast("int").alias("milli")
+    dense = counts.groupBy("key").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).select("key", log_ratio(raws, targets, buckets))
+    placed = F.array_sort(F.collect_list(F.struct("key", "milli")))  # BLOCK of them
+    table = dense.groupBy(F.floor(F.col("key") / BLOCK).cast("int").alias("block")).agg(F.transform(placed, lambda x: x["milli"]).alias("weights"))
+    return materialize(table, "weights")
+
+
+def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame | None:
+    """doc_id, text_hash, ratio of each document with words; None without words in trusted documents."""
+    weights = bucket_weights(docs, trusted, buckets)
+    if weights is None:
+        return None
+    each = hashed_words(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("key"))
+    each = each.withColumn("block", F.floor(F.col("key") / BLOCK).cast("int")).join(F.broadcast(weights), "block")
+    weight = F.get("weights", F.pmod("key", F.lit(BLOCK)))
+    return each.groupBy("doc_id", "text_hash").agg((F.sum(weight) / (1000.0 * F.count("*"))).alias("ratio"))
+
+
+def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
+    """doc_id, text_hash, ratio of each document with words, all n-grams apart; None without words in trusted documents."""
+    counts, raws, targets, distinct = ngram_counts(docs, trusted)
+    if not targets:
+        return None
+    milli = log_ratio(raws, targets, distinct)
     once = counts.sparkSession.range(1).select(F.lit(1).alias("raw"), F.lit(0).alias("target")).select(milli).head()["milli"]
     common = F.broadcast(counts.filter(F.col("raw") * HOT >= raws).select("key", milli))
-    each = hashed_words(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("key"))
+    each = hashed_words(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(features(F.col("words"), F.col("hashes"))).alias("key"))
     rare = each.join(common, "key", "left_anti").join(counts.filter(F.col("raw") * HOT < raws).select("key", milli).hint("merge"), "key", "left")
     both = [x.groupBy("doc_id", "text_hash").agg(F.sum(F.coalesce("milli", F.lit(once))).alias("total"), F.count("*").alias("n")) for x in (each.join(common, "key"), rare)]
     return both[0].unionByName(both[1]).groupBy("doc_id", "text_hash").agg((F.sum("total") / (1000.0 * F.sum("n"))).alias("ratio"))
@@ -111,18 +155,18 @@ def base_rules(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, the four counts, base_failed, ratio (mean log-likelihood ratio) and kept. buckets: None keeps all n-grams apart; threshold: None sets it from the trusted documents."""
-    docs, trusted = id_text(df, id_col, text_col), trusted_ids(labels)
+def quality_rules(df: DataFrame, labels: DataFrame, buckets: int | None = BUCKETS, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, the four counts, base_failed, ratio (mean log-likelihood ratio), text_hash (which tells rows that share an id apart) and kept. buckets=None keeps all n-grams apart; threshold: None sets it from the trusted documents."""
+    docs, trusted = id_text(df, id_col, text_col), materialize(trusted_ids(labels), "trusted")
     columns = ["doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     out = base_rules(hashed_words(docs)).select(*columns, F.xxhash64("text").alias("text_hash"))
-    score = ratios(docs, trusted, buckets)
+    score = bucket_ratios(docs, trusted, buckets) if buckets else ratios(docs, trusted)
     if score is None:
         out = out.withColumn("ratio", F.lit(0.0))
     else:
-        score = score.withColumnsRenamed({"doc_id": "scored_id", "text_hash": "scored_hash"}).hint("merge")
+        score = materialize(score, "ratios").withColumnsRenamed({"doc_id": "scored_id", "text_hash": "scored_hash"}).hint("merge")
         out = out.join(score, F.col("doc_id").eqNullSafe(F.col("scored_id")) & (F.col("text_hash") == F.col("scored_hash")), "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
-    out = materialize(out.drop("text_hash", "scored_id", "scored_hash"), "scored")
+    out = materialize(out.select(*[c for c in out.columns if c not in ("text_hash", "scored_id", "scored_hash")], "text_hash"), "scored")
     if threshold is None and score is not None:
         threshold = threshold_of(out, trusted)
     return out.withColumn("kept", ~F.col("base_failed") & (F.lit(True) if threshold is None else F.col("ratio") >= threshold))
