@@ -3,8 +3,13 @@
 Each stage reads all that the one before kept; every stage but the last returns the columns of documents. Labels say
 which of the kept documents are trusted; documents without labels are judged like all others.
 
-Defined results: documents with a null id have no decision to join with and are dropped by the first stage; of repeated
-rows of one id the decisions are joined once; texts of any length go through whole; an empty table stays empty.
+A decision belongs to a row, told by its id and its text; so rows that share an id are judged apart, and rows without an
+id are judged like all others.
+
+Defined results: null ids stay null and are kept where their text is; rows that repeat id and text are kept or dropped
+together by the first two stages, and the near-duplicate stage keeps one of them (other columns are those of the first that
+Spark meets); rows without words are near duplicates of nothing; texts of any length go through whole; columns beyond
+those of documents stay, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,24 +27,31 @@ from gleaner.llm.quality_rules import quality_rules
 from gleaner.llm.suffixes import strip_repeats
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is in ids, with their own columns."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _decided(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose id and text are in rows (doc_id, text_hash), with their own columns; rows of one id and text are alike."""
+    keys = rows.select(F.col("doc_id").alias("decided_id"), F.col("text_hash").alias("decided_hash")).distinct()
+    own = docs["doc_id"].cast("long").eqNullSafe(keys["decided_id"])
+    return docs.join(keys, own & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["decided_hash"]), "left_semi")
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality classifier predicts to be good."""
-    return _only(docs, classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    return _decided(docs, classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rules and the likelihood ratio."""
-    return _only(docs, quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept"))
+    return _decided(docs, quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id."""
-    return _only(docs, jaccard_components(docs).filter("doc_id = component_id"))
+    """Keeps one document of each group of near duplicates: of those with the smallest id that with the least hash of its text."""
+    leaders = jaccard_components(docs).filter("leader")
+    groups = leaders.filter("node IS NOT NULL").groupBy("doc_id", "node").agg(F.min("text_hash").alias("text_hash"))
+    kept = _decided(docs, groups).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64("text").alias("hash"))
+    one = kept.dropDuplicates(["key", "hash"]).select("row.*")
+    wordless = leaders.filter("node IS NULL")  # linked with nothing, so all of them stay
+    return one.unionByName(_decided(docs, wordless))
 
 
 def stripped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
