@@ -39,7 +39,7 @@ def components(texts):
 
 
 def test_jaccard(odd, texts):
-    assert sorted(tuple(r) for r in jaccard.jaccard_components(odd).collect()) == components(texts)
+    assert sorted(tuple(r)[:3] for r in jaccard.jaccard_components(odd).collect()) == components(texts)
 
 
 def test_jaccard_chains(spark):
@@ -53,7 +53,7 @@ def test_jaccard_chains(spark):
             words[rnd.randrange(80)] = f"n{chain}x{step}"
             rows.append((len(rows), " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert sorted(tuple(r) for r in jaccard.jaccard_components(df).collect()) == components(rows)
+    assert sorted(tuple(r)[:3] for r in jaccard.jaccard_components(df).collect()) == components(rows)
 
 
 def test_jaccard_null_ids(spark):
@@ -274,5 +274,5 @@ def test_jaccard_near_group_meets_centres(spark, edits, monkeypatch):
     monkeypatch.setattr(jaccard, "verified", lambda pairs, docs, known: met.append(pairs.count()) or plain(pairs, docs, known))
     rows = list(enumerate(near_copies(random.Random(8), 500, edits)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(tuple(r) for r in jaccard.jaccard_components(df).collect()) == components(rows)
+    assert sorted(tuple(r)[:3] for r in jaccard.jaccard_components(df).collect()) == components(rows)
     assert sum(met) <= 10 * edits * len(rows), met
