@@ -19,6 +19,8 @@ base rules decide; repeated rows each get their row; a document with a null id i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ from .common import id_text, materialize, table
 #: Share of the trusted documents that the threshold keeps.
 KEEP = 0.999
 HOT = 1 << 14
-#: Buckets of n-grams, and how many of them one row of the weights holds.
-BUCKETS, BLOCK = 1 << 22, 64
+#: Buckets of n-grams, and how many of them (2 ** SHIFT) one row of the weights holds.
+SHIFT = 5
+BUCKETS, BLOCK = 1 << 22, 1 << SHIFT
 #: Most trusted ids (8 bytes each) that are broadcast.
 SMALL = 4_000_000
 #: The separators of words, and the characters counted as symbols.
@@ -41,17 +44,22 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
 
 
-def features(words: Column, hashes: Column, buckets: int | None = None) -> Column:
-    """Hashed unigrams and bigrams, folded into so many buckets if given; hashes: of the words, in order."""
+def neighbours_hashed(hashes: Column, apart: int) -> Column:
+    """Hashes of each element with the one so many places on."""
+    many = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, many), F.slice(hashes, apart + 1, many), lambda a, b: F.xxhash64(a, b))
+
+
+def features(hashes: Column, pairs: Column, buckets: int | None = None) -> Column:
+    """Hashed unigrams and bigrams, folded into so many buckets if given; hashes: of the words, in order; pairs: of neighbouring words."""
     fold = (lambda h: F.pmod(h, F.lit(buckets)).cast("int")) if buckets else lambda h: h
-    one = F.transform(hashes, lambda h: fold(F.xxhash64(h)))
-    two = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: fold(F.xxhash64(a, b)))
-    return F.concat(one, two)
+    return F.concat(F.transform(hashes, lambda h: fold(F.xxhash64(h))), F.transform(pairs, fold) if buckets else pairs)
 
 
 def hashed_words(df: DataFrame) -> DataFrame:
     df = df.withColumn("words", words_of(F.col("text")))
-    return df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    return df.withColumn("pairs", neighbours_hashed(F.col("hashes"), 1))
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -60,7 +68,7 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, int, int, int]:
     """key, raw, target of all n-grams but those seen once and never in a trusted document; occurrences in all and in trusted documents; distinct n-grams."""
-    each = hashed_words(marked(docs, trusted)).select("trusted", F.explode(features(F.col("words"), F.col("hashes"))).alias("key"))
+    each = hashed_words(marked(docs, trusted)).select("trusted", F.explode(features(F.col("hashes"), F.col("pairs"))).alias("key"))
     seen = Observation()
     counted = each.groupBy("key").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     counted = counted.observe(seen, F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.count("*").alias("distinct"))
@@ -81,29 +89,30 @@ def log_ratio(raws: float, targets: float, distinct: int):
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame | None:
-    """block, weights: the thousandths of BLOCK neighbouring buckets a row; None without words in trusted documents."""
-    each = hashed_words(marked(docs, trusted)).select(F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("key"), "trusted")
-    counted = each.groupBy("key").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
-    none = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("key"), *(F.lit(0).cast("long").alias(c) for c in ("raw", "target")))
-    counts = materialize(counted.unionByName(none), "buckets")
+    """block, weights: the thousandths of BLOCK neighbouring buckets a row, of all blocks with n-grams; None without words in trusted documents."""
+    each = hashed_words(marked(docs, trusted)).select(F.explode(features(F.col("hashes"), F.col("pairs"), buckets)).alias("key"), "trusted")
+    counts = materialize(each.groupBy("key").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")), "buckets")
     raws, targets = counts.agg(F.sum("raw"), F.sum("target")).head()
     if not targets:
         return None
-    dense = counts.groupBy("key").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).select("key", log_ratio(raws, targets, buckets))
-    placed = F.array_sort(F.collect_list(F.struct("key", "milli")))  # BLOCK of them
-    table = dense.groupBy(F.floor(F.col("key") / BLOCK).cast("int").alias("block")).agg(F.transform(placed, lambda x: x["milli"]).alias("weights"))
-    return materialize(table, "weights")
+    none = F.lit(round(1000 * (math.log(raws + buckets) - math.log(targets + buckets))))  # of a bucket without n-grams
+    rated = counts.select(F.shiftright("key", SHIFT).alias("block"), F.col("key").bitwiseAND(F.lit(BLOCK - 1)).alias("place"), log_ratio(raws, targets, buckets))
+    dense = F.array(*(F.coalesce(F.max(F.when(F.col("place") == k, F.col("milli"))), none) for k in range(BLOCK)))
+    return materialize(rated.groupBy("block").agg(dense.alias("weights")), "weights")
 
 
-def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame | None:
-    """doc_id, text_hash, ratio of each document with words; None without words in trusted documents."""
-    weights = bucket_weights(docs, trusted, buckets)
-    if weights is None:
-        return None
-    each = hashed_words(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(features(F.col("words"), F.col("hashes"), buckets)).alias("key"))
-    each = each.withColumn("block", F.floor(F.col("key") / BLOCK).cast("int")).join(F.broadcast(weights), "block")
-    weight = F.get("weights", F.pmod("key", F.lit(BLOCK)))
-    return each.groupBy("doc_id", "text_hash").agg((F.sum(weight) / (1000.0 * F.count("*"))).alias("ratio"))
+def bucket_ratios(ruled: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
+    """ruled (doc_id, text_hash, other columns and hashes, pairs) with ratio for hashes and pairs; rows that repeat id and text come out as many times as they came in.
+
+    Texts are split and hashed once for the rules and the ratio; a row's n-grams meet the weights where it is read."""
+    names = [c for c in ruled.columns if c not in ("doc_id", "text_hash", "hashes", "pairs")]
+    each = ruled.select("doc_id", "text_hash", *names, F.explode_outer(F.concat(F.array(F.lit(-1)), features(F.col("hashes"), F.col("pairs"), buckets))).alias("key"))  # -1 opens a row
+    each = each.withColumn("block", F.shiftright("key", SHIFT)).join(F.broadcast(weights), "block", "left")
+    weight = F.get("weights", F.col("key").bitwiseAND(F.lit(BLOCK - 1)))
+    opens = F.count_if(F.col("key") == -1)
+    summed = each.groupBy("doc_id", "text_hash").agg(*(F.any_value(c).alias(c) for c in names), opens.alias("opens"), F.sum(F.when(F.col("key") >= 0, weight)).alias("total"), F.count("*").alias("n"))
+    ratio = F.coalesce(F.col("total") / (1000.0 * (F.col("n") - F.col("opens"))), F.lit(0.0)).alias("ratio")
+    return summed.select("doc_id", "text_hash", *names, ratio, F.explode(F.sequence(F.lit(1).cast("long"), F.col("opens"))).alias("copy")).drop("copy")
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
@@ -114,7 +123,7 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
     milli = log_ratio(raws, targets, distinct)
     once = counts.sparkSession.range(1).select(F.lit(1).alias("raw"), F.lit(0).alias("target")).select(milli).head()["milli"]
     common = F.broadcast(counts.filter(F.col("raw") * HOT >= raws).select("key", milli))
-    each = hashed_words(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(features(F.col("words"), F.col("hashes"))).alias("key"))
+    each = hashed_words(docs.withColumn("text_hash", F.xxhash64("text"))).select("doc_id", "text_hash", F.explode(features(F.col("hashes"), F.col("pairs"))).alias("key"))
     rare = each.join(common, "key", "left_anti").join(counts.filter(F.col("raw") * HOT < raws).select("key", milli).hint("merge"), "key", "left")
     both = [x.groupBy("doc_id", "text_hash").agg(F.sum(F.coalesce("milli", F.lit(once))).alias("total"), F.count("*").alias("n")) for x in (each.join(common, "key"), rare)]
     return both[0].unionByName(both[1]).groupBy("doc_id", "text_hash").agg((F.sum("total") / (1000.0 * F.sum("n"))).alias("ratio"))
@@ -133,12 +142,11 @@ def threshold_of(scored: DataFrame, trusted: DataFrame, keep: float = KEEP) -> f
 
 
 def base_rules(df: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to doc_id, text, words, hashes."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to doc_id, text, words, hashes, pairs."""
     text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
     df = df.withColumn("n_words", F.size("words")).withColumn("lines", lines)
-    long_enough = F.col("n_words") >= WINDOW
-    df = df.withColumn("windows", F.when(long_enough, F.transform(F.sequence(F.lit(1), F.col("n_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("fours", neighbours_hashed(F.col("pairs"), 2)).withColumn("windows", neighbours_hashed(F.col("fours"), 4))  # runs of WINDOW words
     df = df.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
     placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("placed", F.when(F.col("repeats"), placed))
@@ -158,16 +166,22 @@ def base_rules(df: DataFrame) -> DataFrame:
 def quality_rules(df: DataFrame, labels: DataFrame, buckets: int | None = BUCKETS, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, the four counts, base_failed, ratio (mean log-likelihood ratio), text_hash (which tells rows that share an id apart) and kept. buckets=None keeps all n-grams apart; threshold: None sets it from the trusted documents."""
     docs, trusted = id_text(df, id_col, text_col), materialize(trusted_ids(labels), "trusted")
-    columns = ["doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    out = base_rules(hashed_words(docs)).select(*columns, F.xxhash64("text").alias("text_hash"))
-    score = bucket_ratios(docs, trusted, buckets) if buckets else ratios(docs, trusted)
-    if score is None:
-        out = out.withColumn("ratio", F.lit(0.0))
+    columns = ["doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.xxhash64("text").alias("text_hash")]
+    ruled = base_rules(hashed_words(docs))
+    if buckets:
+        weights = bucket_weights(docs, trusted, buckets)
+        rated = weights is not None
+        out = bucket_ratios(ruled.select(*columns, "hashes", "pairs"), weights, buckets) if rated else ruled.select(*columns).withColumn("ratio", F.lit(0.0))
     else:
-        score = materialize(score, "ratios").withColumnsRenamed({"doc_id": "scored_id", "text_hash": "scored_hash"}).hint("merge")
-        out = out.join(score, F.col("doc_id").eqNullSafe(F.col("scored_id")) & (F.col("text_hash") == F.col("scored_hash")), "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
-    out = materialize(out.select(*[c for c in out.columns if c not in ("text_hash", "scored_id", "scored_hash")], "text_hash"), "scored")
-    if threshold is None and score is not None:
+        score = ratios(docs, trusted)
+        rated = score is not None
+        out = ruled.select(*columns)
+        if rated:
+            score = materialize(score, "ratios").withColumnsRenamed({"doc_id": "scored_id", "text_hash": "scored_hash"}).hint("merge")
+            out = out.join(score, F.col("doc_id").eqNullSafe(F.col("scored_id")) & (F.col("text_hash") == F.col("scored_hash")), "left")
+        out = out.withColumn("ratio", F.coalesce("ratio", F.lit(0.0)) if rated else F.lit(0.0))
+    out = materialize(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "text_hash"), "scored")
+    if threshold is None and rated:
         threshold = threshold_of(out, trusted)
     return out.withColumn("kept", ~F.col("base_failed") & (F.lit(True) if threshold is None else F.col("ratio") >= threshold))
 
