@@ -143,6 +143,36 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def escape_xml(text: Column) -> Column:
+    """The five entities of XML."""
+    return F.replace(F.replace(escape_html(text), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&apos;"))
+
+
+def escape_regex(text: Column) -> Column:
+    """The text as a pattern that matches just itself."""
+    return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def json_for_html(value: Column) -> Column:
+    """JSON of a struct, map or array that can't close a script element; in JSON a slash may be escaped."""
+    return F.replace(F.to_json(value), F.lit("</"), F.lit("<\\/"))
+
+
+def quoted_phrase(query: Column) -> Column:
+    """A search query as one phrase: its own quotes gone."""
+    return F.concat(F.lit('"'), F.trim(F.replace(query, F.lit('"'), F.lit(""))), F.lit('"'))
+
+
+def whole_number(text: Column, default: int) -> Column:
+    """The leading digits as a number; the default without them, for negative numbers and null."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"^\s*\+?(\d+)", 1), F.lit("")).try_cast("long"), F.lit(default).cast("long"))
+
+
+def topic_tokens(name: Column) -> Column:
+    """The distinct lower-case tokens of a topic's name."""
+    return F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != ""))
+
+
 def highlight(text: Column, word: str) -> Column:
     import re
 

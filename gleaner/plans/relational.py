@@ -260,6 +260,37 @@ def _(c):
     return c.dated.select("episode_id", "topic_id").distinct()
 
 
+@_q("topic_lookup", "SELECT topic_id, name, usage, support FROM used WHERE topic_id = 5 AND NOT hidden")
+def _(c):
+    return c.used.filter((F.col("topic_id") == 5) & A.visible()).select("topic_id", "name", "usage", "support")
+
+
+@_q("chunk_with_episode", "SELECT chunk_id, e.episode_id, e.published FROM chunks JOIN episodes e USING (episode_id) WHERE chunk_id = 7")
+def _(c):
+    return c.chunks.filter("chunk_id = 7").select("chunk_id", "episode_id").join(c.episodes, "episode_id").select("chunk_id", "episode_id", "published")
+
+
+@_q("chunks_of_episode", "SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS position FROM chunks WHERE episode_id = 199804")
+def _(c):
+    from pyspark.sql import Window
+
+    here = c.chunks.filter("episode_id = 199804")
+    return here.select("chunk_id", F.row_number().over(Window.partitionBy("episode_id").orderBy("chunk_id")).cast("long").alias("position"))
+
+
+@_q("next_episode", "SELECT episode_id, (SELECT min(n.episode_id) FROM episodes n WHERE n.published > e.published) AS following FROM episodes e")
+def _(c):
+    from pyspark.sql import Window
+
+    return c.episodes.withColumn("one", F.lit(1)).select("episode_id", F.lead("episode_id").over(Window.partitionBy("one").orderBy("published")).alias("following"))  # months: a short table
+
+
+@_q("topic_distribution", "SELECT count(*) FILTER (usage = 1) / count(*) AS single_share, CAST(count(*) FILTER (usage BETWEEN 2 AND 9) AS BIGINT) AS few, CAST(count(*) FILTER (usage BETWEEN 10 AND 49) AS BIGINT) AS some, CAST(count(*) FILTER (usage >= 50) AS BIGINT) AS many, min(length(name)) AS shortest, max(length(name)) AS longest FROM used")
+def _(c):
+    use, name = F.col("usage"), F.length("name").cast("long")
+    return c.used.agg((F.count_if(use == 1) / F.count("*")).alias("single_share"), F.count_if(use.between(2, 9)).alias("few"), F.count_if(use.between(10, 49)).alias("some"), F.count_if(use >= 50).alias("many"), F.min(name).alias("shortest"), F.max(name).alias("longest"))
+
+
 @_q("topic_histogram", "SELECT CAST(floor(usage / 5) AS BIGINT) AS bucket, count(*) AS topics, max(usage) AS most FROM used GROUP BY ALL")
 def _(c):
     return c.used.groupBy(F.floor(F.col("usage") / 5).alias("bucket")).agg(F.count("*").alias("topics"), F.max("usage").alias("most"))

@@ -116,5 +116,73 @@ def model_candidates(response: str, chunk_ids: set[int], kinds: tuple[str, ...]
     return out
 
 
+def all_sources(sources: DataFrame) -> DataFrame:
+    return sources.orderBy("source_id")
+
+
+def source_of(sources: DataFrame, doc: str) -> DataFrame:
+    """The source of one document id: a point lookup that reaches the scan."""
+    return sources.filter(F.col("doc") == doc)
+
+
+def source_tag(doc: Column) -> Column:
+    """The first six characters of a document id, as slugs use them."""
+    return F.substring(doc, 1, 6)
+
+
+def enrichment_done(chunks: DataFrame, version: int) -> bool:
+    """Whether no chunk waits; reading stops at the first one that does."""
+    return chunks.filter(pending(chunks, version)).limit(1).isEmpty()
+
+
+def retryable(message: Column) -> Column:
+    """Whether a failure is passing, so that its batch is tried again; others are set aside."""
+    return F.coalesce(F.lower(message).rlike("timeout|timed out|temporar|rate limit|too many requests|connection|network|busy|locked|overloaded|\\b(429|5\\d\\d)\\b"), F.lit(False))
+
+
+def id_batches(ids: DataFrame, id_col: str, size: int = 90) -> DataFrame:
+    """batch and its ids, at most `size` of them, in the order of a hash range; no global sort and no single task."""
+    spread = ids.select(id_col).distinct().repartition(F.col(id_col)).withColumn("part", F.spark_partition_id())
+    w = Window.partitionBy("part").orderBy(id_col)
+    placed = spread.withColumn("turn", F.floor((F.row_number().over(w) - 1) / size))
+    return placed.groupBy("part", "turn").agg(F.array_sort(F.collect_list(id_col)).alias("ids")).select(F.concat_ws("-", "part", "turn").alias("batch"), "ids")
+
+
+def latest_runs(runs: DataFrame, started: DataFrame, most: int = 20) -> DataFrame:
+    """The latest runs with their stages in order. runs: as run_record gives them; started: run_id, at."""
+    top = started.orderBy(F.desc("at"), "run_id").limit(most)
+    stages = runs.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("place", "stage", "ms"))).alias("stages"), F.sum("ms").alias("ms"), F.max("error").alias("error"))
+    return top.join(stages, "run_id", "left")
+
+
+def health_view(chunks: DataFrame, topics: DataFrame, links: DataFrame, version: int) -> DataFrame:
+    """One row: chunks, chunks that wait, topics, links, links without a chunk, and whether all is well."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    out = chunks.agg(F.count("*").alias("chunks"), F.count_if(pending(chunks, version)).alias("waiting"))
+    out = out.crossJoin(count(topics, "topics")).crossJoin(count(links, "links"))  # one row each
+    out = out.crossJoin(count(links.join(chunks, "chunk_id", "left_anti"), "orphans"))
+    return out.withColumn("healthy", (F.col("waiting") == 0) & (F.col("orphans") == 0))
+
+
+def archived_lineage(topics: DataFrame, archive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Topics without use but with a lineage go to the archive, one row per (name, keeper, stage) with a count; nulls are equal there.
+
+    topics: topic_id, name, usage, merged_into, merge_stage; archive: name, merged_into, merge_stage, topic_id, archive_count. Returns (left, archive)."""
+    gone = (F.col("usage") == 0) & F.col("merged_into").isNotNull()
+    keys = ["name", "merged_into", "merge_stage"]
+    fresh = topics.filter(gone).select(*keys, "topic_id", F.lit(1).cast("long").alias("archive_count"))
+    both = archive.select(*keys, "topic_id", F.col("archive_count").cast("long").alias("archive_count")).unionByName(fresh)
+    merged = both.groupBy(*keys).agg(F.min("topic_id").alias("topic_id"), F.sum("archive_count").alias("archive_count"))  # grouping takes nulls as equal
+    return topics.filter(~F.coalesce(gone, F.lit(False))), merged
+
+
+def stale_removed(links: DataFrame, chunks: DataFrame, topics: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+    """Links of outdated chunks go, then topics without links that aren't entities. Returns (links, topics)."""
+    kept = links.join(chunks.filter(~pending(chunks, version)).select("chunk_id"), "chunk_id", "left_semi")
+    used = kept.select("topic_id").distinct()
+    orphans = topics.filter("kind != 'entity'").join(used, "topic_id", "left_anti").select("topic_id")
+    return kept, topics.join(orphans, "topic_id", "left_anti")
+
+
 def now() -> datetime.datetime:
     return datetime.datetime.now(datetime.UTC).replace(tzinfo=None, microsecond=0)

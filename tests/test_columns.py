@@ -126,3 +126,19 @@ def test_promotion(spark):
     assert reason("compiler", "concept", 9, 9, 5.0, 1) == "low_distinctiveness_support"
     assert reason("vibe coding", "concept", 3, 2, 0.0, 0) == "insufficient_chunk_support"
     assert reason("vibe coding", "entity", 0, 0, 0.0, 0) is None
+
+
+def test_escapes(spark):
+    assert one(spark, X.escape_xml(F.lit("<a b='c\"'> & d"))) == "&lt;a b=&apos;c&quot;&apos;&gt; &amp; d"
+    assert one(spark, X.escape_regex(F.lit("1+1 (a.b) [c]\\"))) == "1\\+1 \\(a\\.b\\) \\[c\\]\\\\"
+    assert one(spark, X.json_for_html(F.struct(F.lit("</script>").alias("x")))) == '{"x":"<\\/script>"}'
+    assert one(spark, X.quoted_phrase(F.lit(' say "hello" '))) == '"say hello"'
+
+
+@pytest.mark.parametrize("text,want", [("12", 12), ("7abc", 7), ("-3", 9), ("x", 9), ("", 9), (None, 9), ("99999999999999999999", 9)])
+def test_whole_number(spark, text, want):
+    assert one(spark, X.whole_number(F.lit(text).cast("string"), 9)) == want
+
+
+def test_topic_tokens(spark):
+    assert one(spark, X.topic_tokens(F.lit("Open-source AI, open models"))) == ["open", "source", "ai", "models"]

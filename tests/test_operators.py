@@ -217,3 +217,33 @@ def test_slugify_all(spark):
     got = {r["doc_id"]: r["slug"] for r in textual.QUERIES["slugify_all"](spark, sf).collect()}
     plain = [d for d, t in docs.items() if t and t.isascii() and len(t) > 80]
     assert plain and all(got[d] == re.sub("[^a-z0-9]+", "-", docs[d].lower().replace("'", "")).strip("-") for d in plain)
+
+
+def test_sources_and_runs(spark):
+    sources = spark.createDataFrame([(2, "docBBBBB"), (1, "docAAAAA")], "source_id long, doc string")
+    assert [r["source_id"] for r in T.all_sources(sources).collect()] == [1, 2]
+    assert [r["source_id"] for r in T.source_of(sources, "docBBBBB").collect()] == [2]
+    assert sources.orderBy("source_id").select(T.source_tag(F.col("doc"))).head()[0] == "docAAA"
+    errors = spark.createDataFrame([("Request timed out",), ("HTTP 503",), ("no such column",), (None,)], "m string")
+    assert [r[0] for r in errors.select(T.retryable(F.col("m"))).collect()] == [True, True, False, False]
+    batches = T.id_batches(spark.range(500).union(spark.range(10)), "id", 90).collect()
+    assert sorted(i for b in batches for i in b["ids"]) == list(range(500)) and max(len(b["ids"]) for b in batches) <= 90
+    runs = T.run_record(spark, "r1", [{"name": "a", "ms": 5}, {"name": "b", "ms": 7}]).union(T.run_record(spark, "r2", [{"name": "a", "ms": 1}]))
+    started = spark.createDataFrame([("r1", 10), ("r2", 20), ("r3", 15)], "run_id string, at long")
+    got = {r["run_id"]: (r["ms"], [x["stage"] for x in r["stages"] or []]) for r in T.latest_runs(runs, started, 2).collect()}
+    assert got == {"r2": (1, ["a"]), "r3": (None, [])}
+
+
+def test_state_of_the_corpus(spark):
+    chunks = spark.createDataFrame([(1, True, 2), (2, True, 1), (3, False, None)], "chunk_id long, enriched boolean, version int")
+    links = spark.createDataFrame([(1, 10), (2, 11), (2, 12), (9, 10)], "chunk_id long, topic_id long")
+    topics = spark.createDataFrame([(10, "a", "concept"), (11, "b", "entity"), (12, "c", "concept")], "topic_id long, name string, kind string")
+    assert not T.enrichment_done(chunks, 2) and T.enrichment_done(chunks.filter("enriched"), 1)
+    assert tuple(T.health_view(chunks, topics, links, 2).head()) == (3, 2, 3, 4, 1, False)
+    kept, left = T.stale_removed(links, chunks, topics, 2)
+    assert [tuple(r) for r in kept.collect()] == [(1, 10)] and sorted(r["topic_id"] for r in left.collect()) == [10, 11]
+    lineage = spark.createDataFrame([(1, "x", 0, 9, None), (2, "x", 0, 9, None), (3, "x", 0, 9, "stem"), (4, "y", 3, 9, None), (5, "z", 0, None, None)], "topic_id long, name string, usage long, merged_into long, merge_stage string")
+    old = spark.createDataFrame([("x", 9, None, 7, 4)], "name string, merged_into long, merge_stage string, topic_id long, archive_count long")
+    rest, archive = T.archived_lineage(lineage, old)
+    assert sorted(r["topic_id"] for r in rest.collect()) == [4, 5]
+    assert sorted((r["name"], r["merge_stage"] or "", r["topic_id"], r["archive_count"]) for r in archive.collect()) == [("x", "", 1, 6), ("x", "stem", 3, 1)]
