@@ -9,8 +9,8 @@ are compared with all rows, in blocks of queries.
 Of equal vectors only the k + 1 with the smallest ids can be among any query's k nearest (ties go to smaller ids, and one
 of them may be the query), so later copies are left out before hashing: exact, and no bucket swells with copies.
 
-Defined results: rows with a null id and vectors that are null, empty, zero, not finite, hold a null or differ in length
-from the vector of the smallest id take no part; a repeated query id asks once, with its smallest vector; candidates
+Defined results: rows with a null id and vectors that are null, empty, zero, not finite, hold a null or aren't of
+the most common length take no part; a repeated query id asks once, with its smallest vector; candidates
 exclude all rows with the query's own id; other columns are ignored; an empty table gives no rows.
 """
 
@@ -79,13 +79,15 @@ def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndar
             yield lo + i, ids[at][best], exact[best]
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, float, int]:
-    """(vec_id, v: doubles as bytes), the dimension, the largest squared norm and the number of rows."""
+def usable(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> tuple[DataFrame, int, float, int]:
+    """(vec_id, v: doubles as bytes) of the vectors of length dim, or of the most common length (the larger of two equally common ones); that length, the largest squared norm and the number of rows."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    dim = rows.agg(F.min(F.struct("vec_id", F.size("v").alias("n")))["n"].alias("n")).head()["n"]
+    if dim is None:
+        lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).head()
+        dim = lengths["n"] if lengths else 0
     rows = rows.filter(F.size("v") == F.lit(dim))
     most, many = rows.agg(F.max(square), F.count("*")).head()
 
@@ -110,7 +112,7 @@ def knn(df: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, pr
     probes = min(axes, max(probes, math.ceil(least * axes / (tables * many))))
     kept = rows.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("copy") <= k + 1).drop("copy")
     kept = materialize(kept, "vectors")
-    asked = usable(queries, id_col, vec_col)[0].filter(F.length("v") == 8 * dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = usable(queries, id_col, vec_col, dim)[0].groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = materialize(asked.withColumnRenamed("vec_id", "query_id"), "queries")
 
     def hashed(name: str, each: int):

@@ -238,6 +238,32 @@ def test_neighbours(spark, many):
     assert got == brute(rows, 10)  # tables this small are probed whole
 
 
+def test_neighbours_of_the_common_length(spark):
+    """One odd vector with the smallest id, or as the first query, takes nothing away from the rest."""
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0] * 5), *((i, rng.normal(size=8).tolist()) for i in range(1, 60))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in neighbours.knn(df, df.filter("vec_id % 10 = 0")).collect())
+    assert got == brute(rows, 10) and len(got) == 50
+
+
+def test_neighbour_recall_with_production_probes(spark):
+    """Clustered vectors, 8 of 256 axes probed in each table: recall over all queries."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(300, 64))
+    vectors = centres[rng.integers(0, 300, 12_000)] + 0.5 * rng.normal(size=(12_000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in neighbours.knn(df, df.filter("vec_id % 100 = 0"), least=0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 12_000, 100):
+        d = ((vectors - vectors[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 1200
+
+
 def test_neighbour_fallback(spark):
     """Few probes and tiny blocks: queries that meet too few candidates get theirs from all rows."""
     rng = np.random.default_rng(2)
