@@ -29,10 +29,10 @@ def mined(docs: DataFrame) -> DataFrame:
     return used.select(F.crc32("name").alias("topic_id"), "name", F.when(F.col("name").startswith("the"), "entity").otherwise("concept").alias("kind"), "usage", "support", (F.length("name") * 1.5).cast("double").alias("distinctiveness"))
 
 
-MINED = TOK + f", mined AS (SELECT name, CASE WHEN name LIKE 'the%' THEN 'entity' ELSE 'concept' END AS kind, usage, support, CAST(length(name) * 1.5 AS DOUBLE) AS distinctiveness FROM (SELECT name, count(*) AS usage, count(DISTINCT source) AS support FROM (SELECT doc_id, source, unnest(list_distinct(list_concat(words, {_BI}))) AS name FROM tok) GROUP BY name HAVING count(*) >= 2)) "
+MINED = TOK + f", mined AS MATERIALIZED (SELECT name, CASE WHEN name LIKE 'the%' THEN 'entity' ELSE 'concept' END AS kind, usage, support, CAST(length(name) * 1.5 AS DOUBLE) AS distinctiveness FROM (SELECT name, count(*) AS usage, count(DISTINCT source) AS support FROM (SELECT doc_id, source, unnest(list_distinct(list_concat(words, {_BI}))) AS name FROM tok) GROUP BY name HAVING count(*) >= 2)) "
 _NOISE = f"(list_contains({_list(T.noise)}, name) OR CASE WHEN name LIKE '% %' THEN list_contains({_list(T.starters)}, split_part(name, ' ', 1)) OR len(list_filter(string_split(name, ' '), lambda w: NOT (list_contains({_list(T.filler)}, w) OR length(w) < 4))) = 0 ELSE length(name) < 4 OR (name LIKE '%ly' AND length(name) >= 6) OR (regexp_matches(name, '(ize|ify)$') AND length(name) <= 8) OR (name LIKE '%ment' AND length(name) <= 9) OR regexp_matches(name, '(oes|ays|akes|ives)$') END)"
 _WEAK = f"(name NOT LIKE '% %' AND ({_NOISE} OR (distinctiveness < 15 AND usage < 6) OR (regexp_matches(name, '(ed|ing|ment|ness|tion|sion|ance|ence)$') AND distinctiveness < 20 AND usage < 20)))"
-_PU = ", pu AS (SELECT word, CAST(sum(usage) AS BIGINT) AS phrase_usage FROM (SELECT usage, unnest(list_distinct(string_split(name, ' '))) AS word FROM mined WHERE name LIKE '% %') GROUP BY word)"
+_PU = ", pu AS MATERIALIZED (SELECT word, CAST(sum(usage) AS BIGINT) AS phrase_usage FROM (SELECT usage, unnest(list_distinct(string_split(name, ' '))) AS word FROM mined WHERE name LIKE '% %') GROUP BY word)"
 
 
 def _q(name: str, sql: str | None, *tables: str):
@@ -60,7 +60,7 @@ def _(d):
     return G.curate(mined(d)).select("name", "keep")
 
 
-@_q("suppress_components", MINED + _PU + "SELECT name FROM mined WHERE name NOT IN (SELECT word FROM pu)")
+@_q("suppress_components", MINED + _PU + "SELECT name FROM mined ANTI JOIN pu ON word = name")
 def _(d):
     return G.suppress_components(mined(d)).select("name")
 
