@@ -304,7 +304,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     final = materialize(final, "components")  # so that the last join deals both sides anew and a node with many copies can be split
     out = rows.join(final, "node", "left")
     component_id = F.when(F.col("component") == LAST, F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    leader = F.coalesce(F.col("leads") & F.coalesce("doc_id", F.lit(LAST)).eqNullSafe(F.col("component")), F.lit(True))
+    leader = F.col("node").isNull() | (F.col("leads") & (F.coalesce("doc_id", F.lit(LAST)) == F.col("component")))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component_id.alias("component_id"), "text_hash", leader.alias("leader"), "node")
 
 
