@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, table
+from .common import WORD, id_text, materialize, table
 
 #: Share of the trusted documents that the threshold keeps.
 KEEP = 0.999
@@ -144,7 +144,7 @@ def threshold_of(scored: DataFrame, trusted: DataFrame, keep: float = KEEP) -> f
 def base_rules(df: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to doc_id, text, words, hashes, pairs."""
     text = F.col("text")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     df = df.withColumn("n_words", F.size("words")).withColumn("lines", lines)
     df = df.withColumn("fours", neighbours_hashed(F.col("pairs"), 2)).withColumn("windows", neighbours_hashed(F.col("fours"), 4))  # runs of WINDOW words
     df = df.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
@@ -157,8 +157,8 @@ def base_rules(df: DataFrame) -> DataFrame:
     gaps = F.zip_with(F.slice("begins", 1, F.size("begins") - 1), F.slice("begins", 2, F.size("begins") - 1), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(gaps, F.lit(WINDOW).cast("long"), lambda s, x: s + x)
     df = df.withColumn("n_repeat_words", F.when(F.col("repeats"), covered).otherwise(F.lit(0).cast("long")))
-    df = df.withColumn("word_chars", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"))
-    df = df.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+    df = df.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+    df = df.withColumn("n_symbols", F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"))
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
