@@ -110,7 +110,7 @@ def bucket_ratios(ruled: DataFrame, weights: DataFrame, buckets: int) -> DataFra
     each = each.withColumn("block", F.shiftright("key", SHIFT)).join(F.broadcast(weights), "block", "left")
     weight = F.get("weights", F.col("key").bitwiseAND(F.lit(BLOCK - 1)))
     opens = F.count_if(F.col("key") == -1)
-    summed = each.groupBy("doc_id", "text_hash").agg(*(F.any_value(c).alias(c) for c in names), opens.alias("opens"), F.sum(F.when(F.col("key") >= 0, weight)).alias("total"), F.count("*").alias("n"))
+    summed = each.groupBy("doc_id", "text_hash").agg(*(F.max(c).alias(c) for c in names), opens.alias("opens"), F.sum(F.when(F.col("key") >= 0, weight)).alias("total"), F.count("*").alias("n"))
     ratio = F.coalesce(F.col("total") / (1000.0 * (F.col("n") - F.col("opens"))), F.lit(0.0)).alias("ratio")
     return summed.select("doc_id", "text_hash", *names, ratio, F.explode(F.sequence(F.lit(1).cast("long"), F.col("opens"))).alias("copy")).drop("copy")
 
