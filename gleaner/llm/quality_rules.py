@@ -8,7 +8,7 @@ that no base rule fails: the highest thousandth that `KEEP` of them reach; so it
 corpus grows. Only DataFrame functions.
 
 Weights are a table of BUCKETS / BLOCK rows whatever the corpus, so it is broadcast and texts aren't shuffled to be scored.
-Counts are combined before their shuffle. Trusted ids are broadcast up to SMALL of them, else both sides are sorted and
+Counts are combined before their shuffle, over COMBINE splits a task where that leaves every core one. Trusted ids are broadcast up to SMALL of them, else both sides are sorted and
 merged; the result is the same. With buckets=None n-grams are told apart by their 64-bit hashes instead, and texts are joined
 with the table of n-grams; n-grams seen once and never in a trusted document share one weight and aren't stored, and those
 with 1/HOT of all occurrences (at most HOT) are broadcast, so that no task gets all occurrences of a common one.
@@ -32,6 +32,8 @@ HOT = 1 << 14
 #: Buckets of n-grams, and how many of them (2 ** SHIFT) one row of the weights holds.
 SHIFT = 5
 BUCKETS, BLOCK = 1 << 22, 1 << SHIFT
+#: Neighbouring input splits that one task counts, so that more n-grams are combined before the shuffle.
+COMBINE = 4
 #: Most trusted ids (8 bytes each) that are broadcast.
 SMALL = 4_000_000
 #: The separators of words, and the characters counted as symbols.
@@ -90,6 +92,8 @@ def log_ratio(raws: float, targets: float, distinct: int):
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame | None:
     """block, weights: the thousandths of BLOCK neighbouring buckets a row, of all blocks with n-grams; None without words in trusted documents."""
+    splits = docs.select(F.spark_partition_id()).distinct().count()  # reads no column
+    docs = docs.coalesce(max(splits // COMBINE, docs.sparkSession.sparkContext.defaultParallelism))
     each = hashed_words(marked(docs, trusted)).select(F.explode(features(F.col("hashes"), F.col("pairs"), buckets)).alias("key"), "trusted")
     counts = materialize(each.groupBy("key").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")), "buckets")
     raws, targets = counts.agg(F.sum("raw"), F.sum("target")).head()
