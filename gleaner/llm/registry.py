@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classifier, jaccard, lm_scoring, neighbours, packing, pieces, quality_rules, suffixes, token_counts, warc
+from . import classifier, collocations, divergence, exact_dedup, jaccard, lm_scoring, neighbours, packing, pieces, quality_rules, suffixes, token_counts, warc
 
-MODULES = (token_counts, neighbours, pieces, lm_scoring, packing, warc, suffixes, jaccard, quality_rules, classifier)
+MODULES = (token_counts, neighbours, pieces, lm_scoring, packing, warc, suffixes, jaccard, quality_rules, classifier, collocations, divergence, exact_dedup)
 
 
 def queries() -> dict:
