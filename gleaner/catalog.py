@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import corpus, gating, relational, searching, sequential, textual
+from gleaner.plans import corpus, gating, refreshing, relational, searching, sequential, textual
 
-MODULES = (relational, textual, searching, gating, sequential, corpus)
+MODULES = (relational, textual, searching, refreshing, gating, sequential, corpus)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
