@@ -35,7 +35,11 @@ LEAST, TOP, UNIT = 10, 2000, 1_000_000
 #: One word in TRIGGER, by its hash, opens a chunk; words that a chunk takes along, for phrases of up to three words.
 TRIGGER, OVERLAP = 16, 2
 #: Entries, and bytes of chunks, that a task holds before it hands them on.
-HELD, HELD_BYTES = 400_000, 1 << 26
+HELD, HELD_BYTES = 1_000_000, 1 << 26
+#: Bits of a word's number in a task, and words that a task numbers before it starts again.
+BITS_WORD, MOST_WORDS = 21, 1 << 20
+#: Tokens that are numbered at once; with MOST_WORDS they stay below 2 ** BITS_WORD.
+WINDOW = 1 << 19
 #: Bits of the bitmaps of frequent words and pairs.
 BITS = 1 << 26
 #: Fixed: pieces end at these, tabs part words, ASCII letters are lowered.
@@ -44,17 +48,27 @@ _TOKENS = bytes(10 if c in _ENDS else 32 if c == 9 else c + 32 if 0x41 <= c <= 0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """Words' hashes, worked out once; the mark between pieces is 0."""
+class Words:
+    """Numbers of the words that a task has met, from 1, with their hashes; the mark between pieces is 0."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = 0 if word == b"\n" else xxhash.xxh3_64_intdigest(word) or 1
-        return h
+    def __init__(self) -> None:
+        self.clear()
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def clear(self) -> None:
+        self.numbers, self.names, self.hashes = {b"\n": 0}, [b"\n"], np.zeros(1, np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        if new := list(set(words).difference(self.numbers)):
+            self.numbers.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+            self.names += new
+            room = len(self.hashes)
+            if len(self.names) > room:
+                self.hashes = np.concatenate([self.hashes, np.zeros(max(room, len(self.names)), np.uint64)])
+            self.hashes[len(self.names) - len(new) : len(self.names)] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -62,9 +76,10 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in text.translate(_TOKENS).replace(b"\n", b" \n ").split(b" ") if w]
 
 
-def chunks(words: list[bytes], hashes: Hashes) -> Iterator[bytes]:
+def chunks(words: list[bytes], known: Words) -> Iterator[bytes]:
     """The chunks of a text, each with OVERLAP tokens more than are its own."""
-    cuts = np.flatnonzero(hashes.of(words) % np.uint64(TRIGGER) == 1)
+    numbers = known.of(words)
+    cuts = np.flatnonzero((known.hashes[numbers] % np.uint64(TRIGGER) == 1) & (numbers > 0))
     at = [0, *cuts[cuts > 0].tolist(), len(words)]
     words = [*words, *[b"\n"] * OVERLAP]
     for a, b in zip(at, at[1:]):
@@ -75,50 +90,105 @@ def parse(docs: DataFrame) -> DataFrame:
     """lang, chunk, freq: the dictionary."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes, held, size = Hashes(), {}, 0
+        known, held, size = Words(), {}, 0
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 if words := tokens(text):
-                    held.setdefault(lang, Counter()).update(chunks(words, hashes))
+                    held.setdefault(lang, Counter()).update(chunks(words, known))
                     size += len(text)
                 if size >= HELD_BYTES:
-                    yield from handed_on(held, "chunk", "freq")
+                    yield from handed_on(held)
                     size = 0
-        yield from handed_on(held, "chunk", "freq")
+                if len(known) > MOST_WORDS:
+                    known.clear()
+        yield from handed_on(held)
 
     rows = arrow_rows(docs, run, "lang string, chunk binary, freq long")
     return materialize(rows.groupBy("lang", "chunk").agg(F.sum("freq").alias("freq")), "parse")
 
 
-def handed_on(held: dict[str, Counter], key: str, count: str) -> Iterator[dict]:
+def handed_on(held: dict[str, Counter]) -> Iterator[dict]:
     for lang, counts in held.items():
         names = list(counts)
         for lo in range(0, len(names), 50_000):
             part = names[lo : lo + 50_000]
-            yield {"lang": [lang] * len(part), key: part, count: [counts[k] for k in part]}
+            yield {"lang": [lang] * len(part), "chunk": part, "freq": [counts[k] for k in part]}
     held.clear()
 
 
-def counted(dictionary: DataFrame, phrases: Callable, least: int) -> DataFrame:
-    """lang, phrase, a: weighted occurrences of what `phrases` yields for a chunk's words; only those of `least` or more."""
+def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their weights."""
+    order = np.argsort(keys)
+    keys, weights = keys[order], weights[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(weights, starts) if len(keys) else weights
+
+
+class Held:
+    """Weighted phrases of one language, as keys of word numbers, summed again and again."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0  # entries, of which some may be of one phrase
+
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        self.parts.append(summed(keys, weights))
+        self.size += len(self.parts[-1][0])
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, weights = (np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for k in (0, 1))
+        self.parts = [summed(keys, weights)]
+        self.size = len(self.parts[0][0])
+        return self.parts[0]
+
+
+def counted(dictionary: DataFrame, starts: Callable, order: int, least: int) -> DataFrame:
+    """lang, phrase, a: weighted occurrences of the phrases of `order` words; only those of `least` or more.
+
+    starts(lang, hashes of the tokens): whether a phrase may start at a token, as far as its words go. A batch's chunks are worked on
+    together; word numbers of 21 bits make one key of a phrase, so keys are equal only for equal phrases."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        held: dict[str, Counter] = {}
-        hashes, entries = Hashes(), 0
+        known, held = Words(), {}
+
+        def out() -> Iterator[dict]:
+            for lang, own in held.items():
+                keys, weights = own.settle()
+                names = known.names
+                for lo in range(0, len(keys), 50_000):
+                    part = keys[lo : lo + 50_000]
+                    columns = [[names[i] for i in ((part >> (BITS_WORD * k)) & ((1 << BITS_WORD) - 1)).tolist()] for k in reversed(range(order))]
+                    yield {"lang": [lang] * len(part), "phrase": list(map(b" ".join, zip(*columns, strict=True))), "a": weights[lo : lo + 50_000]}
+            held.clear()
+            known.clear()
+
         for b in batches:
-            for lang, chunk, freq in zip(b["lang"], b["chunk"], b["freq"], strict=True):
-                found = phrases(lang, chunk.split(b" "), hashes)
-                own = held.setdefault(lang, Counter())
-                if freq == 1:
-                    own.update(found)
-                else:
-                    for phrase in found:
-                        own[phrase] += freq
-                entries += len(found)
-                if entries >= HELD and (entries := sum(map(len, held.values()))) >= HELD:
-                    yield from handed_on(held, "phrase", "a")
-                    entries = 0
-        yield from handed_on(held, "phrase", "a")
+            langs = np.array(b["lang"], object)
+            for lang in dict.fromkeys(b["lang"]):
+                for rows in np.array_split(np.flatnonzero(langs == lang), max(1, len(langs) // 4096)):
+                    texts = [b["chunk"][i] for i in rows.tolist()]
+                    sizes = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+                    tokens_ = b" ".join(texts).split(b" ") if texts else []
+                    own = np.ones(len(tokens_), bool)  # tokens that aren't overlap
+                    for k in range(OVERLAP):
+                        own[np.cumsum(sizes) - 1 - k] = False
+                    freq = np.repeat(np.array([b["freq"][i] for i in rows.tolist()], np.int64), sizes)
+                    for lo in range(0, len(tokens_), WINDOW):
+                        numbers = known.of(tokens_[lo : lo + WINDOW + OVERLAP])
+                        at = np.flatnonzero(own[lo : lo + WINDOW])
+                        for k in range(order):
+                            at = at[numbers[at + k] > 0]
+                        at = at[starts(lang, known.hashes[numbers], at)]
+                        key = numbers[at]
+                        for k in range(1, order):
+                            key = (key << BITS_WORD) | numbers[at + k]
+                        held.setdefault(lang, Held()).add(key, freq[lo + at])
+                        if len(known) > MOST_WORDS or sum(x.size for x in held.values()) > 2 * HELD:
+                            for x in held.values():
+                                x.settle()
+                            if len(known) > MOST_WORDS or sum(x.size for x in held.values()) > HELD:
+                                yield from out()
+        yield from out()
 
     rows = arrow_rows(dictionary, run, "lang string, phrase binary, a long")
     return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
@@ -141,20 +211,24 @@ def bitmap(frequent: DataFrame) -> np.ndarray:
     """BITS bits, packed: those of the phrases are set. Each task sends the bytes that it sets, at most BITS / 8 in all."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes = Hashes()
         for b in batches:
-            bits: list[int] = []
-            for lang, phrase in zip(b["lang"], b["phrase"], strict=True):
-                h = hashes.of(phrase.encode().split(b" "))
-                bits.append(int(places(h if len(h) == 1 else together(h[:-1], h[1:]), lang)[0]))
-            at = np.unique(np.array(bits, np.int64))
+            split = [p.encode().split(b" ") for p in b["phrase"]]
+            hashes = [np.fromiter((xxhash.xxh3_64_intdigest(w[k]) for w in split), np.uint64, len(split)) for k in range(len(split[0]) if split else 0)]
+            if not hashes:
+                continue
+            whole = hashes[0] if len(hashes) == 1 else together(*hashes)
+            langs = np.array(b["lang"], object)
+            bits = np.zeros(len(split), np.int64)
+            for lang in dict.fromkeys(b["lang"]):
+                bits[langs == lang] = places(whole[langs == lang], lang)
+            at = np.unique(bits)
             yield {"byte": at >> 3, "mask": 1 << (at & 7)}
 
     out = np.zeros(BITS // 8, np.uint8)
     set_ = arrow_rows(frequent.select("lang", "phrase"), run, "byte int, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask"))
     # bytes of one slice of the map go as one row
     slices = set_.groupBy(F.shiftright("byte", 12).alias("slice")).agg(F.collect_list(F.struct("byte", "mask")).alias("bytes"))
-    for r in slices.toLocalIterator():
+    for r in slices.collect():  # BITS / 2 ** 15 rows at most
         part = np.array(r["bytes"], np.int64).reshape(-1, 2)
         out[part[:, 0]] = part[:, 1]
     return out
@@ -163,34 +237,26 @@ def bitmap(frequent: DataFrame) -> np.ndarray:
 def phrase_counts(dictionary: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Words, pairs and triples with `least` occurrences or more (lang, phrase, a), and lang, n."""
     context = dictionary.sparkSession.sparkContext
-
-    def single(lang: str, words: list[bytes], hashes: Hashes) -> list[bytes]:
-        return [w for w in words[:-OVERLAP] if w != b"\n"]
-
-    every = materialize(counted(dictionary, single, 1), "words")
+    every = materialize(counted(dictionary, lambda lang, hashes, at: np.ones(len(at), bool), 1, 1), "words")
     n = every.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = every.filter(F.col("a") >= least)
     of_words = context.broadcast(bitmap(frequent))
 
-    def known(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def found(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
         return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-    def double(lang: str, words: list[bytes], hashes: Hashes) -> list[bytes]:
-        h = hashes.of(words)
-        ok = (h != 0) & known(of_words.value, places(h, lang))
-        both = ok[:-1] & ok[1:]
-        both[len(words) - OVERLAP :] = False
-        return [words[i] + b" " + words[i + 1] for i in np.flatnonzero(both).tolist()]
+    def double(lang: str, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        ok = found(of_words.value, places(hashes, lang))
+        return ok[at] & ok[at + 1]
 
-    pairs = materialize(counted(dictionary, double, least), "pairs")
+    pairs = materialize(counted(dictionary, double, 2, least), "pairs")
     of_pairs = context.broadcast(bitmap(pairs))
 
-    def triple(lang: str, words: list[bytes], hashes: Hashes) -> list[bytes]:
-        h = hashes.of(words)
-        ok = (h[:-1] != 0) & (h[1:] != 0) & known(of_pairs.value, places(together(h[:-1], h[1:]), lang))
-        return [b" ".join(words[i : i + 3]) for i in np.flatnonzero(ok[:-1] & ok[1:]).tolist()]
+    def triple(lang: str, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        ok = found(of_pairs.value, places(together(hashes[:-1], hashes[1:]), lang))
+        return ok[at] & ok[at + 1]
 
-    triples = materialize(counted(dictionary, triple, least), "triples")
+    triples = materialize(counted(dictionary, triple, 3, least), "triples")
     return frequent, pairs, triples, n
 
 

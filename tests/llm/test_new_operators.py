@@ -79,15 +79,15 @@ def test_collocations(spark, rows, least, top, covered):
 
 
 def test_chunks_cover_each_ngram_once():
-    from gleaner.llm.collocations import OVERLAP, Hashes, chunks, tokens
+    from gleaner.llm.collocations import OVERLAP, Words, chunks, tokens
 
     rnd = random.Random(3)
     words = tokens(" ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randint(0, 30)) + rnd.choice(["", "", "."]) for _ in range(2000)).encode())
-    found = [tuple(c[i : i + 3]) for c in (c.split(b" ") for c in chunks(words, Hashes())) for i in range(len(c) - OVERLAP)]
+    found = [tuple(c[i : i + 3]) for c in (c.split(b" ") for c in chunks(words, Words())) for i in range(len(c) - OVERLAP)]
     padded = [*words, *[b"\n"] * OVERLAP]
     assert found == [tuple(padded[i : i + 3]) for i in range(len(words))]
     passage = words[500:700]  # a shared passage gives shared chunks
-    once, twice = (set(chunks(w, Hashes())) for w in (words, [*words[:100], *passage]))
+    once, twice = (set(chunks(w, Words())) for w in (words, [*words[:100], *passage]))
     assert len(once & twice) > 5
 
 
