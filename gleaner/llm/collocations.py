@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, table
+from .common import arrow_rows, bit_map, bits_at, materialize, table
 from .shingles import mix
 
 LEAST, TOP, UNIT = 10, 2000, 1_000_000
@@ -208,7 +208,7 @@ def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bitmap(frequent: DataFrame) -> np.ndarray:
-    """BITS bits, packed: those of the phrases are set. Each task sends the bytes that it sets, at most BITS / 8 in all."""
+    """BITS bits, packed: those of the phrases are set."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -221,17 +221,9 @@ def bitmap(frequent: DataFrame) -> np.ndarray:
             bits = np.zeros(len(split), np.int64)
             for lang in dict.fromkeys(b["lang"]):
                 bits[langs == lang] = places(whole[langs == lang], lang)
-            at = np.unique(bits)
-            yield {"byte": at >> 3, "mask": 1 << (at & 7)}
+            yield {"bit": np.unique(bits)}
 
-    out = np.zeros(BITS // 8, np.uint8)
-    set_ = arrow_rows(frequent.select("lang", "phrase"), run, "byte int, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask"))
-    # bytes of one slice of the map go as one row
-    slices = set_.groupBy(F.shiftright("byte", 12).alias("slice")).agg(F.collect_list(F.struct("byte", "mask")).alias("bytes"))
-    for r in slices.collect():  # BITS / 2 ** 15 rows at most
-        part = np.array(r["bytes"], np.int64).reshape(-1, 2)
-        out[part[:, 0]] = part[:, 1]
-    return out
+    return bit_map(arrow_rows(frequent.select("lang", "phrase"), run, "bit long"), BITS)
 
 
 def phrase_counts(dictionary: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -242,18 +234,15 @@ def phrase_counts(dictionary: DataFrame, least: int) -> tuple[DataFrame, DataFra
     frequent = every.filter(F.col("a") >= least)
     of_words = context.broadcast(bitmap(frequent))
 
-    def found(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
     def double(lang: str, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        ok = found(of_words.value, places(hashes, lang))
+        ok = bits_at(of_words.value, places(hashes, lang))
         return ok[at] & ok[at + 1]
 
     pairs = materialize(counted(dictionary, double, 2, least), "pairs")
     of_pairs = context.broadcast(bitmap(pairs))
 
     def triple(lang: str, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        ok = found(of_pairs.value, places(together(hashes[:-1], hashes[1:]), lang))
+        ok = bits_at(of_pairs.value, places(together(hashes[:-1], hashes[1:]), lang))
         return ok[at] & ok[at + 1]
 
     triples = materialize(counted(dictionary, triple, 3, least), "triples")

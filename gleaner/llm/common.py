@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,26 @@ def arrow_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sc
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, spark_schema)
+
+
+def bit_map(places: DataFrame, bits: int) -> np.ndarray:
+    """bits bits, packed: those in places (bit long) are set. Tasks pack slices of 4096 bytes, so bits / 8 bytes go to the driver at most."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out = []
+            for own in b["bits"]:
+                flags = np.zeros(1 << 15, np.uint8)
+                flags[np.array(own, np.int64) & 0x7FFF] = 1
+                out.append(np.packbits(flags).tobytes())
+            yield {"slice": b["slice"], "packed": out}
+
+    slices = places.distinct().groupBy(F.shiftright("bit", 15).cast("int").alias("slice")).agg(F.collect_list("bit").alias("bits"))
+    out = np.zeros(max(bits >> 3, 1 << 12), np.uint8)
+    for r in arrow_rows(slices, run, "slice int, packed binary").collect():
+        out[r["slice"] << 12 : (r["slice"] + 1) << 12] = np.frombuffer(r["packed"], np.uint8)
+    return out
+
+
+def bits_at(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0

@@ -10,7 +10,7 @@ could still join two components then meets pairwise, in the first block that a p
 in 64 parts of the hash space, before they are verified, once, on the whole sets. No pair that could join two components
 is left out, so components are those of all links.
 
-A shingle that stands in many of a few hundred neighbouring documents is spread by a salt, so that no task gets all its rows.
+A shingle that stands in many of a few hundred neighbouring documents is spread by a salt, so that no task gets all its rows. A row whose block, seen whole, has no set that fits it by length and position is left out at once.
 
 Defined results: a document without words has no shingles and is its own component; rows with equal sets share a
 component; a null id never names a component unless all ids of it are null; repeated rows each get their row; other
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_text, materialize, table, text_hash
+from .common import arrow_rows, bit_map, bits_at, id_text, materialize, table, text_hash
 from .components import connect
 from .shingles import shingle_set
 
@@ -35,6 +35,8 @@ BUCKETS, PARTS, CHUNK, COMMON = 1 << 18, 64, 512, 32
 #: Centres of a block in the second round; earlier shingles that a row carries in the last one.
 CENTRES, EARLIER = 4, 64
 LAST = (1 << 63) - 1
+#: Bits of the map of ids whose sets are asked for.
+ID_BITS = 1 << 26
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -44,6 +46,22 @@ def needed(a, b):
     return F.ceil((F.col(a) + F.col(b)) * NUMERATOR / (NUMERATOR + DENOMINATOR))
 
 
+def parts_of(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in parts of the hash space, PARTS of them or, for larger sets, some four shingles a part."""
+    bits = max(PARTS.bit_length() - 1, (len(s) // 4).bit_length() - 1)
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+
+
+def overlap_bound(x: bytes, y: bytes) -> int:
+    """The most shingles that two sets can share, by their parts; the finer one's parts are added up to the other's."""
+    a, b = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).sum(1)
+    elif len(b) > len(a):
+        b = b.reshape(len(a), -1).sum(1)
+    return int(np.minimum(a, b).sum())
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, text_hash, n, node (hash of the set), parts (counts for the suffix filter); and rows bucket, hits with shingle counts."""
 
@@ -54,10 +72,9 @@ def describe(docs: DataFrame) -> DataFrame:
             for text in b["text"]:
                 s = shingle_set(text)
                 np.add.at(total, (s >> np.uint64(46)).astype(np.int64), 1)
-                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
                 out["n"].append(len(s))
                 out["node"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                out["parts"].append(counts.astype("<u4").tobytes() if len(s) else None)
+                out["parts"].append(parts_of(s) if len(s) else None)
             none = [None] * len(b["text"])
             yield {"doc_id": b["doc_id"], **out, "bucket": none, "hits": none}
         at = np.flatnonzero(total)
@@ -72,8 +89,8 @@ def describe(docs: DataFrame) -> DataFrame:
 def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """shingle, salt, n, node, pos: the prefix of each set; copies that one task sees go in once.
 
-    A shingle of COMMON sets of one chunk is salted by the set; two of its rows stay without salt, so that a row of it
-    elsewhere still meets another set."""
+    A shingle of COMMON sets of one chunk is salted by the set; two of its rows stay without salt, marked -1, so that a row of
+    it elsewhere still meets another set, and is known to have more than it meets."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
     schema = "shingle long, salt int, n int, node binary, pos int"
 
@@ -104,10 +121,10 @@ def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 first = np.r_[True, np.diff(shingle[order]) != 0]
                 group = np.cumsum(first) - 1
                 rank = np.arange(len(order)) - np.flatnonzero(first)[group]
-                salted = np.zeros(len(order), bool)
-                salted[order] = (np.bincount(group)[group] >= COMMON) & (rank > 1)
+                dense, stays = np.zeros((2, len(order)), bool)
+                dense[order], stays[order] = np.bincount(group)[group] >= COMMON, rank < 2
                 salt = np.repeat([1 + int.from_bytes(p[2][:3], "little") % 65_521 for p in parts], sizes)
-                yield {"shingle": shingle.view(np.int64), "salt": np.where(salted, salt, 0), "n": np.repeat([p[1] for p in parts], sizes), "node": [p[2] for p, k in zip(parts, sizes, strict=True) for _ in range(k)], "pos": np.concatenate([np.arange(k) for k in sizes])}
+                yield {"shingle": shingle.view(np.int64), "salt": np.where(dense, np.where(stays, -1, salt), 0), "n": np.repeat([p[1] for p in parts], sizes), "node": [p[2] for p, k in zip(parts, sizes, strict=True) for _ in range(k)], "pos": np.concatenate([np.arange(k) for k in sizes])}
 
     return arrow_rows(docs, run, schema)
 
@@ -115,18 +132,32 @@ def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 def blocks(index: DataFrame) -> DataFrame:
     """shingle, n, node, pos: the rows of shingles that two or more sets share; one pass over partitions sorted by shingle."""
     spark = index.sparkSession
-    spread = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle", "salt").sortWithinPartitions("shingle")
+    spread = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("shingle"), F.greatest("salt", F.lit(0))).sortWithinPartitions("shingle")
     names = ["shingle", "n", "node", "pos"]
 
-    def shared(t: pa.Table) -> pa.Table:
-        """Without copies that several tasks saw, and without shingles of one set but the salted, which are known to be shared."""
+    def shared(t: pa.Table, open_key: int | None) -> pa.Table:
+        """Without copies that several tasks saw, without shingles of one set but the salted, which are known to be shared, and
+        without rows that no other of their block can fit by length and position; blocks that aren't seen whole (salted, or
+        open_key, which goes on elsewhere) keep all rows."""
         t = t.group_by([*names, "salt"]).aggregate([])
-        key = t.column("shingle").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + t.column("salt").to_numpy().astype(np.uint64)
+        shingle, salt, n, pos = (t.column(c).to_numpy() for c in ("shingle", "salt", "n", "pos"))
+        key = shingle.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(salt, 0).astype(np.uint64)
         key, where = np.unique(key, return_inverse=True)
-        return t.filter(pa.array((np.bincount(where, minlength=len(key))[where] > 1) | (t.column("salt").to_numpy() > 0))).select(names)
+        partly = np.bincount(where, salt != 0, minlength=len(key)) > 0
+        if open_key is not None:
+            partly[where[shingle == open_key]] = True
+        # n, pos fits m if 3 n / 4 <= m and n - pos >= 3 (n + m) / 7
+        low, high = -(-3 * n // 4), (7 * (n - pos)) // 3 - n
+        step = np.int64(n.max(initial=0)) + 2
+        place = np.sort(where * step + n)
+        at = lambda x, side: np.searchsorted(place, where * step + np.clip(x, 0, step - 1), side)
+        others = at(high, "right") - at(low, "left") - ((low <= n) & (n <= high))
+        fits = np.where(partly[where], (np.bincount(where, minlength=len(key))[where] > 1) | (salt != 0), others > 0)
+        return t.filter(pa.array(fits)).select(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the rows of the shingle that the last batch ended with, if it may go on
+        cut: int | None = None  # the shingle whose block goes out in parts
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
@@ -135,17 +166,18 @@ def blocks(index: DataFrame) -> DataFrame:
             key = t.column("shingle").to_numpy()
             start = int(np.searchsorted(key, key[-1]))
             if start:
-                yield from shared(t.slice(0, start)).combine_chunks().to_batches()
+                yield from shared(t.slice(0, start), cut).combine_chunks().to_batches()
                 held = t.slice(start).combine_chunks()
             elif t.num_rows < 200_000:
                 held = t
             else:  # a long block goes out in parts, each with two sets that were out already; repeats in a block are harmless
-                out = shared(t)
+                cut = int(key[-1])
+                out = shared(t, cut)
                 yield from out.combine_chunks().to_batches()
                 two = out.slice(0, 2)
                 held = (two.append_column("salt", pa.nulls(len(two), pa.int32()).fill_null(0)).select(t.column_names) if len(two) else t.slice(0, 1)).combine_chunks()
         if held is not None:
-            yield from shared(held).combine_chunks().to_batches()
+            yield from shared(held, cut).combine_chunks().to_batches()
 
     return materialize(spread.mapInArrow(run, "shingle long, n int, node binary, pos int"), "blocks")
 
@@ -191,11 +223,11 @@ def all_across(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def counted(known: DataFrame) -> DataFrame:
-    """node and parts as an array of ints."""
+    """node and parts, PARTS of them, as an array of ints."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"node": b["node"], "parts": [np.frombuffer(p, "<u4").astype(np.int32) for p in b["parts"]]}
+            yield {"node": b["node"], "parts": [np.frombuffer(p, "<u2").astype(np.int32).reshape(PARTS, -1).sum(1) for p in b["parts"]]}
 
     return arrow_rows(known.select("node", "parts"), run, "node binary, parts array<int>")
 
@@ -207,40 +239,41 @@ def suffix_filtered(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            if not b["a"]:
-                continue
-            x, y = (np.frombuffer(b"".join(b[k]), "<u4").reshape(-1, PARTS).astype(np.int64) for k in ("p_a", "p_b"))
-            n = np.array(b["n_a"], np.int64) + np.array(b["n_b"], np.int64)
-            kept = np.flatnonzero((NUMERATOR + DENOMINATOR) * np.minimum(x, y).sum(1) >= NUMERATOR * n)
+            n = [p + q for p, q in zip(b["n_a"], b["n_b"], strict=True)]
+            kept = [i for i, (x, y) in enumerate(zip(b["p_a"], b["p_b"], strict=True)) if (NUMERATOR + DENOMINATOR) * overlap_bound(x, y) >= NUMERATOR * n[i]]
             yield {"a": [b["a"][i] for i in kept], "b": [b["b"][i] for i in kept]}
 
     return arrow_rows(both.select("a", "b", "n_a", "n_b", "p_a", "p_b"), run, "a binary, b binary")
 
 
 def sets_of(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
-    """node, sorted (the set, 8 bytes a shingle) of the classes in pairs; only their texts are read."""
+    """node, sorted (the set, 8 bytes a shingle) of the classes in pairs.
+
+    Texts aren't shuffled: a bitmap of hashed ids of a fixed size goes to the tasks, which make the sets of the texts that it lets
+    through; those that it lets through in vain go with the join on the set's hash."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = known.join(asked, "node", "left_semi").select("node", F.col("doc_id").alias("own_id"))
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("node", "text")
+    wanted = known.join(asked, "node", "left_semi")
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(LAST))), F.lit(ID_BITS)).cast("long")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select(place.alias("bit")), ID_BITS))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         seen: set[bytes] = set()
         for b in batches:
             out: dict = {"node": [], "sorted": []}
-            for node, text in zip(b["node"], b["text"], strict=True):
-                if node in seen:
+            for k in np.flatnonzero(bits_at(shared.value, np.array(b["bit"], np.int64))).tolist():
+                s = shingle_set(b["text"][k])
+                node = xxhash.xxh3_128_digest(s.tobytes())
+                if not len(s) or node in seen:
                     continue
-                raw = shingle_set(text).tobytes()
-                if xxhash.xxh3_128_digest(raw) != node:
-                    continue  # another text with the same id
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
                 out["node"].append(node)
-                out["sorted"].append(raw)
+                out["sorted"].append(s.tobytes())
             yield out
 
-    return materialize(arrow_rows(joined, run, "node binary, sorted binary"), "members")
+    made = arrow_rows(docs.select(place.alias("bit"), "text"), run, "node binary, sorted binary")
+    return materialize(made.join(asked, "node", "left_semi").dropDuplicates(["node"]), "members")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -275,9 +308,7 @@ def linked(shared: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
             orders = [F.struct(-F.col("size"), F.xxhash64("node", "shingle", F.lit(k))) for k in range(CENTRES)]
             pairs = with_centres(shared, orders) if turn == "more centres" else all_across(shared, known)
             pairs = pairs.withColumns(both_ways).join(tested, ["low", "high"], "left_anti").select("a", "b")
-        if turn != "all":
-            pairs = suffix_filtered(pairs, known)
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(suffix_filtered(pairs, known), "pairs")
         if pairs.isEmpty():
             continue
         done = verified(pairs, docs, known)
