@@ -37,10 +37,9 @@ def alias_merge(topics: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.filter(F.lower("canonical") != F.col("low")).select("topic_id", "canonical")
 
 
-def similarity_merge(topics: DataFrame, least: float = 0.7) -> DataFrame:
-    """topic_id, keeper_id: each topic goes to its best partner that is used more, then longer, then first by name.
-
-    Going only to a partner of higher rank, and only to one that goes nowhere itself, keeps the map free of cycles and one step deep."""
+def best_partners(topics: DataFrame, least: float = 0.7) -> DataFrame:
+    """topic_id, keeper_id: each topic goes to its best partner that is used more, then longer, then first by name. As a partner's rank is
+    always higher the map has no cycles, but a partner may go on to another."""
     named = topics.groupBy(F.lower("name").alias("name")).agg(F.max("usage").alias("usage"), F.min("topic_id").alias("topic_id"))
     pairs = dice_pairs(named.select("name"), least)
     both = pairs.union(pairs.select(F.col("b"), F.col("a"), "score")).toDF("name", "other", "score")
@@ -49,7 +48,12 @@ def similarity_merge(topics: DataFrame, least: float = 0.7) -> DataFrame:
     rows = both.join(named, "name").join(other, "other")
     higher = (rank("o_") > rank("")) | ((rank("o_") == rank("")) & (F.col("o_name") < F.col("name")))
     w = Window.partitionBy("topic_id").orderBy(F.desc("score"), F.desc("o_usage"), F.desc(F.length("o_name")), "o_name")
-    best = rows.filter(higher).withColumn("r", F.row_number().over(w)).filter("r = 1").select("topic_id", F.col("o_id").alias("keeper_id"))
+    return rows.filter(higher).withColumn("r", F.row_number().over(w)).filter("r = 1").select("topic_id", F.col("o_id").alias("keeper_id"))
+
+
+def similarity_merge(topics: DataFrame, least: float = 0.7) -> DataFrame:
+    """The best partners that go nowhere themselves, so that the map is one step deep."""
+    best = best_partners(topics, least)
     return best.join(best.select(F.col("topic_id").alias("keeper_id")), "keeper_id", "left_anti").select("topic_id", "keeper_id")
 
 
