@@ -101,7 +101,7 @@ def backfilled(c: Corpus, lexicon: DataFrame, t: G.Tuning = G.DEFAULT) -> None:
     new = good.join(c.topics.select("slug"), "slug", "left_anti").groupBy("slug").agg(F.min("phrase").alias("name"))
     zero = F.lit(0).cast("long")
     made = new.select(F.xxhash64("slug").alias("topic_id"), "name", "slug", F.lit("phrase").alias("kind"), F.lit(0.0).alias("distinctiveness"), zero.alias("usage"), zero.alias("support"), F.lit(False).alias("hidden"), F.lit(None).cast("string").alias("reason"))
-    c.topics = written(c.topics.unionByName(made), "topics")
+    c.topics = written(c.topics.unionByName(made, allowMissingColumns=True), "topics")
     placed = fresh.join(c.topics.select("slug", "topic_id"), "slug")
     rows = placed.select("doc_id", "topic_id", "slug", F.lit("phrase_lexicon").alias("source"), F.lit("accepted").alias("decision"))
     c.audit = written(c.audit.unionByName(rows), "audit")
@@ -131,7 +131,7 @@ def alias_merges(c: Corpus, aliases: DataFrame) -> DataFrame:
     new = found.join(c.topics.select("slug"), "slug", "left_anti").groupBy("slug").agg(F.min("canonical").alias("name"))
     zero = F.lit(0).cast("long")
     made = new.select(F.xxhash64("slug").alias("topic_id"), "name", "slug", F.lit("entity").alias("kind"), F.lit(0.0).alias("distinctiveness"), zero.alias("usage"), zero.alias("support"), F.lit(False).alias("hidden"), F.lit(None).cast("string").alias("reason"))
-    c.topics = written(c.topics.unionByName(made), "topics")
+    c.topics = written(c.topics.unionByName(made, allowMissingColumns=True), "topics")
     return found.join(c.topics.select("slug", F.col("topic_id").alias("keeper_id")), "slug").select("topic_id", "keeper_id")
 
 
