@@ -109,11 +109,11 @@ def archive_contrast(dated: DataFrame, episodes: DataFrame, used: DataFrame, fir
     return rows.orderBy(F.desc("ratio"), "topic_id").limit(most).select("topic_id", "n", "usage", "ratio")
 
 
-def novel_history(dated: DataFrame) -> DataFrame:
-    """New topics per episode of the last year of the corpus; a topic is new where it first occurs."""
+def novel_history(dated: DataFrame, months: int = 12) -> DataFrame:
+    """New topics per episode of the last months of the corpus; a topic is new where it first occurs."""
     latest = dated.agg(F.max("published").alias("latest"))
     starts = dated.groupBy("topic_id").agg(F.min(F.struct("published", "episode_id")).alias("s")).select("topic_id", "s.*")
-    recent = starts.crossJoin(F.broadcast(latest)).filter(F.col("published") >= F.add_months("latest", -12))
+    recent = starts.crossJoin(F.broadcast(latest)).filter(F.col("published") >= F.add_months("latest", -months))
     return recent.groupBy("episode_id").agg(F.count("*").alias("novel"))
 
 
@@ -272,3 +272,28 @@ def invariants(chunks: DataFrame, links: DataFrame, topics: DataFrame) -> DataFr
         .unionByName(named("topics_without_links", topics.join(links, "topic_id", "left_anti")))
         .unionByName(named("chunks_without_links", chunks.join(links, "chunk_id", "left_anti")))
     )
+
+
+def corpus_invariants(chunks: DataFrame, episodes: DataFrame, links: DataFrame, topics: DataFrame, episode_topics: DataFrame, chunk_words: DataFrame, word_stats: DataFrame) -> DataFrame:
+    """One row: seven counts of what doesn't hang together in stored tables, and whether all are zero.
+
+    chunks: chunk_id, episode_id; episodes: episode_id, chunk_count; topics: topic_id, usage, support as stored; word_stats: word, total."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    of_links = links.groupBy("topic_id").agg(F.count("*").alias("links"))
+    of_episodes = episode_topics.groupBy("topic_id").agg(F.count_distinct("episode_id").alias("episodes"))
+    per_episode = episodes.join(chunks.groupBy("episode_id").agg(F.count("*").alias("chunks")), "episode_id", "left")
+    differ = lambda df, a, b: df.filter(F.coalesce(F.col(a), F.lit(0)) != F.coalesce(F.col(b), F.lit(0)))
+    total = lambda df, c, name: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias(name))
+    parts = [
+        count(links.join(chunks, "chunk_id", "left_anti"), "orphan_chunk_topics"),
+        count(episode_topics.join(episodes, "episode_id", "left_anti"), "orphan_episode_topics"),
+        count(chunk_words.join(chunks, "chunk_id", "left_anti"), "orphan_chunk_words"),
+        count(differ(topics.join(of_links, "topic_id", "left"), "usage", "links"), "usage_mismatches"),
+        count(differ(topics.join(of_episodes, "topic_id", "left"), "support", "episodes"), "support_mismatches"),
+        count(differ(per_episode, "chunk_count", "chunks"), "drifted_episodes"),
+        total(chunk_words, "n", "words").crossJoin(total(word_stats, "total", "stats")).select((F.col("words") - F.col("stats")).alias("word_total_delta")),
+    ]
+    row = parts[0]
+    for more in parts[1:]:
+        row = row.crossJoin(more)  # one row each
+    return row.withColumn("healthy", sum((F.abs(c) for c in row.columns), F.lit(0)) == 0)

@@ -165,8 +165,8 @@ def known_entities(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """doc_id, name, form: entities of a bounded gazetteer (name, form, place) that a text mentions; of several forms the one listed first."""
     from gleaner.operators.phrases import contained
 
-    found = contained(docs, F.broadcast(gazetteer.select(F.col("form").alias("term")).distinct())).withColumnRenamed("term", "form")
-    return found.join(F.broadcast(gazetteer.select("name", "form", "place")), "form").groupBy("doc_id", "name").agg(F.min(F.struct("place", "form"))["form"].alias("form"))
+    found = contained(docs, gazetteer.select(F.col("form").alias("term")).distinct()).withColumnRenamed("term", "form")
+    return found.join(gazetteer.select("name", "form", "place"), "form").groupBy("doc_id", "name").agg(F.min(F.struct("place", "form"))["form"].alias("form"))
 
 
 def decide(candidates: DataFrame, most: int = 5) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.functions.scores import distinctiveness
+from gleaner.operators.matcher import with_words
 from gleaner.sources.shared import written
 
 
@@ -131,27 +132,9 @@ def group_tfidf(docs: DataFrame, group: str, most: int = 5, least: int = 2, stop
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(group, "rank", "word", "n", "df", "tfidf")
 
 
-def text_keys(docs: DataFrame, longest: int = 4) -> DataFrame:
-    """doc_id, key: the distinct runs of up to `longest` words of a text, in the form of term_key."""
-    words = docs.select("doc_id", F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: w != "").alias("words"))
-    return words.select("doc_id", F.explode(F.array_distinct(F.concat(*(X.word_ngrams(F.col("words"), n) for n in range(1, longest + 1))))).alias("key"))
-
-
-def term_key(term: str) -> Column:
-    return F.trim(F.regexp_replace(F.lower(term), "[^a-z0-9]+", " "))
-
-
-def contained(docs: DataFrame, terms: DataFrame, longest: int = 4) -> DataFrame:
-    """doc_id, term of all terms that stand in a text between word boundaries; terms: term, of any number of words.
-
-    The text's runs of up to `longest` words meet the terms in an equi-join, so no text is tried against every term; longer
-    terms meet by their first `longest` words, and only then are looked for in the text as a whole."""
-    keyed = terms.select("term", term_key("term").alias("whole")).withColumn("key", F.substring_index("whole", " ", longest))
-    met = text_keys(docs, longest).join(keyed, "key").withColumnRenamed("doc_id", "met_id")
-    texts = docs.select("doc_id", F.concat(F.lit(" "), term_key("text"), F.lit(" ")).alias("form"))
-    placed = met.join(texts, (F.col("met_id") == F.col("doc_id")) & (F.col("key") != F.col("whole")), "left")
-    whole = (F.col("key") == F.col("whole")) | F.contains("form", F.concat(F.lit(" "), "whole", F.lit(" ")))
-    return placed.filter(whole).select(F.col("met_id").alias("doc_id"), "term").distinct()
+def contained(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, term of all terms that stand in a text between word boundaries; terms: term, of any number of words."""
+    return with_words(docs, terms)
 
 
 def phrase_candidates(docs: DataFrame, starters: list[str], most: int = 8, stop=X.STOPWORDS) -> DataFrame:

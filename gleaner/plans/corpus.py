@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import gates as G
 from gleaner.functions import text as X
 from gleaner.operators import keywords as K
-from gleaner.operators import merges as M
 from gleaner.operators import phrases as P
+from gleaner.plans import finalization as Z
 from gleaner.sources.shared import written
 
 #: Ranking of candidates' sources; scores only decide within a source.
@@ -25,8 +25,9 @@ PRIORITY = {"known_entity": 4, "phrase_lexicon": 3, "heuristic_entity": 2, "keyp
 class Topics:
     artifacts: DataFrame  # doc_id, episode_id, text, warnings
     audit: DataFrame  # every candidate with its decision
-    topics: DataFrame  # topic_id, name, slug, kind, usage, support, distinctiveness, reason
+    topics: DataFrame  # topic_id, name, slug, kind, usage, support, distinctiveness, reason of the topics with links
     links: DataFrame  # chunk_id, topic_id
+    final: Z.Corpus  # what finalisation left: all topics, the merge audit, reach, steps
 
 
 def artifacts(docs: DataFrame) -> DataFrame:
@@ -42,8 +43,8 @@ def candidates(rows: DataFrame, gazetteer: DataFrame | None = None, lexicon: Dat
     if gazetteer is not None:
         found.append(shaped(K.known_entities(rows, gazetteer), "known_entity", "name", "entity", F.lit(200)))
     if lexicon is not None:
-        hits = P.contained(rows, lexicon.select(F.col("phrase").alias("term")), 3).withColumnRenamed("term", "phrase")
-        found.append(shaped(hits.join(F.broadcast(lexicon.select("phrase", "quality")), "phrase"), "phrase_lexicon", "phrase", "phrase", F.col("quality")))
+        hits = P.contained(rows, lexicon.select(F.col("phrase").alias("term"))).withColumnRenamed("term", "phrase")
+        found.append(shaped(hits.join(lexicon.select("phrase", "quality"), "phrase"), "phrase_lexicon", "phrase", "phrase", F.col("quality")))
     if mode:
         found.append(shaped(K.document_keyphrases(rows, mode), "keyphrase", "phrase", "concept", -F.col("score")))
     out = found[0]
@@ -73,27 +74,6 @@ def promoted(audit: DataFrame, rows: DataFrame, stats: DataFrame, t: G.Tuning =
     return scored.filter(reason.isNull()).select(F.xxhash64("slug").alias("topic_id"), "slug", "name", "kind", "distinctiveness")
 
 
-def recounted(topics: DataFrame, links: DataFrame, rows: DataFrame) -> DataFrame:
-    """Topics with usage and support from the links."""
-    dated = links.join(rows.select(F.col("doc_id").alias("chunk_id"), "episode_id"), "chunk_id")
-    counts = dated.groupBy("topic_id").agg(F.count("*").alias("usage"), F.count_distinct("episode_id").alias("support"))
-    base = [c for c in topics.columns if c not in ("usage", "support")]
-    return topics.select(*base).join(counts, "topic_id", "left").fillna(0, ["usage", "support"])
-
-
-def finalized(topics: DataFrame, links: DataFrame, rows: DataFrame, least_episodes: int = 2, t: G.Tuning = G.DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Noise and narrow topics out, variants merged, counts renewed, display decided. Running it again changes nothing."""
-    topics = recounted(topics, links, rows)
-    entity = F.col("kind") == "entity"
-    kept = topics.filter(entity | (~G.is_noise(F.col("name"), t) & (F.col("support") >= least_episodes)))
-    merges = M.stem_merge(kept)
-    links = M.relink(links.join(kept.select("topic_id"), "topic_id", "left_semi"), merges)
-    kept = kept.join(merges.filter("topic_id = keeper_id").select("topic_id"), "topic_id", "left_semi")
-    kept = recounted(kept, links, rows).filter("usage > 0")
-    reason = G.display_reason(F.col("name"), F.col("kind"), F.col("support"), F.col("usage"), F.col("distinctiveness"), t)
-    return kept.drop("reason").withColumn("reason", reason), links
-
-
 def gated_lexicon(rows: DataFrame, t: G.Tuning = G.DEFAULT, most: int = 200) -> DataFrame:
     """phrase, docs, support, quality: adjacent pairs and repeated n-grams, of each slug the best; the best `most` of those that pass all gates."""
     filled = rows.filter("text != ''")
@@ -115,15 +95,30 @@ def build(docs: DataFrame, gazetteer: DataFrame | None = None, baseline: DataFra
     audit = written(decided(candidates(rows, gazetteer, lexicon, mode), t=t), "audit")
     baseline = baseline if baseline is not None else docs.sparkSession.createDataFrame([], "word string, rank int")
     topics = written(promoted(audit, rows, P.word_distinctiveness(rows, baseline), t), "topics")
-    found = audit.filter("decision = 'accepted'").join(topics.select("slug", "topic_id"), "slug").select(F.col("doc_id").alias("chunk_id"), "topic_id").distinct()
-    found = written(found, "links")
-    topics, links = finalized(topics, found, rows, t=t)
-    return Topics(rows, audit, written(topics, "topics"), written(links, "links"))
+    accepted = audit.filter("decision = 'accepted'").join(topics.select("slug", "topic_id"), "slug")
+    found = written(accepted.select(F.col("doc_id").alias("chunk_id"), "topic_id").distinct(), "links")
+    zero = F.lit(0).cast("long")
+    full = topics.select("topic_id", "name", "slug", "kind", "distinctiveness", zero.alias("usage"), zero.alias("support"), F.lit(False).alias("hidden"), F.lit(None).cast("string").alias("reason"))
+    published = docs.select("doc_id", "published") if "published" in docs.columns else rows.select("doc_id", F.lit(None).cast("date").alias("published"))
+    dated = rows.join(published, "doc_id", "left")
+    traced = written(audit.join(topics.select("slug", "topic_id"), "slug", "left").select("doc_id", "topic_id", "slug", "source", "decision"), "traced")
+    aliases = gazetteer.select(F.col("form").alias("alias"), F.col("name").alias("canonical"), "place") if gazetteer is not None else None
+    phrases = lexicon.select("phrase", X.slugify(F.col("phrase")).alias("slug"), "docs", "support", "quality").join(topics.select("slug"), "slug", "left_semi")
+    final = Z.finalized(Z.Corpus(dated, full, found, traced, docs.sparkSession.createDataFrame([], Z.MERGE_SCHEMA)), phrases, aliases, t=t)
+    return Topics(rows, audit, final.topics.filter("usage > 0"), final.links, final)
+
+
+_BUILT: dict[tuple[str, str], Topics] = {}
 
 
 def of_documents(spark, sf_dir: str) -> Topics:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("source").alias("episode_id"))
-    return build(docs)
+    """Built by the first query of a session over these tables, read by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        published = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod("doc_id", F.lit(730)).cast("int"))
+        _BUILT[key] = build(d.select("doc_id", "text", F.col("source").alias("episode_id"), published.alias("published")))
+    return _BUILT[key]
 
 
 def characterization(built: Topics) -> DataFrame:
@@ -164,6 +159,8 @@ QUERIES = {
     "corpus_topics": lambda spark, sf_dir: of_documents(spark, sf_dir).topics,
     "corpus_links": lambda spark, sf_dir: of_documents(spark, sf_dir).links,
     "candidate_audit": lambda spark, sf_dir: of_documents(spark, sf_dir).audit.groupBy("source", "decision").agg(F.count("*").alias("n")),
+    "merge_audit": lambda spark, sf_dir: of_documents(spark, sf_dir).final.merges,
+    "corpus_reach": lambda spark, sf_dir: of_documents(spark, sf_dir).final.reach,
     "pipeline_characterization": lambda spark, sf_dir: characterization(of_documents(spark, sf_dir)),
 }
 ORACLE: dict[str, str] = {}

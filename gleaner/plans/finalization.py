@@ -38,18 +38,24 @@ class Corpus:
     reach: DataFrame | None = None
 
 
-def closed(merges: DataFrame, rounds: int = 40) -> DataFrame:
-    """topic_id, keeper_id with keepers that go nowhere themselves: each round doubles the steps that a topic has gone."""
-    current = written(merges.filter("topic_id != keeper_id").select("topic_id", "keeper_id"), "merges")
+def closed_in_steps(merges: DataFrame, rounds: int = 40) -> DataFrame:
+    """topic_id, keeper_id, steps, with keepers that go nowhere themselves: each round doubles the merges that a topic has gone."""
+    own = merges.filter("topic_id != keeper_id").select("topic_id", "keeper_id", F.lit(1).cast("long").alias("steps"))
+    current = written(own, "merges")
     for _ in range(rounds):
-        on = current.select(F.col("topic_id").alias("keeper_id"), F.col("keeper_id").alias("further"))
-        step = written(current.join(on, "keeper_id", "left").select("topic_id", F.coalesce("further", "keeper_id").alias("keeper_id"), F.col("further").isNotNull().alias("moved")), "merges")
-        current = step.select("topic_id", "keeper_id")
+        on = current.select(F.col("topic_id").alias("keeper_id"), F.col("keeper_id").alias("further"), F.col("steps").alias("more"))
+        joined = current.join(on, "keeper_id", "left")
+        step = written(joined.select("topic_id", F.coalesce("further", "keeper_id").alias("keeper_id"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")), "merges")
+        current = step.select("topic_id", "keeper_id", "steps")
         if step.filter("moved").isEmpty():
             return current
     raise ValueError("merges go in a circle")
 
 
+def closed(merges: DataFrame, rounds: int = 40) -> DataFrame:
+    return closed_in_steps(merges, rounds).drop("steps")
+
+
 def active(topics: DataFrame) -> DataFrame:
     return topics.filter("usage > 0")
 

@@ -55,14 +55,8 @@ def _(c):
     return A.rank_history(c.dated, 10)
 
 
-@_q("adjacent_topics", "SELECT topic_id, CAST(row_number() OVER w AS INTEGER) AS rank, lag(topic_id) OVER w AS above, lead(topic_id) OVER w AS below FROM (SELECT * FROM used ORDER BY usage DESC, distinctiveness DESC, name, topic_id LIMIT 200) WINDOW w AS (ORDER BY usage DESC, distinctiveness DESC, name, topic_id)")
+@_q("adjacent_topics", "SELECT topic_id, CAST(row_number() OVER w AS BIGINT) AS rank, lag(topic_id) OVER w AS above, lead(topic_id) OVER w AS below FROM used WHERE NOT hidden WINDOW w AS (ORDER BY usage DESC, distinctiveness DESC, name, topic_id)")
 def _(c):
-    return A.neighbours_in_rank(c.used, 200)
-
-
-@_q("adjacent_topics_all", None)
-def _(c):
-    """All visible topics in rank, without SQL."""
     return A.neighbours_in_rank(c.used.filter(A.visible()))
 
 
@@ -95,9 +89,9 @@ def _(c):
     return A.archive_contrast(c.dated, c.episodes, c.used, *NOW, 25)
 
 
-@_q("novel_topic_history", "SELECT episode_id, count(*) AS novel FROM (SELECT topic_id, min(published) AS published, min(episode_id) AS episode_id FROM dated GROUP BY topic_id) WHERE published >= (SELECT max(published) FROM dated) - INTERVAL 12 MONTH GROUP BY episode_id")
+@_q("novel_topic_history", "SELECT episode_id, count(*) AS novel FROM (SELECT topic_id, min(published) AS published, min(episode_id) AS episode_id FROM dated GROUP BY topic_id) WHERE published >= (SELECT max(published) FROM dated) - INTERVAL 84 MONTH GROUP BY episode_id")
 def _(c):
-    return A.novel_history(c.dated)
+    return A.novel_history(c.dated, 84)
 
 
 @_q("first_occurrence", "SELECT topic_id, min(published) AS first_seen FROM dated GROUP BY topic_id")
@@ -200,9 +194,10 @@ def _(c):
     return c.topics.join(c.dated.filter("episode_id = 199804"), "topic_id", "left").groupBy("topic_id").agg(F.count("chunk_id").alias("n"))
 
 
-@_q("orphan_audit", "SELECT topic_id FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM links)")
+@_q("orphan_audit", f"SELECT topic_id FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM dated WHERE {_NOW})")
 def _(c):
-    return c.topics.join(c.links, "topic_id", "left_anti").select("topic_id")
+    """Topics that no chunk of the period has."""
+    return c.topics.join(c.within(*NOW).dated, "topic_id", "left_anti").select("topic_id")
 
 
 @_q("invariant_audit", "SELECT 'links_without_chunk' AS invariant, count(*) AS n FROM links WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks) UNION ALL SELECT 'links_without_topic', count(*) FROM links WHERE topic_id NOT IN (SELECT topic_id FROM topics) UNION ALL SELECT 'topics_without_links', count(*) FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM links) UNION ALL SELECT 'chunks_without_links', count(*) FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM links)")
@@ -239,9 +234,10 @@ def _(c):
     return one(c.episodes, "episodes").crossJoin(one(c.chunks, "chunks")).crossJoin(one(c.links, "links")).crossJoin(topics)
 
 
-@_q("episodes_union_distinct", "SELECT episode_id FROM chunks WHERE episode_id < 199601 UNION SELECT episode_id FROM dated WHERE topic_id < 100")
+@_q("episodes_union_distinct", "SELECT episode_id FROM chunks WHERE published < DATE '1996-01-01' UNION SELECT episode_id FROM dated JOIN topics USING (topic_id) WHERE kind = 'entity' AND hidden")
 def _(c):
-    return c.chunks.filter("episode_id < 199601").select("episode_id").union(c.dated.filter("topic_id < 100").select("episode_id")).distinct()
+    old = c.chunks.filter(F.col("published") < F.lit(D(1996, 1, 1))).select("episode_id")
+    return old.union(c.dated.join(c.topics.filter("kind = 'entity' AND hidden"), "topic_id").select("episode_id")).distinct()
 
 
 @_q("paged_topics", "SELECT topic_id, usage FROM used WHERE NOT hidden ORDER BY usage DESC, topic_id LIMIT 20 OFFSET 40")
@@ -260,9 +256,9 @@ def _(c):
     return c.dated.select("episode_id", "topic_id").distinct()
 
 
-@_q("topic_lookup", "SELECT topic_id, name, usage, support FROM used WHERE topic_id = 5 AND NOT hidden")
+@_q("topic_lookup", "SELECT topic_id, name, usage, support FROM used WHERE topic_id = 1 AND NOT hidden")
 def _(c):
-    return c.used.filter((F.col("topic_id") == 5) & A.visible()).select("topic_id", "name", "usage", "support")
+    return c.used.filter((F.col("topic_id") == 1) & A.visible()).select("topic_id", "name", "usage", "support")
 
 
 @_q("chunk_with_episode", "SELECT chunk_id, e.episode_id, e.published FROM chunks JOIN episodes e USING (episode_id) WHERE chunk_id = 7")
@@ -364,3 +360,40 @@ def _(c):
 def _(c):
     band = F.when(F.col("usage") == 0, 0).when(F.col("usage") < 3, 1).when(F.col("usage") < 10, 2).otherwise(3)
     return c.used.select("topic_id", "usage", band.alias("band"))
+
+
+def _words(df):
+    """chunk_id, word, n of the names of a chunk's topics."""
+    return df.select("chunk_id", F.explode(F.split("name", " ")).alias("word")).groupBy("chunk_id", "word").agg(F.count("*").alias("n"))
+
+
+_EARLIER = "published < DATE '1998-04-01'"
+
+
+@_q(
+    "corpus_invariants",
+    f""", named AS (SELECT d.chunk_id, d.published, unnest(string_split(name, ' ')) AS word FROM dated d JOIN topics USING (topic_id)),
+    episode_topics AS (SELECT DISTINCT episode_id, topic_id FROM dated), stored AS (SELECT topic_id, count(*) AS usage, count(DISTINCT episode_id) AS support FROM dated WHERE {_EARLIER} GROUP BY topic_id)
+    SELECT *, orphan_chunk_topics + orphan_episode_topics + orphan_chunk_words + usage_mismatches + support_mismatches + drifted_episodes + abs(word_total_delta) = 0 AS healthy FROM (SELECT
+        (SELECT count(*) FROM links WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE {_EARLIER})) AS orphan_chunk_topics,
+        (SELECT count(*) FROM episode_topics WHERE episode_id NOT IN (SELECT episode_id FROM episodes WHERE {_EARLIER})) AS orphan_episode_topics,
+        (SELECT count(*) FROM (SELECT DISTINCT chunk_id, word FROM named) WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE {_EARLIER})) AS orphan_chunk_words,
+        (SELECT count(*) FROM used LEFT JOIN stored s USING (topic_id) WHERE coalesce(s.usage, 0) != used.usage) AS usage_mismatches,
+        (SELECT count(*) FROM used LEFT JOIN stored s USING (topic_id) WHERE coalesce(s.support, 0) != used.support) AS support_mismatches,
+        (SELECT count(*) FROM (SELECT episode_id, count(*) AS n, count(*) FILTER (WHERE {_EARLIER}) AS m FROM chunks GROUP BY episode_id) WHERE n != m AND m > 0) AS drifted_episodes,
+        (SELECT count(*) FROM named) - (SELECT count(*) FROM named WHERE {_EARLIER}) AS word_total_delta)""",
+)
+def _(c):
+    """The state as it was stored before the last months, held against all that has come since."""
+    earlier = F.col("published") < F.lit(D(1998, 4, 1))
+    named = c.dated.join(c.topics.select("topic_id", "name"), "topic_id")
+    stored = c.dated.filter(earlier).groupBy("topic_id").agg(F.count("*").alias("usage"), F.count_distinct("episode_id").alias("support"))
+    return A.corpus_invariants(
+        chunks=c.chunks.filter(earlier),
+        episodes=c.episodes.filter(earlier).join(c.chunks.groupBy("episode_id").agg(F.count("*").alias("chunk_count")), "episode_id"),
+        links=c.links,
+        topics=c.topics.select("topic_id").join(stored, "topic_id", "left").fillna(0),
+        episode_topics=c.dated.select("episode_id", "topic_id").distinct(),
+        chunk_words=_words(named),
+        word_stats=_words(named.filter(earlier)).groupBy("word").agg(F.sum("n").alias("total")),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.functions.vectors import mean_pool
+from gleaner.operators import matcher as M
 from gleaner.operators import phrases as P
 from gleaner.operators import search as S
 
@@ -72,14 +73,8 @@ def _(d):
     return d.select("doc_id", X.count_words(F.col("text")).cast("long").alias("n"))
 
 
-@_q("slugify", f"SELECT doc_id, {_slug('substring(text, 1, 60)')} AS slug FROM documents")
+@_q("slugify", f"SELECT doc_id, {_slug('text')} AS slug FROM documents")
 def _(d):
-    return d.select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
-
-
-@_q("slugify_all", None)
-def _(d):
-    """slugify over whole texts, without SQL."""
     return d.select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
@@ -167,9 +162,9 @@ def _(d):
     return P.pmi_pairs(d)
 
 
-@_q("adjacent_pmi_lexicon", TOK + f", b AS (SELECT phrase, count(*) AS docs, CAST(sum(n) AS BIGINT) AS support FROM (SELECT phrase, doc_id, count(*) AS n FROM (SELECT doc_id, unnest({_BI}) AS phrase FROM tok) GROUP BY ALL) GROUP BY phrase HAVING count(*) >= 3), df AS (SELECT word, count(*) AS df FROM cw GROUP BY word), s AS (SELECT phrase, docs, support, round(ln(docs * (SELECT size FROM size) / (x.df * y.df)) * (1 + log2(support + 1)), 6) AS quality FROM b JOIN df x ON x.word = split_part(phrase, ' ', 1) JOIN df y ON y.word = split_part(phrase, ' ', 2)) SELECT * FROM s WHERE quality >= 1.5 ORDER BY quality DESC, phrase LIMIT 200")
+@_q("adjacent_pmi_lexicon", TOK + f", b AS (SELECT phrase, count(*) AS docs, CAST(sum(n) AS BIGINT) AS support FROM (SELECT phrase, doc_id, count(*) AS n FROM (SELECT doc_id, unnest({_BI}) AS phrase FROM tok) GROUP BY ALL) GROUP BY phrase HAVING count(*) >= 3), df AS (SELECT word, count(*) AS df FROM cw GROUP BY word), s AS (SELECT phrase, docs, support, round(ln(docs * (SELECT size FROM size) / (x.df * y.df)) * (1 + log2(support + 1)), 6) AS quality FROM b JOIN df x ON x.word = split_part(phrase, ' ', 1) JOIN df y ON y.word = split_part(phrase, ' ', 2)) SELECT * FROM s WHERE quality >= 1.5")
 def _(d):
-    return P.phrase_lexicon(d)
+    return P.phrase_lexicon(d, most=None)
 
 
 @_q("sips", TOK + f"SELECT phrase, count(*) AS n FROM (SELECT unnest({_BI}) AS phrase FROM tok) WHERE split_part(phrase, ' ', 1) NOT IN ('tion', 'ther', 'heed') AND split_part(phrase, ' ', 2) NOT IN ('tion', 'ther', 'heed') GROUP BY phrase HAVING count(*) >= 3")
@@ -198,16 +193,9 @@ def _(d):
 _FORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@_q("phrase_containment", f"WITH terms AS (SELECT DISTINCT array_to_string(string_split({_FORM.format('text')}, ' ')[1:3], ' ') AS term FROM benchmark) SELECT d.doc_id, t.term FROM documents d JOIN terms t ON contains(' ' || {_FORM.format('d.text')} || ' ', ' ' || t.term || ' ')", "documents", "benchmark")
+@_q("phrase_containment", f"SELECT DISTINCT d.doc_id, b.text AS term FROM documents d JOIN benchmark b ON contains(' ' || {_FORM.format('d.text')} || ' ', ' ' || {_FORM.format('b.text')} || ' ')", "documents", "benchmark")
 def _(d, b):
-    form = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    terms = b.select(F.array_join(F.slice(F.split(form, " "), 1, 3), " ").alias("term")).distinct()
-    return P.contained(d, terms)
-
-
-@_q("phrase_containment_all", None, "documents", "benchmark")
-def _(d, b):
-    """Which documents hold which items of the benchmark whole, without SQL."""
+    """Which documents hold which items of the benchmark whole."""
     return P.contained(d, b.select(F.col("text").alias("term")).distinct())
 
 
@@ -222,26 +210,14 @@ def _(d):
 _COS = "list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / (sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])))"
 
 
-@_q("cosine_topk", f"SELECT * FROM (SELECT y.vec_id AS query_id, x.vec_id, round({_COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY y.vec_id ORDER BY round({_COS}, 6) DESC, x.vec_id) AS INTEGER) AS rank FROM embeddings x, embeddings y WHERE y.vec_id < 5 AND x.vec_id != y.vec_id) WHERE rank <= 10", "embeddings")
-def _(e):
-    return S.cosine_topk(e, e.filter("vec_id < 5"), 10)
-
-
-@_q("cross_references", f"SELECT y.vec_id AS query_id, x.vec_id, round({_COS}, 6) AS score FROM embeddings x, embeddings y WHERE y.vec_id < 20 AND x.vec_id != y.vec_id AND round({_COS}, 6) >= 0.5", "embeddings")
+@_q("cosine_topk", f"SELECT * FROM (SELECT y.vec_id AS query_id, x.vec_id, round({_COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY y.vec_id ORDER BY round({_COS}, 6) DESC, x.vec_id) AS INTEGER) AS rank FROM embeddings x, embeddings y WHERE y.vec_id % 50 = 0 AND x.vec_id != y.vec_id) WHERE rank <= 10", "embeddings")
 def _(e):
-    return S.cosine_topk(e, e.filter("vec_id < 20"), None, 0.5).select("query_id", "vec_id", "score")
-
-
-@_q("cosine_topk_all", None, "embeddings")
-def _(e):
-    """cosine_topk over the whole query set, without SQL."""
     return S.cosine_topk(e, e.filter("vec_id % 50 = 0"), 10)
 
 
-@_q("cross_references_all", None, "embeddings")
+@_q("cross_references", f"SELECT y.vec_id AS query_id, x.vec_id, round({_COS}, 6) AS score FROM embeddings x, embeddings y WHERE y.vec_id % 50 = 0 AND x.vec_id != y.vec_id AND round({_COS}, 6) >= 0.3", "embeddings")
 def _(e):
-    """cross_references over the whole query set, without SQL."""
-    return S.cosine_topk(e, e.filter("vec_id % 50 = 0"), None, 0.5).select("query_id", "vec_id", "score")
+    return S.cosine_topk(e, e.filter("vec_id % 50 = 0"), None, 0.3).select("query_id", "vec_id", "score")
 
 
 @_q("mean_pool_by_label", "SELECT label, place, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(0, 64)) AS place, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY ALL", "embeddings")
@@ -302,3 +278,45 @@ def _(o):
     short = F.date_format("o_orderdate", "M/d/yyyy")
     parsed = T.parse_episode_date(short)
     return o.select(parsed.alias("parsed"), T.human(parsed).alias("human")).distinct()
+
+
+#: Terms with a word's start in common, so that some stand inside longer words only.
+_THE = TOK + ", term AS (SELECT word AS term FROM cw WHERE word LIKE 'the%' GROUP BY word HAVING count(*) >= 3)"
+
+
+@_q("term_matches", _THE + " SELECT doc_id, term, regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') AS whole FROM documents, term WHERE contains(lower(text), term)")
+def _(d):
+    """Which documents hold which terms, and whether between word boundaries: what entity validation rests on."""
+    terms = P.chunk_words(d).filter(F.col("word").startswith("the")).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 3").select(F.col("word").alias("term"))
+    inside, whole = M.with_substrings(d, terms), M.with_bounds(d, terms).withColumn("whole", F.lit(True))
+    return inside.join(whole, ["doc_id", "term"], "left").fillna(False, ["whole"])
+
+
+@_q(
+    "lexicon_backfill",
+    TOK + f", p AS (SELECT phrase FROM (SELECT phrase, doc_id FROM (SELECT doc_id, unnest({_BI}) AS phrase FROM tok) GROUP BY ALL) GROUP BY phrase HAVING count(*) >= 25), f AS MATERIALIZED (SELECT doc_id, lower(text) AS low, ' ' || {_FORM.format('text')} || ' ' AS form FROM documents) SELECT doc_id, phrase FROM f, p WHERE contains(low, phrase) AND NOT contains(form, ' ' || phrase || ' ')",
+)
+def _(d):
+    """Documents that hold a phrase of the lexicon anywhere but not as words, which is where extraction has put no link."""
+    pairs = P.tokens(d).select("doc_id", F.explode(F.array_distinct(X.word_ngrams(F.col("words"), 2))).alias("phrase"))
+    terms = pairs.groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 25").select(F.col("phrase").alias("term"))
+    return M.with_substrings(d, terms).join(P.contained(d, terms), ["doc_id", "term"], "left_anti").select("doc_id", F.col("term").alias("phrase"))
+
+
+@_q(
+    "merge_chain",
+    f"""WITH RECURSIVE n AS (SELECT lower(p_name) AS name, min(p_partkey) AS topic_id, count(*) AS usage FROM part GROUP BY lower(p_name)),
+    g AS (SELECT *, {_DBI.format('name')} AS g FROM n),
+    s AS (SELECT x.topic_id, y.topic_id AS keeper_id, round(2 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)), 6) AS score, y.usage AS u, y.name AS m, x.usage AS xu, x.name AS xm FROM g x JOIN g y ON x.name != y.name),
+    b AS (SELECT topic_id, keeper_id FROM s WHERE score >= 0.7 AND (u > xu OR u = xu AND length(m) > length(xm) OR u = xu AND length(m) = length(xm) AND m < xm) QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, u DESC, length(m) DESC, m) = 1),
+    walk AS (SELECT topic_id, keeper_id, 1 AS steps FROM b UNION ALL SELECT w.topic_id, b.keeper_id, steps + 1 FROM walk w JOIN b ON b.topic_id = w.keeper_id)
+    SELECT topic_id, arg_max(keeper_id, steps) AS keeper_id, CAST(max(steps) AS BIGINT) AS steps FROM walk GROUP BY topic_id""",
+    "part",
+)
+def _(p):
+    """Names alike go to their best partner, which may go further; the map is closed, with the number of merges on the way."""
+    from gleaner.operators.merges import best_partners
+    from gleaner.plans.finalization import closed_in_steps
+
+    names = p.groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("topic_id"), F.count("*").alias("usage"))
+    return closed_in_steps(best_partners(names, 0.7))
