@@ -154,8 +154,8 @@ def escape_regex(text: Column) -> Column:
 
 
 def json_for_html(value: Column) -> Column:
-    """JSON of a struct, map or array that can't close a script element; in JSON a slash may be escaped."""
-    return F.replace(F.to_json(value), F.lit("</"), F.lit("<\\/"))
+    """JSON of a struct, map or array, null fields included, that can't close a script element; in JSON a slash may be escaped."""
+    return F.replace(F.to_json(value, {"ignoreNullFields": "false"}), F.lit("</"), F.lit("<\\/"))
 
 
 def quoted_phrase(query: Column) -> Column:
@@ -169,8 +169,8 @@ def whole_number(text: Column, default: int) -> Column:
 
 
 def topic_tokens(name: Column) -> Column:
-    """The distinct lower-case tokens of a topic's name."""
-    return F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != ""))
+    """The distinct lower-case tokens of a topic's name; white space alone parts them."""
+    return F.array_distinct(F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != ""))
 
 
 def highlight(text: Column, word: str) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import datetime
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.sources.shared import written
+
 
 def new_episodes(parsed: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows whose (source_id, published) isn't there yet; ingesting twice adds nothing."""
@@ -135,17 +136,45 @@ def enrichment_done(chunks: DataFrame, version: int) -> bool:
     return chunks.filter(pending(chunks, version)).limit(1).isEmpty()
 
 
+#: Parts of messages of failures that pass.
+PASSING = (
+    "Network connection lost",
+    "storage caused object to be reset",
+    "reset because its code was updated",
+    "SQLITE_BUSY",
+    "SQLITE_BUSY_RECOVERY",
+    "SQLITE_LOCKED",
+    "Too Many Requests",
+    "429",
+    "503",
+    "504",
+)
+
+
 def retryable(message: Column) -> Column:
-    """Whether a failure is passing, so that its batch is tried again; others are set aside."""
-    return F.coalesce(F.lower(message).rlike("timeout|timed out|temporar|rate limit|too many requests|connection|network|busy|locked|overloaded|\\b(429|5\\d\\d)\\b"), F.lit(False))
+    """Whether a failure is passing, so that its batch is tried again."""
+    found = F.lit(False)
+    for part in PASSING:
+        found = found | message.contains(part)
+    return F.coalesce(found, F.lit(False))
+
+
+def retried(failures: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """failures (batch, attempt, message) that are tried again, with the next attempt, and those that are set aside for good."""
+    again = retryable(F.col("message")) & (F.col("attempt") < most)
+    return failures.filter(again).withColumn("attempt", F.col("attempt") + 1), failures.filter(~again)
 
 
 def id_batches(ids: DataFrame, id_col: str, size: int = 90) -> DataFrame:
-    """batch and its ids, at most `size` of them, in the order of a hash range; no global sort and no single task."""
-    spread = ids.select(id_col).distinct().repartition(F.col(id_col)).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy(id_col)
-    placed = spread.withColumn("turn", F.floor((F.row_number().over(w) - 1) / size))
-    return placed.groupBy("part", "turn").agg(F.array_sort(F.collect_list(id_col)).alias("ids")).select(F.concat_ws("-", "part", "turn").alias("batch"), "ids")
+    """batch (from 0) and its ids, `size` of them in the order of the ids; the same whatever the number of partitions.
+
+    Ranges of ids are numbered each by itself; the sizes of the ranges, a row for each, say where each begins."""
+    ranges = written(ids.select(id_col).distinct().repartitionByRange(F.col(id_col)).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("size"))
+    starts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))
+    placed = ranges.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(id_col)) - 1).join(F.broadcast(starts), "part")
+    numbered = placed.withColumn("batch", F.floor((F.col("start") + F.col("at")) / size))
+    return numbered.groupBy("batch").agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
 
 
 def latest_runs(runs: DataFrame, started: DataFrame, most: int = 20) -> DataFrame:
@@ -155,25 +184,40 @@ def latest_runs(runs: DataFrame, started: DataFrame, most: int = 20) -> DataFram
     return top.join(stages, "run_id", "left")
 
 
-def health_view(chunks: DataFrame, topics: DataFrame, links: DataFrame, version: int) -> DataFrame:
-    """One row: chunks, chunks that wait, topics, links, links without a chunk, and whether all is well."""
+def health_view(chunks: DataFrame, topics: DataFrame, links: DataFrame, version: int, invariants: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """One row: chunks, chunks that wait, topics, links, links without a chunk, and whether all is well; with the seven counts of
+    corpus_invariants and the last run (run_id, at, error) if given."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
     out = chunks.agg(F.count("*").alias("chunks"), F.count_if(pending(chunks, version)).alias("waiting"))
     out = out.crossJoin(count(topics, "topics")).crossJoin(count(links, "links"))  # one row each
     out = out.crossJoin(count(links.join(chunks, "chunk_id", "left_anti"), "orphans"))
-    return out.withColumn("healthy", (F.col("waiting") == 0) & (F.col("orphans") == 0))
-
-
-def archived_lineage(topics: DataFrame, archive: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Topics without use but with a lineage go to the archive, one row per (name, keeper, stage) with a count; nulls are equal there.
-
-    topics: topic_id, name, usage, merged_into, merge_stage; archive: name, merged_into, merge_stage, topic_id, archive_count. Returns (left, archive)."""
-    gone = (F.col("usage") == 0) & F.col("merged_into").isNotNull()
-    keys = ["name", "merged_into", "merge_stage"]
-    fresh = topics.filter(gone).select(*keys, "topic_id", F.lit(1).cast("long").alias("archive_count"))
-    both = archive.select(*keys, "topic_id", F.col("archive_count").cast("long").alias("archive_count")).unionByName(fresh)
-    merged = both.groupBy(*keys).agg(F.min("topic_id").alias("topic_id"), F.sum("archive_count").alias("archive_count"))  # grouping takes nulls as equal
-    return topics.filter(~F.coalesce(gone, F.lit(False))), merged
+    well = (F.col("waiting") == 0) & (F.col("orphans") == 0)
+    if invariants is not None:
+        out = out.crossJoin(invariants.withColumnRenamed("healthy", "consistent"))
+        well = well & F.col("consistent")
+    if runs is not None:
+        last = runs.agg(F.max_by(F.struct("run_id", "at", "error"), F.struct("at", "run_id")).alias("last_run"))
+        out = out.crossJoin(last)
+        well = well & F.col("last_run.error").isNull()
+    return out.withColumn("healthy", well)
+
+
+def archived_lineage(topics: DataFrame, links: DataFrame, audit: DataFrame, merges: DataFrame, archive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Topics without use and links that a candidate or a merge tells of go to the archive: a row for each slug, keeper and stage (nulls are equal there).
+
+    topics: topic_id, slug, name, usage; audit: topic_id; merges: from_id, to_id, stage, place; archive: slug, name, merged_into, merge_stage,
+    topic_id (the first one archived), last_topic_id, archive_count. A topic's keeper and stage are those of its last merge. Returns (left, archive)."""
+    last = merges.groupBy(F.col("from_id").alias("topic_id")).agg(F.max_by(F.struct(F.col("to_id").alias("merged_into"), F.col("stage").alias("merge_stage")), "place").alias("m")).select("topic_id", "m.*")
+    told = audit.select("topic_id").union(merges.select("from_id")).union(merges.select("to_id")).filter("topic_id IS NOT NULL").distinct()
+    gone = topics.filter("usage = 0").join(links, "topic_id", "left_anti").join(told, "topic_id", "left_semi")
+    keys = ["slug", "merged_into", "merge_stage"]
+    fresh = gone.join(last, "topic_id", "left").select(*keys, "name", "topic_id", F.col("topic_id").alias("last_topic_id"), F.lit(1).cast("long").alias("archive_count"), F.lit(1).alias("turn"))
+    both = archive.select(*keys, "name", "topic_id", "last_topic_id", F.col("archive_count").cast("long").alias("archive_count"), F.lit(0).alias("turn")).unionByName(fresh)
+    latest_first = F.struct("turn", "last_topic_id")
+    merged = both.groupBy(*keys).agg(  # grouping takes nulls as equal
+        F.max_by("name", latest_first).alias("name"), F.min_by("topic_id", F.struct("turn", "topic_id")).alias("topic_id"), F.max_by("last_topic_id", latest_first).alias("last_topic_id"), F.sum("archive_count").alias("archive_count")
+    )
+    return topics.join(gone.select("topic_id"), "topic_id", "left_anti"), merged
 
 
 def stale_removed(links: DataFrame, chunks: DataFrame, topics: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +226,3 @@ def stale_removed(links: DataFrame, chunks: DataFrame, topics: DataFrame, versio
     used = kept.select("topic_id").distinct()
     orphans = topics.filter("kind != 'entity'").join(used, "topic_id", "left_anti").select("topic_id")
     return kept, topics.join(orphans, "topic_id", "left_anti")
-
-
-def now() -> datetime.datetime:
-    return datetime.datetime.now(datetime.UTC).replace(tzinfo=None, microsecond=0)

@@ -172,9 +172,9 @@ def test_whole_query_set(spark):
     from gleaner.plans import textual
 
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    got = textual.QUERIES["cosine_topk_all"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().collect()
+    got = textual.QUERIES["cosine_topk"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in got} == {r["vec_id"]: 10 for r in e.filter("vec_id % 50 = 0").collect()}
-    assert {r["query_id"] for r in textual.QUERIES["cross_references_all"](spark, "/root/testdata/sf0.001").collect()} - {r["vec_id"] for r in e.filter("vec_id % 50 = 0").collect()} == set()
+    assert {r["query_id"] for r in textual.QUERIES["cross_references"](spark, "/root/testdata/sf0.001").collect()} - {r["vec_id"] for r in e.filter("vec_id % 50 = 0").collect()} == set()
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
@@ -188,7 +188,7 @@ def test_adjacent_topics_all(spark, sf):
     want = [(k, ids[k], ids[k - 1], ids[k + 1]) for k in range(1, len(ids) - 1)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else tables this small are one range
     try:
-        got = sorted((r["rank"], r["topic_id"], r["above"], r["below"]) for r in relational.QUERIES["adjacent_topics_all"](spark, sf).collect())
+        got = sorted((r["rank"], r["topic_id"], r["above"], r["below"]) for r in relational.QUERIES["adjacent_topics"](spark, sf).collect())
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == want and len(got) > (200 if sf.endswith("0.01") else 100)
@@ -214,7 +214,7 @@ def test_slugify_all(spark):
 
     sf = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = {r["doc_id"]: r["slug"] for r in textual.QUERIES["slugify_all"](spark, sf).collect()}
+    got = {r["doc_id"]: r["slug"] for r in textual.QUERIES["slugify"](spark, sf).collect()}
     plain = [d for d, t in docs.items() if t and t.isascii() and len(t) > 80]
     assert plain and all(got[d] == re.sub("[^a-z0-9]+", "-", docs[d].lower().replace("'", "")).strip("-") for d in plain)
 
@@ -224,10 +224,13 @@ def test_sources_and_runs(spark):
     assert [r["source_id"] for r in T.all_sources(sources).collect()] == [1, 2]
     assert [r["source_id"] for r in T.source_of(sources, "docBBBBB").collect()] == [2]
     assert sources.orderBy("source_id").select(T.source_tag(F.col("doc"))).head()[0] == "docAAA"
-    errors = spark.createDataFrame([("Request timed out",), ("HTTP 503",), ("no such column",), (None,)], "m string")
+    errors = spark.createDataFrame([("storage caused object to be reset",), ("HTTP 503",), ("Request timed out",), (None,)], "m string")
     assert [r[0] for r in errors.select(T.retryable(F.col("m"))).collect()] == [True, True, False, False]
     batches = T.id_batches(spark.range(500).union(spark.range(10)), "id", 90).collect()
-    assert sorted(i for b in batches for i in b["ids"]) == list(range(500)) and max(len(b["ids"]) for b in batches) <= 90
+    assert {b["batch"]: b["ids"] for b in batches} == {k: list(range(90 * k, min(500, 90 * k + 90))) for k in range(6)}
+    failures = spark.createDataFrame([(1, 1, "429"), (2, 3, "429"), (3, 1, "bad")], "batch int, attempt int, message string")
+    again, aside = T.retried(failures)
+    assert [tuple(r) for r in again.collect()] == [(1, 2, "429")] and sorted(r["batch"] for r in aside.collect()) == [2, 3]
     runs = T.run_record(spark, "r1", [{"name": "a", "ms": 5}, {"name": "b", "ms": 7}]).union(T.run_record(spark, "r2", [{"name": "a", "ms": 1}]))
     started = spark.createDataFrame([("r1", 10), ("r2", 20), ("r3", 15)], "run_id string, at long")
     got = {r["run_id"]: (r["ms"], [x["stage"] for x in r["stages"] or []]) for r in T.latest_runs(runs, started, 2).collect()}
@@ -242,8 +245,19 @@ def test_state_of_the_corpus(spark):
     assert tuple(T.health_view(chunks, topics, links, 2).head()) == (3, 2, 3, 4, 1, False)
     kept, left = T.stale_removed(links, chunks, topics, 2)
     assert [tuple(r) for r in kept.collect()] == [(1, 10)] and sorted(r["topic_id"] for r in left.collect()) == [10, 11]
-    lineage = spark.createDataFrame([(1, "x", 0, 9, None), (2, "x", 0, 9, None), (3, "x", 0, 9, "stem"), (4, "y", 3, 9, None), (5, "z", 0, None, None)], "topic_id long, name string, usage long, merged_into long, merge_stage string")
-    old = spark.createDataFrame([("x", 9, None, 7, 4)], "name string, merged_into long, merge_stage string, topic_id long, archive_count long")
-    rest, archive = T.archived_lineage(lineage, old)
-    assert sorted(r["topic_id"] for r in rest.collect()) == [4, 5]
-    assert sorted((r["name"], r["merge_stage"] or "", r["topic_id"], r["archive_count"]) for r in archive.collect()) == [("x", "", 1, 6), ("x", "stem", 3, 1)]
+    broken = spark.createDataFrame([(0, False)], "orphan_chunk_words long, healthy boolean")
+    runs = spark.createDataFrame([("r1", 5, "boom"), ("r2", 9, None)], "run_id string, at long, error string")
+    view = T.health_view(chunks.filter("chunk_id = 1"), topics, links.filter("chunk_id = 1"), 2, broken, runs).head()
+    assert not view["healthy"] and view["last_run"]["run_id"] == "r2" and view["orphan_chunk_words"] == 0
+
+
+def test_lineage_archive(spark):
+    topics = spark.createDataFrame([(1, "x", "X", 0), (2, "x", "X2", 0), (3, "x", "X", 0), (4, "y", "Y", 3), (5, "z", "Z", 0), (6, "w", "W", 0), (7, "v", "V", 0)], "topic_id long, slug string, name string, usage long")
+    links = spark.createDataFrame([(1, 4), (1, 6)], "chunk_id long, topic_id long")
+    audit = spark.createDataFrame([(7,), (None,)], "topic_id long")
+    merges = spark.createDataFrame([(1, 8, "stem", 1), (1, 9, "alias", 2), (2, 9, "alias", 1), (3, 9, "stem", 1), (6, 9, "stem", 1)], "from_id long, to_id long, stage string, place int")
+    old = spark.createDataFrame([("x", "old", 9, "alias", 40, 41, 4), ("v", "V", None, None, 7, 7, 1)], "slug string, name string, merged_into long, merge_stage string, topic_id long, last_topic_id long, archive_count long")
+    rest, archive = T.archived_lineage(topics, links, audit, merges, old)
+    assert sorted(r["topic_id"] for r in rest.collect()) == [4, 5, 6]  # in use, unknown, linked
+    got = {(r["slug"], r["merged_into"], r["merge_stage"]): (r["name"], r["topic_id"], r["last_topic_id"], r["archive_count"]) for r in archive.collect()}
+    assert got == {("x", 9, "alias"): ("X2", 40, 2, 6), ("x", 9, "stem"): ("X", 3, 3, 1), ("v", None, None): ("V", 7, 7, 2)}
