@@ -5,12 +5,15 @@ an index; the order comes from counts of all shingles in a fixed number of hash
 the order is the same everywhere. Classes that share a prefix shingle form a block. Blocks are not expanded into all
 pairs. Each block has a centre, the least member by a hash that is the same in all blocks, so that the blocks of a group
 of near copies mostly agree on it; members meet their blocks' centres only, and verified pairs are linked. In a
-second round members meet four centres of other components, drawn anew in each block from its largest component. What
-could still join two components then meets pairwise, in the first block that a pair shares. All pairs pass the length filter, the positional filter and the suffix filter, which bounds the overlap by counts of shingles
-in 64 parts of the hash space, before they are verified, once, on the whole sets. No pair that could join two components
-is left out, so components are those of all links.
+second round members meet four centres of other components, drawn in each block from its largest component by hashes that
+are again the same in all blocks, so that a set meets few of them however many blocks it stands in. What could still join
+two components then meets pairwise, in the first block that a pair shares. All pairs pass the length filter, the positional
+filter and the suffix filter, which bounds the overlap by counts of shingles in parts of the hash space, some four
+shingles a part, before they are verified, once, on the whole sets. No pair that could join two components is left out, so
+components are those of all links.
 
-A shingle that stands in many of a few hundred neighbouring documents is spread by a salt, so that no task gets all its rows. A row whose block, seen whole, has no set that fits it by length and position is left out at once.
+A shingle that stands in many of a few hundred neighbouring documents is spread by a salt, so that no task gets all its
+rows. A row whose block, seen whole, has no set that fits it by length and position is left out at once.
 
 Defined results: a document without words has no shingles and is its own component; rows with equal sets share a
 component; a null id never names a component unless all ids of it are null; repeated rows each get their row; other
@@ -305,7 +308,7 @@ def linked(shared: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
             shared = open_blocks(shared, labels)
             if shared.isEmpty():
                 break
-            orders = [F.struct(-F.col("size"), F.xxhash64("node", "shingle", F.lit(k))) for k in range(CENTRES)]
+            orders = [F.struct(-F.col("size"), F.xxhash64("node", F.lit(k))) for k in range(CENTRES)]
             pairs = with_centres(shared, orders) if turn == "more centres" else all_across(shared, known)
             pairs = pairs.withColumns(both_ways).join(tested, ["low", "high"], "left_anti").select("a", "b")
         pairs = materialize(suffix_filtered(pairs, known), "pairs")
