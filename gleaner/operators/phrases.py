@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
@@ -137,16 +137,32 @@ def contained(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return with_words(docs, terms)
 
 
-def phrase_candidates(docs: DataFrame, starters: list[str], most: int = 8, stop=X.STOPWORDS) -> DataFrame:
-    """Runs of two to four content words of four letters or more that no stop word breaks, by a score of their shape."""
-    words = docs.select("doc_id", X.words_kept(F.col("text")).alias("words"))
-    rows = words.select("doc_id", F.explode(F.concat(*(X.word_ngrams(F.col("words"), n) for n in (2, 3, 4)))).alias("phrase"))
+def phrase_counts(docs: DataFrame, starters: list[str], stop=X.STOPWORDS) -> DataFrame:
+    """doc_id, phrase, n: runs of two to four content words of four letters or more that no stop word breaks. Texts are cut at other
+    words first, so only such runs are made."""
+    fit = lambda w: (F.length(w) >= 4) & ~w.isin(*stop)
+    marked = F.array_join(F.transform(X.words_kept(F.col("text")), lambda w: F.when(fit(w), w).otherwise("\n")), " ")
+    runs = F.transform(F.split(marked, r"\s*\n\s*"), lambda r: F.split(F.trim(r), " "))
+    grams = F.flatten(F.transform(runs, lambda r: F.concat(*(X.word_ngrams(r, n) for n in (2, 3, 4)))))
+    rows = docs.select("doc_id", F.explode(grams).alias("phrase"))
     parts = F.split("phrase", " ")
-    fit = F.forall(parts, lambda w: (F.length(w) >= 4) & ~w.isin(*stop))
-    rows = rows.filter(fit & ~(parts[0].isin(*starters) & (F.size(parts) >= 3))).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+    rows = rows.filter(~(parts[0].isin(*starters) & (F.size(parts) >= 3)))
+    return rows.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+
+
+#: Endings that results depend on.
+GOOD_ENDING = "(ion|ment|ness|ity|ship|ware|code|model|attack|labor|evidence|industry|software|tool|system|issue|law|effect|models|systems)$"
+
+
+def phrase_shape(phrase: Column, n: Column, starters: list[str]) -> Column:
+    """A phrase's count with gains and losses for its length, its first and its last word."""
+    parts = F.split(phrase, " ")
     first, last = F.element_at(parts, 1), F.element_at(parts, -1)
-    # Endings that results depend on.
-    good = "(ion|ment|ness|ity|ship|ware|code|model|attack|labor|evidence|industry|software|tool|system|issue|law|effect|models|systems)$"
-    score = F.col("n") * 5 + F.when(F.size(parts) == 4, 2).otherwise(5) - F.when(first.isin(*starters), 4).otherwise(0) - F.when(first.rlike("(ing|ed|ly)$"), 1).otherwise(0) - F.when(last.rlike("(ing|ed|ly)$"), 2).otherwise(0) + F.when(last.rlike(good), 2).otherwise(0)
+    return n * 5 + F.when(F.size(parts) == 4, 2).otherwise(5) - F.when(first.isin(*starters), 4).otherwise(0) - F.when(first.rlike("(ing|ed|ly)$"), 1).otherwise(0) - F.when(last.rlike("(ing|ed|ly)$"), 2).otherwise(0) + F.when(last.rlike(GOOD_ENDING), 2).otherwise(0)
+
+
+def phrase_candidates(docs: DataFrame, starters: list[str], most: int = 8, stop=X.STOPWORDS) -> DataFrame:
+    """The best phrases of each document by a score of their shape: doc_id, phrase, n, score, rank."""
+    rows = phrase_counts(docs, starters, stop).withColumn("score", phrase_shape(F.col("phrase"), F.col("n"), starters))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc(F.length("phrase")), "phrase")
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)

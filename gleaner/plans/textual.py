@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.functions.vectors import mean_pool
+from gleaner.operators import episodes as E
 from gleaner.operators import matcher as M
 from gleaner.operators import phrases as P
 from gleaner.operators import search as S
@@ -320,3 +321,22 @@ def _(p):
 
     names = p.groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("topic_id"), F.count("*").alias("usage"))
     return closed_in_steps(best_partners(names, 0.7))
+
+
+_EPISODE = (
+    f"WITH w AS (SELECT doc_id, source AS episode_id, {_KEPT} AS words FROM documents), g AS (SELECT episode_id, unnest(list_concat({_BI}, {_TRI}, [words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] FOR i IN range(1, greatest(len(words) - 2, 1))])) AS phrase FROM w), p AS (SELECT episode_id, phrase, string_split(phrase, ' ') AS parts, count(*) AS n FROM g GROUP BY ALL), f AS (SELECT * FROM p WHERE len(list_filter(parts, lambda w: length(w) < 4 OR list_contains({_STOP}, w))) = 0 AND NOT (len(parts) >= 3 AND list_contains({STARTERS}, parts[1]))), s AS (SELECT episode_id, phrase, n, n * 5 + CASE WHEN len(parts) = 4 THEN 2 ELSE 5 END - CASE WHEN list_contains({STARTERS}, parts[1]) THEN 4 ELSE 0 END - CASE WHEN regexp_matches(parts[1], '(ing|ed|ly)$') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(parts[-1], '(ing|ed|ly)$') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(parts[-1], '(ion|ment|ness|ity|ship|ware|code|model|attack|labor|evidence|industry|software|tool|system|issue|law|effect|models|systems)$') THEN 2 ELSE 0 END AS score FROM f), e AS (SELECT * FROM (SELECT episode_id, phrase, score, row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, length(phrase) DESC, phrase) AS rank FROM s) WHERE rank <= 8)"
+)
+
+
+@_q("episode_candidates", _EPISODE + " SELECT episode_id, phrase AS name, score + 1400000 AS rank_score, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, phrase) AS INTEGER) AS rank FROM e")
+def _(d):
+    """The phrases that set an episode (here: a source) off, mined over all its texts."""
+    found = E.episode_candidates(d.select("doc_id", F.col("source").alias("episode_id"), "text"), STARTERS)
+    return found.select("episode_id", "name", F.col("rank_score").cast("long").alias("rank_score"), "rank")
+
+
+@_q("episode_attribution", _EPISODE + " SELECT doc_id, phrase AS name, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, replace(phrase, ' ', '-')) > 5 THEN 'max_topics_reached' ELSE 'accepted' END AS decision FROM documents d JOIN e ON e.episode_id = d.source AND regexp_matches(lower(text), '(^|[^a-z0-9])' || phrase || '($|[^a-z0-9])')")
+def _(d):
+    """Which texts of an episode its candidates go to."""
+    rows = d.select("doc_id", F.col("source").alias("episode_id"), "text")
+    return E.attributed(rows, E.episode_candidates(rows, STARTERS)).select("doc_id", "name", "decision")
