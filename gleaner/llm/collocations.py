@@ -24,6 +24,8 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,13 +154,14 @@ def counted(dictionary: DataFrame, starts: Callable, order: int, least: int) ->
         known, held = Words(), {}
 
         def out() -> Iterator[dict]:
+            names = pa.array(known.names, pa.binary())
             for lang, own in held.items():
                 keys, weights = own.settle()
-                names = known.names
                 for lo in range(0, len(keys), 50_000):
                     part = keys[lo : lo + 50_000]
-                    columns = [[names[i] for i in ((part >> (BITS_WORD * k)) & ((1 << BITS_WORD) - 1)).tolist()] for k in reversed(range(order))]
-                    yield {"lang": [lang] * len(part), "phrase": list(map(b" ".join, zip(*columns, strict=True))), "a": weights[lo : lo + 50_000]}
+                    words = [names.take(pa.array((part >> (BITS_WORD * k)) & ((1 << BITS_WORD) - 1))) for k in reversed(range(order))]
+                    phrases = words[0] if order == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary()))
+                    yield {"lang": pa.repeat(lang, len(part)), "phrase": phrases, "a": weights[lo : lo + 50_000]}
             held.clear()
             known.clear()
 
