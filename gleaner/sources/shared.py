@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Only a session without other machines may do without it, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gleaner.shared.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("gleaner.shared.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
