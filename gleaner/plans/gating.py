@@ -10,7 +10,7 @@ from gleaner.functions import text as X
 from gleaner.operators import evaluate as E
 from gleaner.operators import merges as M
 from gleaner.operators import phrases as P
-from gleaner.plans.textual import _BI, TOK
+from gleaner.plans.textual import _BI, _DBI, TOK
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -101,7 +101,18 @@ def _(d):
     return rows.groupBy(X.slugify(X.normalize_term(F.col("name"))).alias("key")).agg(F.count("*").alias("merged"), F.max("usage").alias("usage"))
 
 
-@_q("stem_merge", None, "part")
+_MENDED = "CASE WHEN regexp_matches({0}, '(at|bl|iz)$') THEN {0} || 'e' ELSE {0} END"
+
+
+@_q(
+    "stem_merge",
+    "WITH n AS (SELECT p_partkey AS topic_id, string_split(lower(p_name), ' ') AS words, p_size AS usage FROM part), w AS (SELECT topic_id, usage, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM n), "
+    "one AS (SELECT *, CASE WHEN word LIKE '%sses' THEN left(word, -2) WHEN word LIKE '%ies' AND length(word) > 5 THEN left(word, -3) || 'y' WHEN word LIKE '%s' AND NOT regexp_matches(word, '(ss|us)$') AND length(word) > 4 THEN left(word, -1) ELSE word END AS w FROM w), "
+    f"two AS (SELECT topic_id, usage, i, CASE WHEN w LIKE '%eed' THEN w WHEN w LIKE '%ed' AND length(w) > 5 THEN {_MENDED.format('left(w, -2)')} WHEN w LIKE '%ing' AND length(w) > 6 THEN {_MENDED.format('left(w, -3)')} ELSE w END AS w FROM one), "
+    "k AS (SELECT topic_id, usage, string_agg(CASE WHEN w LIKE '%ational' THEN left(w, -5) || 'e' WHEN w LIKE '%ation' AND length(w) > 7 THEN left(w, -3) || 'e' ELSE w END, ' ' ORDER BY i) AS key FROM two GROUP BY topic_id, usage) "
+    "SELECT topic_id, first_value(topic_id) OVER (PARTITION BY key ORDER BY usage DESC, topic_id) AS keeper_id FROM k",
+    "part",
+)
 def _(p):
     rows = p.select(F.col("p_partkey").alias("topic_id"), F.col("p_name").alias("name"), F.col("p_size").alias("usage"))
     return M.stem_merge(rows)
@@ -120,7 +131,14 @@ def _(li):
     return M.affected(links, links.filter("topic_id < 3").select("topic_id").distinct())
 
 
-@_q("similarity_merge", None, "part")
+@_q(
+    "similarity_merge",
+    f"""WITH n AS (SELECT lower(p_name) AS name, min(p_partkey) AS topic_id, max(p_size) AS usage FROM part GROUP BY lower(p_name)), g AS (SELECT *, {_DBI.format('name')} AS g FROM n),
+    s AS (SELECT x.topic_id, y.topic_id AS keeper_id, round(2 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)), 6) AS score, y.usage AS u, y.name AS m, x.usage AS xu, x.name AS xm FROM g x JOIN g y ON x.name != y.name),
+    b AS (SELECT topic_id, keeper_id FROM s WHERE score >= 0.7 AND (u > xu OR u = xu AND length(m) > length(xm) OR u = xu AND length(m) = length(xm) AND m < xm) QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, u DESC, length(m) DESC, m) = 1)
+    SELECT topic_id, keeper_id FROM b WHERE keeper_id NOT IN (SELECT topic_id FROM b)""",
+    "part",
+)
 def _(p):
     return M.similarity_merge(p.select(F.col("p_partkey").alias("topic_id"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("usage")))
 
