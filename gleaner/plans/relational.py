@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from gleaner.operators import analytics as A
+from gleaner.operators.pages import topic_pages
 from gleaner.plans.roles import SQL, Corpus
 
 D = datetime.date
@@ -397,3 +398,32 @@ def _(c):
         chunk_words=_words(named),
         word_stats=_words(named.filter(earlier)).groupBy("word").agg(F.sum("n").alias("total")),
     )
+
+
+_MANY = "{0} || ' {1}' || CASE WHEN {0} = 1 THEN '' ELSE 's' END"
+_LIST = "CASE len({0}) WHEN 0 THEN '' WHEN 1 THEN {0}[1] WHEN 2 THEN {0}[1] || ' and ' || {0}[2] ELSE array_to_string({0}[:-2], ', ') || ', and ' || {0}[-1] END"
+
+
+@_q(
+    "topic_pages",
+    f""", seen AS (SELECT topic_id, name, row_number() OVER w AS place, lag(name) OVER w AS above, lead(name) OVER w AS below FROM used WHERE NOT hidden WINDOW w AS (ORDER BY usage DESC, distinctiveness DESC, name, topic_id)),
+    span AS (SELECT topic_id, count(*) AS chunks, count(DISTINCT episode_id) AS episodes, min(published) AS first, max(published) AS last FROM dated GROUP BY topic_id),
+    peak AS (SELECT topic_id, episode_id AS peak_episode, published AS peak_day, count(*) AS peak_n FROM dated GROUP BY topic_id, episode_id, published QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, published, episode_id) = 1),
+    yearly AS (SELECT year(published) AS y, topic_id, row_number() OVER (PARTITION BY year(published) ORDER BY count(*) DESC, topic_id) AS r FROM dated GROUP BY year(published), topic_id),
+    ends AS (SELECT topic_id, min(y) AS y1, max(y) AS y2, arg_min(r, y) AS r1, arg_max(r, y) AS r2 FROM yearly GROUP BY topic_id),
+    own AS (SELECT chunk_id, topic_id, name FROM links JOIN seen USING (topic_id)),
+    shared AS (SELECT a.topic_id, b.topic_id AS other_id, b.name, count(*) AS n FROM own a JOIN own b ON a.chunk_id = b.chunk_id AND a.topic_id != b.topic_id GROUP BY a.topic_id, b.topic_id, b.name QUALIFY row_number() OVER (PARTITION BY a.topic_id ORDER BY count(*) DESC, b.topic_id) <= 3),
+    others AS (SELECT topic_id, list(name ORDER BY n DESC, other_id) AS related FROM shared GROUP BY topic_id),
+    page AS (SELECT *, coalesce(related, []) AS rel, list_filter([above, below], lambda x: x IS NOT NULL) AS near, CASE WHEN y1 != y2 THEN 'its yearly rank moved from #' || r1 || ' in ' || y1 || ' to #' || r2 || ' in ' || y2 END AS moved
+        FROM seen JOIN span USING (topic_id) JOIN peak USING (topic_id) JOIN ends USING (topic_id) LEFT JOIN others USING (topic_id))
+    SELECT topic_id, chunks, episodes, peak_episode, array_to_string(rel, '|') AS related,
+        name || ' appears in ' || {_MANY.format('chunks', 'chunk')} || CASE WHEN first = last THEN ' from ' || first || '.' ELSE ' across ' || {_MANY.format('episodes', 'episode')} || ', from ' || first || ' to ' || last || '.' END
+        || ' Its densest episode is ' || peak_episode || ' (' || peak_day || '), with ' || {_MANY.format('peak_n', 'observation')} || ' on this topic. '
+        || CASE WHEN len(rel) > 0 AND len(near) > 0 THEN 'Semantically it travels with ' || {_LIST.format('rel')} || ', while by chunk count it sits between ' || {_LIST.format('near')} || coalesce('; ' || moved, '') || '.'
+            WHEN len(rel) > 0 THEN 'It most often travels with ' || {_LIST.format('rel')} || coalesce('; ' || moved, '') || '.'
+            WHEN len(near) > 0 THEN 'By chunk count it sits between ' || {_LIST.format('near')} || coalesce('; ' || moved, '') || '.' ELSE 'I' || moved[2:] || '.' END AS summary FROM page""",
+)
+def _(c):
+    """All that a topic's page tells, with its summary."""
+    rows = topic_pages(c.links, c.dated, c.used)
+    return rows.select("topic_id", "chunks", "episodes", F.col("peak.episode_id").alias("peak_episode"), F.array_join("related", "|").alias("related"), F.array_join("summary", " ").alias("summary"))
