@@ -8,8 +8,8 @@ of near copies mostly agree on it; members meet their blocks' centres only, and
 second round members meet four centres of other components, drawn in each block from its largest component by hashes that
 are again the same in all blocks, so that a set meets few of them however many blocks it stands in. What could still join
 two components then meets pairwise, in the first block that a pair shares. All pairs pass the length filter, the positional
-filter and the suffix filter, which bounds the overlap by counts of shingles in parts of the hash space, some four
-shingles a part, before they are verified, once, on the whole sets. No pair that could join two components is left out, so
+filter and the suffix filter, which bounds the overlap by counts of shingles in 512 or more parts of the hash
+space, before they are verified, once, on the whole sets. No pair that could join two components is left out, so
 components are those of all links.
 
 A shingle that stands in many of a few hundred neighbouring documents is spread by a salt, so that no task gets all its
@@ -34,7 +34,7 @@ from .common import arrow_rows, bit_map, bits_at, id_text, materialize, table, t
 from .components import connect
 from .shingles import shingle_set
 
-BUCKETS, PARTS, CHUNK, COMMON = 1 << 18, 64, 512, 32
+BUCKETS, PARTS, CHUNK, COMMON = 1 << 18, 512, 512, 32
 #: Centres of a block in the second round; earlier shingles that a row carries in the last one.
 CENTRES, EARLIER = 4, 64
 LAST = (1 << 63) - 1
@@ -50,14 +50,18 @@ def needed(a, b):
 
 
 def parts_of(s: np.ndarray) -> bytes:
-    """Counts of a set's shingles in parts of the hash space, PARTS of them or, for larger sets, some four shingles a part."""
+    """Counts of a set's shingles in parts of the hash space, PARTS of them or, for larger sets, some four shingles a part; more parts if a count is over 255."""
     bits = max(PARTS.bit_length() - 1, (len(s) // 4).bit_length() - 1)
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+    while True:
+        counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if counts.max() <= 255:
+            return counts.astype(np.uint8).tobytes()
+        bits += 1
 
 
 def overlap_bound(x: bytes, y: bytes) -> int:
     """The most shingles that two sets can share, by their parts; the finer one's parts are added up to the other's."""
-    a, b = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
     if len(a) > len(b):
         a = a.reshape(len(b), -1).sum(1)
     elif len(b) > len(a):
@@ -214,25 +218,33 @@ def all_across(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of different components that pass all filters, each in the first block that they share.
 
     A row carries the first EARLIER of its set's shingles before its own; a pair that has one in common was met there."""
-    own = rows.join(counted(known), "node").groupBy("node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.min("parts").alias("parts"), F.array_sort(F.collect_set(F.struct("pos", "shingle"))).alias("at"))  # as many as a prefix has
-    each = own.select("node", "n", "comp", "parts", "at", F.posexplode("at").alias("k", "x"))
-    each = each.select("node", "n", "comp", "parts", F.col("x.pos").alias("pos"), F.col("x.shingle").alias("shingle"), F.transform(F.slice("at", 1, F.least("k", F.lit(EARLIER))), lambda e: e["shingle"]).alias("earlier"))
+    own = rows.join(flagged(known), "node").groupBy("node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), *(F.min(f).alias(f) for f in FLAGS), F.array_sort(F.collect_set(F.struct("pos", "shingle"))).alias("at"))  # as many as a prefix has
+    each = own.select("node", "n", "comp", *FLAGS, "at", F.posexplode("at").alias("k", "x"))
+    each = each.select("node", "n", "comp", *FLAGS, F.col("x.pos").alias("pos"), F.col("x.shingle").alias("shingle"), F.transform(F.slice("at", 1, F.least("k", F.lit(EARLIER))), lambda e: e["shingle"]).alias("earlier"))
     each = materialize(each, "open-blocks")
-    x, y = (each.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "comp", "parts", "earlier"))) for s in "ab")
-    bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
+    x, y = (each.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "comp", "earlier", *FLAGS))) for s in "ab")
+    # a part that one set has and the other hasn't holds a shingle at least that they don't share
+    alone = lambda p, q: sum((F.bit_count(F.col(f"{f}_{p}").bitwiseAND(F.bitwise_not(f"{f}_{q}"))) for f in FLAGS), F.lit(0))
+    bound = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
-    met = x.join(y, (x["shingle"] == y["shingle"]) & apart & fits() & ~F.arrays_overlap("earlier_a", "earlier_b") & (bound >= needed("n_a", "n_b")))
+    met = x.join(y, (x["shingle"] == y["shingle"]) & apart & fits() & (bound >= needed("n_a", "n_b")) & ~F.arrays_overlap("earlier_a", "earlier_b"))
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def counted(known: DataFrame) -> DataFrame:
-    """node and parts, PARTS of them, as an array of ints."""
+#: Which of PARTS parts a set has, as bits of so many longs.
+FLAGS = [f"flags{k}" for k in range(PARTS // 64)]
+
+
+def flagged(known: DataFrame) -> DataFrame:
+    """node and FLAGS."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"node": b["node"], "parts": [np.frombuffer(p, "<u2").astype(np.int32).reshape(PARTS, -1).sum(1) for p in b["parts"]]}
+            has = [np.frombuffer(p, np.uint8).reshape(PARTS, -1).any(1) for p in b["parts"]]
+            longs = np.packbits(np.array(has, bool).reshape(-1, PARTS), axis=1).view(np.int64)
+            yield {"node": b["node"], **{f: longs[:, k] for k, f in enumerate(FLAGS)}}
 
-    return arrow_rows(known.select("node", "parts"), run, "node binary, parts array<int>")
+    return arrow_rows(known.select("node", "parts"), run, "node binary, " + ", ".join(f"{f} long" for f in FLAGS))
 
 
 def suffix_filtered(pairs: DataFrame, known: DataFrame) -> DataFrame:
