@@ -6,10 +6,10 @@ takes the OVERLAP tokens after it along. Distinct chunks of a language with the
 dictionary, a table; n-grams are counted inside distinct chunks, times that number. An n-gram belongs to the chunk in which it
 starts before the overlap, so one that reaches into an overlap counts once.
 
-Counting goes by length. A phrase can't be more frequent than its parts, so two words are counted only where both are in
-the table of words with LEAST or more, and three only where both their pairs are in that of pairs. Tasks test this in a
-bitmap of a fixed number of hash bits, made from the table; a bit may be set for another phrase too, which costs work but loses
-nothing, and what is counted are the phrases themselves, not hashes. Counts are combined in tasks before they are shuffled,
+Words and pairs are counted first. A phrase can't be more frequent than its parts, so three words are counted only where both
+their pairs are among the pairs with LEAST or more. Tasks test this in a bitmap of a fixed number of hash bits, made from
+the table of pairs; a bit may be set for another pair too, which costs work but loses nothing, and what is counted are the
+phrases themselves, not hashes. Counts are combined in tasks before they are shuffled,
 so neither a hot word nor a hot passage is many rows of one key.
 
 Exactness: scores are worked out in decimals of 38 digits.
@@ -42,7 +42,7 @@ HELD, HELD_BYTES = 1_000_000, 1 << 26
 BITS_WORD, MOST_WORDS = 21, 1 << 20
 #: Tokens that are numbered at once; with MOST_WORDS they stay below 2 ** BITS_WORD.
 WINDOW = 1 << 19
-#: Bits of the bitmaps of frequent words and pairs.
+#: Bits of the bitmap of frequent pairs.
 BITS = 1 << 26
 #: Fixed: pieces end at these, tabs part words, ASCII letters are lowered.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -144,8 +144,9 @@ class Held:
         return self.parts[0]
 
 
-def counted(dictionary: DataFrame, starts: Callable, order: int, least: int) -> DataFrame:
-    """lang, phrase, a: weighted occurrences of the phrases of `order` words; only those of `least` or more.
+def counted(dictionary: DataFrame, starts: Callable, orders: tuple[int, ...], least: int) -> DataFrame:
+    """lang, phrase, a: weighted occurrences of the phrases of `orders` words (1 and 2, or 3); only those of `least` or more. With single
+    words comes a row with the empty phrase, for all words.
 
     starts(lang, hashes of the tokens): whether a phrase may start at a token, as far as its words go. A batch's chunks are worked on
     together; word numbers of 21 bits make one key of a phrase, so keys are equal only for equal phrases."""
@@ -154,14 +155,16 @@ def counted(dictionary: DataFrame, starts: Callable, order: int, least: int) ->
         known, held = Words(), {}
 
         def out() -> Iterator[dict]:
-            names = pa.array(known.names, pa.binary())
+            names = pa.array([b"", *known.names[1:]], pa.binary())  # the mark's number stands for all words
             for lang, own in held.items():
                 keys, weights = own.settle()
-                for lo in range(0, len(keys), 50_000):
-                    part = keys[lo : lo + 50_000]
-                    words = [names.take(pa.array((part >> (BITS_WORD * k)) & ((1 << BITS_WORD) - 1))) for k in reversed(range(order))]
-                    phrases = words[0] if order == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary()))
-                    yield {"lang": pa.repeat(lang, len(part)), "phrase": phrases, "a": weights[lo : lo + 50_000]}
+                singles = int(np.searchsorted(keys, 1 << BITS_WORD))
+                for first, last, order in ((0, singles, 1), (singles, len(keys), max(orders))):
+                    for lo in range(first, last, 50_000):
+                        part = keys[lo : min(lo + 50_000, last)]
+                        words = [names.take(pa.array((part >> (BITS_WORD * k)) & ((1 << BITS_WORD) - 1))) for k in reversed(range(order))]
+                        phrases = words[0] if order == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary()))
+                        yield {"lang": pa.repeat(lang, len(part)), "phrase": phrases, "a": weights[lo : lo + len(part)]}
             held.clear()
             known.clear()
 
@@ -178,14 +181,23 @@ def counted(dictionary: DataFrame, starts: Callable, order: int, least: int) ->
                     freq = np.repeat(np.array([b["freq"][i] for i in rows.tolist()], np.int64), sizes)
                     for lo in range(0, len(tokens_), WINDOW):
                         numbers = known.of(tokens_[lo : lo + WINDOW + OVERLAP])
-                        at = np.flatnonzero(own[lo : lo + WINDOW])
-                        for k in range(order):
-                            at = at[numbers[at + k] > 0]
-                        at = at[starts(lang, known.hashes[numbers], at)]
-                        key = numbers[at]
-                        for k in range(1, order):
-                            key = (key << BITS_WORD) | numbers[at + k]
-                        held.setdefault(lang, Held()).add(key, freq[lo + at])
+                        here = np.flatnonzero(own[lo : lo + WINDOW])
+                        hashes = known.hashes[numbers]
+                        keys, weights = [], []
+                        for order in orders:
+                            at = here
+                            for k in range(order):
+                                at = at[numbers[at + k] > 0]
+                            at = at[starts(lang, hashes, at)]
+                            key = numbers[at]
+                            for k in range(1, order):
+                                key = (key << BITS_WORD) | numbers[at + k]
+                            keys.append(key)
+                            weights.append(freq[lo + at])
+                        if 1 in orders:
+                            keys.append(np.zeros(1, np.int64))
+                            weights.append(weights[0].sum(keepdims=True))
+                        held.setdefault(lang, Held()).add(np.concatenate(keys), np.concatenate(weights))
                         if len(known) > MOST_WORDS or sum(x.size for x in held.values()) > 2 * HELD:
                             for x in held.values():
                                 x.settle()
@@ -194,7 +206,7 @@ def counted(dictionary: DataFrame, starts: Callable, order: int, least: int) ->
         yield from out()
 
     rows = arrow_rows(dictionary, run, "lang string, phrase binary, a long")
-    return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a")).filter((F.col("a") >= least) | (F.col("phrase") == ""))
 
 
 def lang_hash(lang: str) -> np.uint64:
@@ -210,45 +222,35 @@ def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a) * _ODD + b
 
 
-def bitmap(frequent: DataFrame) -> np.ndarray:
-    """BITS bits, packed: those of the phrases are set."""
+def bitmap(pairs: DataFrame) -> np.ndarray:
+    """BITS bits, packed: those of the pairs are set."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             split = [p.encode().split(b" ") for p in b["phrase"]]
-            hashes = [np.fromiter((xxhash.xxh3_64_intdigest(w[k]) for w in split), np.uint64, len(split)) for k in range(len(split[0]) if split else 0)]
-            if not hashes:
-                continue
-            whole = hashes[0] if len(hashes) == 1 else together(*hashes)
+            whole = together(*(np.fromiter((xxhash.xxh3_64_intdigest(w[k]) for w in split), np.uint64, len(split)) for k in range(2)))
             langs = np.array(b["lang"], object)
             bits = np.zeros(len(split), np.int64)
             for lang in dict.fromkeys(b["lang"]):
                 bits[langs == lang] = places(whole[langs == lang], lang)
             yield {"bit": np.unique(bits)}
 
-    return bit_map(arrow_rows(frequent.select("lang", "phrase"), run, "bit long"), BITS)
+    return bit_map(arrow_rows(pairs.select("lang", "phrase"), run, "bit long"), BITS)
 
 
 def phrase_counts(dictionary: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Words, pairs and triples with `least` occurrences or more (lang, phrase, a), and lang, n."""
     context = dictionary.sparkSession.sparkContext
-    every = materialize(counted(dictionary, lambda lang, hashes, at: np.ones(len(at), bool), 1, 1), "words")
-    n = every.groupBy("lang").agg(F.sum("a").alias("n"))
-    frequent = every.filter(F.col("a") >= least)
-    of_words = context.broadcast(bitmap(frequent))
-
-    def double(lang: str, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        ok = bits_at(of_words.value, places(hashes, lang))
-        return ok[at] & ok[at + 1]
-
-    pairs = materialize(counted(dictionary, double, 2, least), "pairs")
+    both = materialize(counted(dictionary, lambda lang, hashes, at: np.ones(len(at), bool), (1, 2), least), "words-and-pairs")
+    n = both.filter("phrase = ''").select("lang", F.col("a").alias("n"))
+    frequent, pairs = both.filter("phrase != '' AND NOT contains(phrase, ' ')"), both.filter("contains(phrase, ' ')")
     of_pairs = context.broadcast(bitmap(pairs))
 
     def triple(lang: str, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         ok = bits_at(of_pairs.value, places(together(hashes[:-1], hashes[1:]), lang))
         return ok[at] & ok[at + 1]
 
-    triples = materialize(counted(dictionary, triple, 3, least), "triples")
+    triples = materialize(counted(dictionary, triple, (3,), least), "triples")
     return frequent, pairs, triples, n
 
 
