@@ -2,6 +2,8 @@
 
 import pytest
 from oracle import SF
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from gleaner import catalog
 
@@ -25,3 +27,17 @@ def test_no_cartesian_product_and_no_python(spark, name):
 def test_top_k_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(catalog.queries()["topic_rank_history"](spark, SF))
     assert "TakeOrderedAndProject" in plan(catalog.queries()["top_topics_weighted"](spark, SF))
+
+
+def test_orphan_audit_reads_all_links(spark, tmp_path):
+    """A topic that only an old chunk has is no orphan; one that no chunk has is."""
+    from oracle import SF
+
+    from gleaner.plans.relational import QUERIES
+
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    part = read("part").limit(2).withColumn("p_partkey", F.row_number().over(Window.orderBy("p_partkey")).cast("long"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    read("orders").limit(1).withColumns({"o_orderkey": F.lit(7).cast("long"), "o_orderdate": F.lit("1995-02-03").cast(dict(read("orders").dtypes)["o_orderdate"])}).write.parquet(f"{tmp_path}/orders.parquet")
+    read("lineitem").limit(1).withColumns({"l_orderkey": F.lit(7).cast("long"), "l_partkey": F.lit(1).cast("long")}).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r["topic_id"] for r in QUERIES["orphan_audit"](spark, str(tmp_path)).collect()] == [2]
