@@ -41,3 +41,11 @@ def test_orphan_audit_reads_all_links(spark, tmp_path):
     read("orders").limit(1).withColumns({"o_orderkey": F.lit(7).cast("long"), "o_orderdate": F.lit("1995-02-03").cast(dict(read("orders").dtypes)["o_orderdate"])}).write.parquet(f"{tmp_path}/orders.parquet")
     read("lineitem").limit(1).withColumns({"l_orderkey": F.lit(7).cast("long"), "l_partkey": F.lit(1).cast("long")}).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [r["topic_id"] for r in QUERIES["orphan_audit"](spark, str(tmp_path)).collect()] == [2]
+
+
+def test_pairs_of_topics_go_to_their_topic_once(spark):
+    """They are counted and ranked by one exchange on the topic; names and sizes come along instead of being joined to each pair."""
+    import re
+
+    text = plan(catalog.queries()["topic_similarity"](spark, SF))
+    assert not re.search(r"hashpartitioning\(topic_id#\d+L?, related_id", text)
