@@ -115,8 +115,9 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def word_ngrams(words: Column, n: int) -> Column:
-    """Runs of n words, joined by spaces."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n words, joined by spaces. The words are bound to a lambda's argument: else Spark makes them anew for each run."""
+    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(F.array(words), runs))
 
 
 def kwic(text: Column, keyword: str, around: int = 40) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as X
 from gleaner.operators import keywords as K
 from gleaner.operators import matcher
-from gleaner.operators.phrases import phrase_counts, phrase_shape
+from gleaner.operators.phrases import phrase_runs, phrase_shape
+from gleaner.sources.shared import written
 
 #: Phrases and candidates that an episode keeps, and candidates that a chunk takes.
 PHRASES, KEPT, PER_CHUNK = 8, 14, 5
@@ -29,8 +30,8 @@ def candidate_rank(kind: Column, source: Column, name: Column, score: Column) ->
 
 def episode_phrases(rows: DataFrame, starters: list[str], most: int = PHRASES) -> DataFrame:
     """episode_id, phrase, n, score, rank: the best phrases of each episode by shape and count. rows: doc_id, episode_id, text."""
-    each = phrase_counts(rows.select("doc_id", "text"), starters).join(rows.select("doc_id", "episode_id"), "doc_id")
-    counts = each.groupBy("episode_id", "phrase").agg(F.sum("n").alias("n")).withColumn("score", phrase_shape(F.col("phrase"), F.col("n"), starters))
+    each = rows.select("episode_id", F.explode_outer(phrase_runs(F.col("text"), starters)).alias("phrase")).filter("phrase IS NOT NULL")
+    counts = each.groupBy("episode_id", "phrase").agg(F.count("*").alias("n")).withColumn("score", phrase_shape(F.col("phrase"), F.col("n"), starters))
     best = Window.partitionBy("episode_id").orderBy(F.desc("score"), F.desc(F.length("phrase")), "phrase")
     return counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
 
@@ -56,6 +57,7 @@ def episode_candidates(rows: DataFrame, starters: list[str], lexicon: DataFrame
 
 def attributed(rows: DataFrame, candidates: DataFrame, most: int = PER_CHUNK) -> DataFrame:
     """doc_id, name, slug, kind, source, rank_score, decision: each episode's candidates in those of its chunks that name them, up to `most` a chunk."""
+    candidates = written(candidates, "episode-candidates")  # read for the terms and for their episodes: mined once
     named = matcher.with_bounds(rows, candidates.select(F.col("name").alias("term")).distinct()).join(rows.select("doc_id", "episode_id"), "doc_id")
     met = named.withColumnRenamed("term", "name").join(candidates, ["episode_id", "name"])
     return K.decide(met.select("doc_id", "name", "slug", "kind", "source", "rank_score"), most)

@@ -18,9 +18,28 @@ def tokens(docs: DataFrame, stop=X.STOPWORDS) -> DataFrame:
     return docs.select("doc_id", X.tokenize(F.col("text"), stop).alias("words"))
 
 
+def whole_texts(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, texts, first values of keep: a row for each document, so that its words and phrases are counted where it is read. Only texts are shuffled, not what is made of them."""
+    return docs.groupBy("doc_id", *keep).agg(F.collect_list("text").alias("texts"))
+
+
+def tallied(items: Column) -> Column:
+    """Array of (x, n): the distinct items of an array and how often each stands in it."""
+    in_order = F.sort_array(items)
+    # a lambda's argument is a value, computed once
+    return F.flatten(F.transform(F.array(in_order), _runs))
+
+
+def _runs(s: Column) -> Column:
+    begins = F.filter(F.sequence(F.lit(0), F.size(s)), lambda k: (k == 0) | (k == F.size(s)) | (F.get(s, k) != F.get(s, k - 1)))
+    of = lambda b: F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b) - 1), lambda i, j: F.struct(F.get(s, i).alias("x"), (j - i).cast("long").alias("n")))
+    return F.when(F.size(s) > 0, F.flatten(F.transform(F.array(begins), of)))
+
+
 def chunk_words(docs: DataFrame, stop=X.STOPWORDS) -> DataFrame:
-    """doc_id, word, n. The partial sum runs before the shuffle."""
-    return tokens(docs, stop).select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    """doc_id, word, n. A document's words are counted where its texts are."""
+    words = F.flatten(F.transform("texts", lambda t: X.tokenize(t, stop)))
+    return whole_texts(docs).select("doc_id", F.explode_outer(tallied(words)).alias("w")).filter("w IS NOT NULL").select("doc_id", F.col("w.x").alias("word"), "w.n")
 
 
 def word_stats(docs: DataFrame, stop=X.STOPWORDS) -> DataFrame:
@@ -39,8 +58,9 @@ def word_distinctiveness(docs: DataFrame, baseline: DataFrame, stop=X.STOPWORDS)
 
 def ngrams(docs: DataFrame, least_count: int = 5, least_docs: int = 3, stop=X.STOPWORDS) -> DataFrame:
     """Bigrams and trigrams: phrase, total, docs."""
-    rows = tokens(docs, stop).select("doc_id", F.explode(F.concat(X.word_ngrams(F.col("words"), 2), X.word_ngrams(F.col("words"), 3))).alias("phrase"))
-    per = rows.groupBy("phrase", "doc_id").agg(F.count("*").alias("n"))
+    grams = lambda w: F.concat(X.word_ngrams(w, 2), X.word_ngrams(w, 3))
+    each = F.flatten(F.transform(F.transform("texts", lambda t: X.tokenize(t, stop)), grams))
+    per = whole_texts(docs).select(F.explode_outer(tallied(each)).alias("p")).filter("p IS NOT NULL").select(F.col("p.x").alias("phrase"), "p.n")
     return per.groupBy("phrase").agg(F.sum("n").alias("total"), F.count("*").alias("docs")).filter((F.col("total") >= least_count) & (F.col("docs") >= least_docs))
 
 
@@ -73,10 +93,11 @@ def pmi_pairs(docs: DataFrame, least: int = 5, most: int = 100, floor: float = 3
 
 def phrase_lexicon(docs: DataFrame, least_docs: int = 3, floor: float = 1.5, most: int | None = 200, stop=X.STOPWORDS) -> DataFrame:
     """Adjacent pairs by pmi * (1 + log2(support + 1)), gated and cut to the best if most is given: phrase, docs, support, quality."""
-    words = tokens(docs, stop)
-    pairs = words.select("doc_id", F.explode(X.word_ngrams(F.col("words"), 2)).alias("phrase"))
-    per = pairs.groupBy("phrase", "doc_id").agg(F.count("*").alias("n")).groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("n").alias("support")).filter(F.col("docs") >= least_docs)
-    df = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    words = F.transform("texts", lambda t: X.tokenize(t, stop))
+    of = whole_texts(docs)
+    pairs = of.select(F.explode_outer(tallied(F.flatten(F.transform(words, lambda w: X.word_ngrams(w, 2))))).alias("p")).filter("p IS NOT NULL")
+    per = pairs.groupBy(F.col("p.x").alias("phrase")).agg(F.count("*").alias("docs"), F.sum("p.n").alias("support")).filter(F.col("docs") >= least_docs)
+    df = of.select(F.explode_outer(F.array_distinct(F.flatten(words))).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("df"))
     size = docs.agg(F.count("*").alias("size"))
     split = per.withColumn("a", F.element_at(F.split("phrase", " "), 1)).withColumn("b", F.element_at(F.split("phrase", " "), 2))
     rows = split.join(df.toDF("a", "df_a"), "a").join(df.toDF("b", "df_b"), "b").crossJoin(F.broadcast(size))
@@ -89,8 +110,8 @@ def phrase_lexicon(docs: DataFrame, least_docs: int = 3, floor: float = 1.5, mos
 def repeated_ngrams(docs: DataFrame, least_docs: int = 3, stop=X.STOPWORDS) -> DataFrame:
     """Runs of two and three of the kept words of three letters or more, once per document, by count times documents: phrase, docs, support, quality."""
     words = docs.select(F.filter(X.words_kept(F.col("text")), lambda w: (F.length(w) >= 3) & ~w.isin(*stop)).alias("words"))
-    runs = words.select(F.explode(F.array_distinct(F.concat(X.word_ngrams(F.col("words"), 2), X.word_ngrams(F.col("words"), 3)))).alias("phrase"))
-    rows = runs.groupBy("phrase").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_docs)
+    runs = words.select(F.explode_outer(F.array_distinct(F.concat(X.word_ngrams(F.col("words"), 2), X.word_ngrams(F.col("words"), 3)))).alias("phrase"))
+    rows = runs.filter("phrase IS NOT NULL").groupBy("phrase").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_docs)
     return rows.select("phrase", "docs", F.col("docs").alias("support"), (F.col("docs") * F.col("docs")).cast("double").alias("quality"))
 
 
@@ -106,7 +127,7 @@ def terminology_drift(docs: DataFrame, order: str, least: float = 0.0005, most:
 
     The halves are cut at the exact middle of `order`, found by an aggregate instead of a window over everything."""
     middle = docs.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {order})").alias("middle"))
-    rows = docs.crossJoin(F.broadcast(middle)).select((F.col(order) <= F.col("middle")).alias("early"), F.explode(X.word_ngrams(X.tokenize(F.col("text"), stop), 2)).alias("phrase"))
+    rows = docs.crossJoin(F.broadcast(middle)).select((F.col(order) <= F.col("middle")).alias("early"), F.explode_outer(X.word_ngrams(X.tokenize(F.col("text"), stop), 2)).alias("phrase")).filter("phrase IS NOT NULL")
     counts = rows.groupBy("phrase").agg(F.count_if("early").alias("e"), F.count_if(~F.col("early")).alias("l"))
     sizes = counts.agg(F.sum("e").alias("all_e"), F.sum("l").alias("all_l"))
     shares = counts.crossJoin(F.broadcast(sizes)).select("phrase", F.round(F.col("e") / F.col("all_e"), 9).alias("early"), F.round(F.col("l") / F.col("all_l"), 9).alias("late"))
@@ -137,17 +158,20 @@ def contained(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return with_words(docs, terms)
 
 
-def phrase_counts(docs: DataFrame, starters: list[str], stop=X.STOPWORDS) -> DataFrame:
-    """doc_id, phrase, n: runs of two to four content words of four letters or more that no stop word breaks. Texts are cut at other
-    words first, so only such runs are made."""
+def phrase_runs(text: Column, starters: list[str], stop=X.STOPWORDS) -> Column:
+    """Phrases of a text, each occurrence: runs of two to four content words of four letters or more that no stop word breaks. Texts are
+    cut at other words first, so only such runs are made."""
     fit = lambda w: (F.length(w) >= 4) & ~w.isin(*stop)
-    marked = F.array_join(F.transform(X.words_kept(F.col("text")), lambda w: F.when(fit(w), w).otherwise("\n")), " ")
+    marked = F.array_join(F.transform(X.words_kept(text), lambda w: F.when(fit(w), w).otherwise("\n")), " ")
     runs = F.transform(F.split(marked, r"\s*\n\s*"), lambda r: F.split(F.trim(r), " "))
-    grams = F.flatten(F.transform(runs, lambda r: F.concat(*(X.word_ngrams(r, n) for n in (2, 3, 4)))))
-    rows = docs.select("doc_id", F.explode(grams).alias("phrase"))
-    parts = F.split("phrase", " ")
-    rows = rows.filter(~(parts[0].isin(*starters) & (F.size(parts) >= 3)))
-    return rows.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+    says = lambda g: ~F.substring_index(g, " ", 1).isin(*starters)
+    return F.flatten(F.transform(runs, lambda r: F.concat(X.word_ngrams(r, 2), F.filter(F.concat(X.word_ngrams(r, 3), X.word_ngrams(r, 4)), says))))
+
+
+def phrase_counts(docs: DataFrame, starters: list[str], stop=X.STOPWORDS) -> DataFrame:
+    """doc_id, phrase, n of the phrases of each document."""
+    each = F.flatten(F.transform("texts", lambda t: phrase_runs(t, starters, stop)))
+    return whole_texts(docs).select("doc_id", F.explode_outer(tallied(each)).alias("p")).filter("p IS NOT NULL").select("doc_id", F.col("p.x").alias("phrase"), "p.n")
 
 
 #: Endings that results depend on.
@@ -162,7 +186,9 @@ def phrase_shape(phrase: Column, n: Column, starters: list[str]) -> Column:
 
 
 def phrase_candidates(docs: DataFrame, starters: list[str], most: int = 8, stop=X.STOPWORDS) -> DataFrame:
-    """The best phrases of each document by a score of their shape: doc_id, phrase, n, score, rank."""
-    rows = phrase_counts(docs, starters, stop).withColumn("score", phrase_shape(F.col("phrase"), F.col("n"), starters))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc(F.length("phrase")), "phrase")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    """The best phrases of each document by a score of their shape: doc_id, phrase, n, score, rank. A document's phrases are counted and ranked where its texts are."""
+    each = F.flatten(F.transform("texts", lambda t: phrase_runs(t, starters, stop)))
+    keyed = lambda p: F.struct((-phrase_shape(p["x"], p["n"], starters)).alias("less"), (-F.length(p["x"])).alias("shorter"), p["x"].alias("phrase"), p["n"].alias("n"))
+    best = F.slice(F.sort_array(F.transform(tallied(each), keyed)), 1, most)
+    rows = whole_texts(docs).select("doc_id", F.posexplode_outer(best).alias("at", "p")).filter("p IS NOT NULL")
+    return rows.select("doc_id", "p.phrase", "p.n", (-F.col("p.less")).alias("score"), (F.col("at") + 1).alias("rank"))

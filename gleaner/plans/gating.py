@@ -11,6 +11,7 @@ from gleaner.operators import evaluate as E
 from gleaner.operators import merges as M
 from gleaner.operators import phrases as P
 from gleaner.plans.textual import _BI, _DBI, TOK
+from gleaner.sources.shared import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,7 +25,7 @@ def _list(words) -> str:
 def mined(docs: DataFrame) -> DataFrame:
     """topic_id, name, kind, usage (documents), support (sources), distinctiveness: words and adjacent pairs of two documents or more."""
     words = docs.select("doc_id", "source", X.tokenize(F.col("text")).alias("words"))
-    grams = words.select("doc_id", "source", F.explode(F.array_distinct(F.concat("words", X.word_ngrams(F.col("words"), 2)))).alias("name"))
+    grams = words.select("doc_id", "source", F.explode_outer(F.array_distinct(F.concat("words", X.word_ngrams(F.col("words"), 2)))).alias("name")).filter("name IS NOT NULL")
     used = grams.groupBy("name").agg(F.count("*").alias("usage"), F.count_distinct("source").alias("support")).filter("usage >= 2")
     return used.select(F.crc32("name").alias("topic_id"), "name", F.when(F.col("name").startswith("the"), "entity").otherwise("concept").alias("kind"), "usage", "support", (F.length("name") * 1.5).cast("double").alias("distinctiveness"))
 
@@ -57,12 +58,12 @@ def _(d):
 
 @_q("curate_topics", MINED + _PU + f"SELECT name, NOT (list_contains({_list(T.noise)}, name) OR (name NOT LIKE '% %' AND length(name) < 4 AND usage < 20) OR {_WEAK} OR (name NOT LIKE '% %' AND phrase_usage IS NOT NULL AND phrase_usage >= usage * 0.25)) AS keep FROM mined LEFT JOIN pu ON word = name")
 def _(d):
-    return G.curate(mined(d)).select("name", "keep")
+    return G.curate(written(mined(d), "mined")).select("name", "keep")
 
 
 @_q("suppress_components", MINED + _PU + "SELECT name FROM mined ANTI JOIN pu ON word = name")
 def _(d):
-    return G.suppress_components(mined(d)).select("name")
+    return G.suppress_components(written(mined(d), "mined")).select("name")
 
 
 @_q("display_decisions", MINED + "SELECT name, CASE WHEN kind = 'entity' THEN NULL WHEN support < 2 THEN 'low_episode_spread' WHEN name NOT LIKE '% %' AND usage < 10 AND distinctiveness < 25 THEN 'weak_singleton_filter' END AS reason FROM mined")

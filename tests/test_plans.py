@@ -49,3 +49,38 @@ def test_pairs_of_topics_go_to_their_topic_once(spark):
 
     text = plan(catalog.queries()["topic_similarity"](spark, SF))
     assert not re.search(r"hashpartitioning\(topic_id#\d+L?, related_id", text)
+
+
+def test_phrases_are_counted_where_texts_are(spark):
+    """Documents' texts are shuffled by id, not what is made of them: no exchange on id and phrase, and none after the count of a document."""
+    for name in ("heuristic_phrases", "corpus_ngrams", "tokenize_counts"):
+        assert "hashpartitioning(phrase" not in plan(catalog.queries()["heuristic_phrases"](spark, SF))
+        assert "hashpartitioning(doc_id" in plan(catalog.queries()[name](spark, SF)) and ", doc_id#" not in "".join(x for x in plan(catalog.queries()[name](spark, SF)).splitlines() if "Exchange" in x)
+
+
+def test_phrases_of_episodes_are_mined_once(spark):
+    text = plan(catalog.queries()["episode_candidates"](spark, SF))
+    assert "Join" not in text and "hashpartitioning(doc_id" not in text
+    text = plan(catalog.queries()["episode_attribution"](spark, SF))
+    assert "Generate" not in text  # candidates are read, not mined again
+
+
+def test_words_of_runs_are_made_once(spark):
+    """A long text's word pairs take time in proportion to it: its words aren't made anew for each pair."""
+    import time
+
+    from gleaner.functions import text as X
+
+    docs = spark.createDataFrame([("the long road home again " * 4000,)], "text string")
+    start = time.perf_counter()
+    assert docs.select(F.size(X.word_ngrams(X.tokenize(F.col("text")), 2)).alias("n")).head()["n"] == 11_999
+    assert time.perf_counter() - start < 20
+
+
+def test_documents_that_share_an_id_are_one(spark):
+    from gleaner.operators import phrases as P
+
+    docs = spark.createDataFrame([(1, "amber river stone amber river"), (1, "amber river"), (2, None), (3, "amber river")], "doc_id long, text string")
+    counts = {(r["doc_id"], r["phrase"]): r["n"] for r in P.phrase_candidates(docs, []).collect()}
+    assert counts[1, "amber river"] == 3 and counts[3, "amber river"] == 1 and all(d != 2 for d, _ in counts)
+    assert [(r["phrase"], r["total"], r["docs"]) for r in P.ngrams(docs, 4, 2).collect()] == [("amber river", 4, 2)]
