@@ -80,8 +80,10 @@ def gated_lexicon(rows: DataFrame, t: G.Tuning = G.DEFAULT, most: int = 200) ->
     size = filled.count()
     least = 3 if size >= 10 else 2
     pairs, runs = P.phrase_lexicon(filled, least, 1e-6, None), P.repeated_ngrams(filled, least)
-    both = pairs.withColumn("first", F.lit(1)).unionByName(runs.withColumn("first", F.lit(0))).filter(F.lit(size >= 2))
-    both = both.withColumn("phrase", X.normalize_term(F.col("phrase"))).withColumn("slug", X.slugify(F.col("phrase")))
+    both = written(pairs, "pairs").withColumn("first", F.lit(1)).unionByName(written(runs, "runs").withColumn("first", F.lit(0))).filter(F.lit(size >= 2))
+    # names and slugs are written before gates read them: else each mention of a name in a gate makes it anew
+    both = written(both.withColumn("phrase", X.normalize_term(F.col("phrase"))), "lexicon-names").withColumn("slug", X.slugify(F.col("phrase")))
+    both = written(both, "lexicon-slugs")
     both = both.filter((F.length("slug") >= 3) & ~G.is_noise(F.col("phrase"), t))
     best = both.groupBy("slug").agg(F.max(F.struct("quality", "first", "docs", "support", "phrase")).alias("x")).select("x.phrase", "x.docs", "x.support", "x.quality")
     passed = best.filter(G.phrase_reason(F.col("phrase"), F.col("docs"), F.col("support"), F.col("quality"), t).isNull())

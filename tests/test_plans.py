@@ -84,3 +84,18 @@ def test_documents_that_share_an_id_are_one(spark):
     counts = {(r["doc_id"], r["phrase"]): r["n"] for r in P.phrase_candidates(docs, []).collect()}
     assert counts[1, "amber river"] == 3 and counts[3, "amber river"] == 1 and all(d != 2 for d, _ in counts)
     assert [(r["phrase"], r["total"], r["docs"]) for r in P.ngrams(docs, 4, 2).collect()] == [("amber river", 4, 2)]
+
+
+def test_lexicon_names_are_made_once(spark):
+    """Gates read written names: before, each mention of a name in a gate made it anew."""
+    from gleaner.plans.corpus import gated_lexicon
+
+    rows = spark.createDataFrame([(k, "amber river stone. Amber river stone again") for k in range(12)], "doc_id long, text string")
+    found = gated_lexicon(rows)
+    assert "translate(" not in plan(found) and {r["phrase"] for r in found.collect()} >= {"amber river", "river stone"}
+
+
+def test_names_of_odd_words():
+    from gleaner.operators.keywords import names
+
+    assert [n for n, _ in names("We met 'Ada Byron's mother, 9Ada and (Carl) there. all lower. Émile Zola wrote")] == ["ada byron", "carl", "zola"]
