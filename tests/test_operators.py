@@ -261,3 +261,29 @@ def test_lineage_archive(spark):
     assert sorted(r["topic_id"] for r in rest.collect()) == [4, 5, 6]  # in use, unknown, linked
     got = {(r["slug"], r["merged_into"], r["merge_stage"]): (r["name"], r["topic_id"], r["last_topic_id"], r["archive_count"]) for r in archive.collect()}
     assert got == {("x", 9, "alias"): ("X2", 40, 2, 6), ("x", 9, "stem"): ("X", 3, 3, 1), ("v", None, None): ("V", 7, 7, 2)}
+
+
+def test_cosine_topk_scores_of_odd_vectors(spark):
+    """Vectors that are null, zero, short or hold nulls have no score and come last; copies go by id; scores are Spark's to the last digit."""
+    import random
+
+    draw = random.Random(5)
+    rows = [(k, [draw.uniform(-1, 1) for _ in range(5)]) for k in range(60)] + [(60 + k, [1.0, 2.0, 3.0, 4.0, 5.0]) for k in range(8)]
+    rows += [(70, None), (71, []), (72, [0.0] * 5), (73, [1.0, None, 3.0, 4.0, 5.0]), (74, [1.0, 2.0]), (None, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id IN (0, 60, 67, 70, 72, 74) OR vec_id IS NULL")
+    from gleaner.functions.vectors import cosine
+
+    pairs = asked.toDF("query_id", "qv").join(df.toDF("vec_id", "v"), F.expr("vec_id != query_id")).select("query_id", "vec_id", F.round(cosine("v", "qv"), 6).alias("score"))
+    for most in (3, 69, 72, 200):
+        want = pairs.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).filter(F.col("rank") <= most)
+        assert sorted(map(tuple, S.cosine_topk(df, asked, most).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    near = sorted((r["query_id"], r["vec_id"], r["score"]) for r in S.cosine_topk(df, asked, None, 0.3).collect())
+    assert near == sorted(map(tuple, pairs.filter("score >= 0.3").collect()))
+
+
+def test_cosine_topk_makes_no_row_for_a_pair_that_is_not_shown(spark):
+    """Each task hands on its best of each query, not all pairs."""
+    df = spark.range(3000).selectExpr("id AS vec_id", "array(cast(id % 17 AS double), cast(id % 5 AS double), 1D) AS embedding")
+    plan = S.cosine_topk(df, df.filter("vec_id % 50 = 0"), 10)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan
