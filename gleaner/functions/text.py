@@ -47,7 +47,7 @@ def warnings(normalized: Column) -> Column:
 
 def words_kept(text: Column) -> Column:
     """Lower-cased words of a-z, 0-9, ' and -, stop words included."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s'-]", " "), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^a-z0-9'-]+"), lambda w: w != "")
 
 
 def tokenize(text: Column, stop: tuple | list = STOPWORDS) -> Column:

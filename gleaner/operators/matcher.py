@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.sources.shared import dealt, written
+
 #: Bytes of terms that one pass takes along.
 MOST_BYTES = 32 << 20
 
@@ -22,64 +24,114 @@ def word_form(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
-def held(texts: DataFrame, terms: DataFrame, bounds: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """doc_id, term, n: how often (overlaps counted) each term stands in each text, for those that do. texts: doc_id, form; terms: term, form.
+#: Where a hit counts: anywhere, where neither neighbour is a letter a-z or a digit, where both neighbours are spaces.
+ANYWHERE, BETWEEN_BOUNDS, BETWEEN_SPACES = "anywhere", "bounds", "spaces"
+
 
-    bounds: only where neither neighbour is a letter a-z or a digit. Several terms may have one form; empty forms are held by nothing, null forms and texts neither."""
+def matches(texts: DataFrame, terms: DataFrame, most_bytes: int = MOST_BYTES, **counted: tuple[str, str]) -> DataFrame:
+    """doc_id, term, and for each name in counted how often (overlaps counted) the term stands in that column of the text in that way; pairs without any are left out. counted: name = (column, way); terms: term, form.
+
+    Each column is gone through once. Several terms may have one form; empty forms are held by nothing, null texts hold none."""
     spark = texts.sparkSession
-    forms = terms.filter("form != ''").select("form").distinct()
+    terms = written(terms.select("term", "form").filter("form != ''"), "terms")  # read for size, parts and names: made once
+    forms = terms.select("form").distinct()
     size = forms.agg(F.sum(F.octet_length("form") + F.lit(16))).head()[0] or 0
     parts = max(1, -(-int(size) // most_bytes))
+    schema = "doc_id long, form string, " + ", ".join(f"{name} long" for name in counted)
     found = None
     for part in range(parts):
         own = [r["form"] for r in forms.filter(F.pmod(F.xxhash64("form"), F.lit(parts)) == part).collect()]  # at most about most_bytes
-        hits = texts.filter("form IS NOT NULL").mapInArrow(_pass(spark.sparkContext.broadcast(own), bounds), "doc_id long, form string, n long")
+        hits = texts.mapInArrow(_pass(spark.sparkContext.broadcast(own), counted), schema)
         found = hits if found is None else found.unionByName(hits)
-    return found.join(terms.select("term", "form"), "form").select("doc_id", "term", "n")
+    return found.join(terms, "form").select("doc_id", "term", *counted)
 
 
-def _pass(shared, bounds: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+def held(texts: DataFrame, terms: DataFrame, bounds: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """doc_id, term, n: how often each term stands in each text, for those that do; bounds: only between bounds. texts: doc_id, form; terms: term, form."""
+    return matches(texts, terms, most_bytes, n=("form", BETWEEN_BOUNDS if bounds else ANYWHERE))
+
+
+_INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _automaton(forms: list[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for form in forms:
+        automaton.add_word(form, form)
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton
 
-        automaton, inner = ahocorasick.Automaton(), set("abcdefghijklmnopqrstuvwxyz0123456789")
-        for form in shared.value:
-            automaton.add_word(form, form)
+
+def _pass(shared, counted: dict[str, tuple[str, str]]):
+    columns: dict[str, list[tuple[int, str]]] = {}
+    for k, (column, way) in enumerate(counted.values()):
+        columns.setdefault(column, []).append((k, way))
+    none = [0] * len(counted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(shared.value)
         if not len(automaton):
             return
-        automaton.make_automaton()
         for batch in batches:
             ids: list = []
             forms: list[str] = []
-            counts: list[int] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("form").to_pylist(), strict=True):
-                seen: dict[str, int] = {}
-                for end, form in automaton.iter(text):
-                    first = end - len(form) + 1
-                    if bounds and (first and text[first - 1] in inner or text[end + 1 : end + 2] and text[end + 1] in inner):
-                        continue
-                    seen[form] = seen.get(form, 0) + 1
+            counts: list[list[int]] = []
+            texts = [(batch.column(column).to_pylist(), ways) for column, ways in columns.items()]
+            for row, doc in enumerate(batch.column("doc_id").to_pylist()):
+                seen: dict[str, list[int]] = {}
+                for column, ways in texts:
+                    text = column[row]
+                    for end, form in automaton.iter(text or ""):
+                        first = end - len(form) + 1
+                        before, after = text[first - 1] if first else "", text[end + 1 : end + 2]
+                        for k, way in ways:
+                            if way == ANYWHERE or (way == BETWEEN_BOUNDS and before not in _INNER and after not in _INNER) or (way == BETWEEN_SPACES and before == after == " "):
+                                seen.setdefault(form, none.copy())[k] += 1
                 ids += [doc] * len(seen)
                 forms += seen.keys()
                 counts += seen.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "form", "n"])
+            sums = [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(counted))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string()), *sums], names=["doc_id", "form", *counted])
 
     return run
 
 
+def _lowered(docs: DataFrame) -> DataFrame:
+    """doc_id, form: texts in lower case, dealt to all cores."""
+    return dealt(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.lower("text").alias("form"))
+
+
 def with_words(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, term of all terms that stand in a text between word boundaries. docs: doc_id, text; terms: term."""
     shaped = terms.select("term", word_form(F.col("term")).alias("form")).filter("trim(form) != ''")
-    return held(docs.select("doc_id", word_form(F.col("text")).alias("form")), shaped).select("doc_id", "term").distinct()
+    return held(dealt(docs.select("doc_id", "text"), "doc_id").select("doc_id", word_form(F.col("text")).alias("form")), shaped).select("doc_id", "term").distinct()
 
 
 def with_substrings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, term of all terms that stand anywhere in a text, letters' case aside."""
-    shaped = terms.select("term", F.lower("term").alias("form"))
-    return held(docs.select("doc_id", F.lower("text").alias("form")), shaped).select("doc_id", "term").distinct()
+    return held(_lowered(docs), _as_they_are(terms)).select("doc_id", "term").distinct()
 
 
 def with_bounds(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, term of all terms that stand in a text, as they are but for case, with no letter a-z or digit next to them."""
-    shaped = terms.select("term", F.lower("term").alias("form"))
-    return held(docs.select("doc_id", F.lower("text").alias("form")), shaped, bounds=True).select("doc_id", "term").distinct()
+    return held(_lowered(docs), _as_they_are(terms), bounds=True).select("doc_id", "term").distinct()
+
+
+def with_wholeness(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, term, whole of all terms that stand anywhere in a text: whether one has no letter a-z or digit next to it."""
+    found = matches(_lowered(docs), _as_they_are(terms), inside=("form", ANYWHERE), own=("form", BETWEEN_BOUNDS))
+    return found.groupBy("doc_id", "term").agg((F.max("own") > 0).alias("whole"))
+
+
+def only_inside(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, term of all terms that stand in a text, but nowhere as words of its word form."""
+    texts = dealt(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.lower("text").alias("low"), word_form(F.col("text")).alias("words"))
+    found = matches(texts, _as_they_are(terms), inside=("low", ANYWHERE), own=("words", BETWEEN_SPACES))
+    return found.groupBy("doc_id", "term").agg(F.max("inside").alias("inside"), F.max("own").alias("own")).filter("inside > 0 AND own = 0").select("doc_id", "term")
+
+
+def _as_they_are(terms: DataFrame) -> DataFrame:
+    return terms.select("term", F.lower("term").alias("form"))

@@ -129,3 +129,25 @@ def test_backfill(spark, corpus):
     by_slug = {r["slug"]: r["topic_id"] for r in c.topics.collect()}
     assert "new-phrase" in by_slug and "weak-phrase" not in by_slug
     assert set(rows(c.links)) == links | {(d, by_slug[s]) for d, _, s, _, _ in added}
+
+
+def test_terms_are_made_once_and_texts_gone_through_once(spark, tmp_path):
+    """A term and its wholeness come from one pass; the frame of terms, which may be dear, is worked out a single time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    docs = spark.createDataFrame([(1, "Other themes, the"), (2, "theme x. other"), (3, None), (4, "")], "doc_id long, text string")
+    terms = spark.createDataFrame([("the",), ("theme",)], "term string").mapInPandas(counted, "term string")
+    assert sorted(map(tuple, matcher.with_wholeness(docs, terms).collect())) == [(1, "the", True), (1, "theme", False), (2, "the", False), (2, "theme", True)]
+    assert seen.value == 2
+
+
+def test_only_inside(spark):
+    """Phrases that stand in a text, but not as words: the SQL's form of a text has no apostrophe, so a phrase with one is never words there."""
+    docs = spark.createDataFrame([(1, "bathe themes"), (2, "the theme. the themes"), (3, "the, themes"), (4, "don't know"), (5, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("the theme",), ("don't know",)], "term string")
+    assert sorted(map(tuple, matcher.only_inside(docs, terms).collect())) == [(1, "the theme"), (4, "don't know")]
