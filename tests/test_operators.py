@@ -287,3 +287,15 @@ def test_cosine_topk_makes_no_row_for_a_pair_that_is_not_shown(spark):
     df = spark.range(3000).selectExpr("id AS vec_id", "array(cast(id % 17 AS double), cast(id % 5 AS double), 1D) AS embedding")
     plan = S.cosine_topk(df, df.filter("vec_id % 50 = 0"), 10)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "NestedLoop" not in plan
+
+
+def test_keyphrases_are_found_by_all_cores(spark):
+    """A table of one piece is dealt; phrases and values stay as worked out by hand: two words of one sentence, each once."""
+    docs = spark.createDataFrame([(1, "Whale watching. And why"), (2, None)], "doc_id long, text string").coalesce(1)
+    found = K.document_keyphrases(docs)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    import math
+
+    whale = math.log(2 + 0 / 4) * 2 / (1 + 1 / 2 / 2 + 0.5 * 0.5 + 1)
+    watching = math.log(2 + 1 / 4) * 2 / (1 + 1 / 2 / 2 + 0.5 * 0.5 + 1)
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "whale watching", round(whale * watching / 1.5, 9))]
