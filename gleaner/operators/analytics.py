@@ -136,11 +136,16 @@ def pairs(links: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return a.join(b, "chunk_id").filter("a < b")
 
 
-def unexpected_pairs(dated: DataFrame, episode: int, most: int, least: int = 1) -> DataFrame:
+def by_pair(pairs_of: DataFrame, parts: int | None):
+    """Groups of equal a and b. With parts, pairs are dealt first: nearly all are different, so adding up before would only take memory."""
+    return (pairs_of if parts is None else pairs_of.repartition(parts, "a", "b")).groupBy("a", "b")
+
+
+def unexpected_pairs(dated: DataFrame, episode: int, most: int, least: int = 1, parts: int | None = None) -> DataFrame:
     """Pairs of one episode that the rest of the corpus has least often."""
-    every = pairs(dated.select("chunk_id", "topic_id", "episode_id"), ["episode_id"])
     inside = F.col("episode_id") == episode
-    counts = every.groupBy("a", "b").agg(F.count_if(inside).alias("here"), F.count_if(~inside).alias("elsewhere")).filter(F.col("here") >= least)
+    every = pairs(dated.select("chunk_id", "topic_id", "episode_id"), ["episode_id"]).select("a", "b", "episode_id")
+    counts = by_pair(every, parts).agg(F.count_if(inside).alias("here"), F.count_if(~inside).alias("elsewhere")).filter(F.col("here") >= least)
     return counts.orderBy("elsewhere", F.desc("here"), "a", "b").limit(most)
 
 
@@ -162,19 +167,23 @@ def since_last(dated: DataFrame, used: DataFrame, now, before, most: int) -> Dat
     return ranked(both.withColumn("change", group).withColumn("score", F.round(score, 6)), ["change"], [F.desc("score"), F.asc("topic_id")], most).select("change", "rank", "topic_id", "current", "previous", "score")
 
 
-def related(links: DataFrame, most: int) -> DataFrame:
-    """For each topic the topics it shares most chunks with."""
+def related(links: DataFrame, most: int, parts: int | None = None) -> DataFrame:
+    """For each topic the topics it shares most chunks with. With parts, a topic's pairs are dealt once, then counted and ranked where they are."""
+    if parts is not None:
+        a, b = links.select("chunk_id", "topic_id"), links.select("chunk_id", F.col("topic_id").alias("other_id"))
+        directed = a.join(b, "chunk_id").filter("topic_id != other_id").select("topic_id", "other_id").repartition(parts, "topic_id")
+        return ranked(directed.groupBy("topic_id", "other_id").agg(F.count("*").alias("shared")), ["topic_id"], [F.desc("shared"), F.asc("other_id")], most)
     p = pairs(links).groupBy("a", "b").agg(F.count("*").alias("shared"))
     both = p.union(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")).toDF("topic_id", "other_id", "shared")
     return ranked(both, ["topic_id"], [F.desc("shared"), F.asc("other_id")], most)
 
 
-def jaccard_blend(links: DataFrame, vectors: DataFrame | None, most: int) -> DataFrame:
+def jaccard_blend(links: DataFrame, vectors: DataFrame | None, most: int, parts: int | None = None) -> DataFrame:
     """Topic pairs with overlap: Jaccard of their chunk sets, cosine of their vectors if given (topic_id, v), and the blend."""
     from gleaner.functions.vectors import blend, cosine
 
     sizes = links.groupBy("topic_id").agg(F.count("*").alias("size"))
-    p = pairs(links).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    p = by_pair(pairs(links).select("a", "b"), parts).agg(F.count("*").alias("overlap"))
     p = p.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
     p = p.withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
     if vectors is None:
@@ -284,16 +293,20 @@ def corpus_invariants(chunks: DataFrame, episodes: DataFrame, links: DataFrame,
     per_episode = episodes.join(chunks.groupBy("episode_id").agg(F.count("*").alias("chunks")), "episode_id", "left")
     differ = lambda df, a, b: df.filter(F.coalesce(F.col(a), F.lit(0)) != F.coalesce(F.col(b), F.lit(0)))
     total = lambda df, c, name: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias(name))
+    # words are gone through once for both of their counts
+    marked = chunk_words.join(chunks.select("chunk_id", F.lit(True).alias("known")).distinct(), "chunk_id", "left")
+    words = marked.agg(F.count_if(F.col("known").isNull()).alias("orphan_chunk_words"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
     parts = [
         count(links.join(chunks, "chunk_id", "left_anti"), "orphan_chunk_topics"),
         count(episode_topics.join(episodes, "episode_id", "left_anti"), "orphan_episode_topics"),
-        count(chunk_words.join(chunks, "chunk_id", "left_anti"), "orphan_chunk_words"),
+        words,
         count(differ(topics.join(of_links, "topic_id", "left"), "usage", "links"), "usage_mismatches"),
         count(differ(topics.join(of_episodes, "topic_id", "left"), "support", "episodes"), "support_mismatches"),
         count(differ(per_episode, "chunk_count", "chunks"), "drifted_episodes"),
-        total(chunk_words, "n", "words").crossJoin(total(word_stats, "total", "stats")).select((F.col("words") - F.col("stats")).alias("word_total_delta")),
+        total(word_stats, "total", "stats"),
     ]
     row = parts[0]
     for more in parts[1:]:
         row = row.crossJoin(more)  # one row each
+    row = row.withColumn("word_total_delta", F.col("words") - F.col("stats")).drop("words", "stats")
     return row.withColumn("healthy", sum((F.abs(c) for c in row.columns), F.lit(0)) == 0)

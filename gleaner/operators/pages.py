@@ -9,22 +9,22 @@ from gleaner.functions.text import oxford_list
 from gleaner.operators import analytics as A
 
 
-def topic_pages(links: DataFrame, dated: DataFrame, used: DataFrame, most_related: int = 3) -> DataFrame:
+def topic_pages(links: DataFrame, dated: DataFrame | None, used: DataFrame, most_related: int = 3, per: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """A row for each visible topic with links.
 
-    links: chunk_id, topic_id; dated: these with episode_id and published; used: topic_id, name, usage, distinctiveness, hidden. Ties: the
+    links: chunk_id, topic_id; dated: these with episode_id and published, or per: their number n by topic_id, episode_id, published; used: topic_id, name, usage, distinctiveness, hidden. Ties: the
     densest episode is the earliest of the most chunks; ranks in a year go by chunks, then by id."""
     seen = used.filter(A.visible()).select("topic_id", "name")
-    span = dated.groupBy("topic_id").agg(F.count("*").alias("chunks"), F.count_distinct("episode_id").alias("episodes"), F.min("published").alias("first"), F.max("published").alias("last"))
-    per = dated.groupBy("topic_id", "episode_id", "published").agg(F.count("*").alias("n"))
+    per = per if per is not None else dated.groupBy("topic_id", "episode_id", "published").agg(F.count("*").alias("n"))
+    span = per.groupBy("topic_id").agg(F.sum("n").alias("chunks"), F.count_distinct("episode_id").alias("episodes"), F.min("published").alias("first"), F.max("published").alias("last"))
     peak = per.groupBy("topic_id").agg(F.max_by(F.struct("episode_id", "published", "n"), F.struct("n", -F.unix_date("published"), -F.col("episode_id"))).alias("peak"))
-    yearly = dated.groupBy(F.year("published").alias("year"), "topic_id").agg(F.count("*").alias("n"))
+    yearly = per.groupBy(F.year("published").alias("year"), "topic_id").agg(F.sum("n").alias("n"))
     ranked = yearly.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "topic_id")))
     ends = ranked.groupBy("topic_id").agg(F.min_by(F.struct("year", "rank"), "year").alias("start"), F.max_by(F.struct("year", "rank"), "year").alias("end"))
     near = A.neighbours_in_rank(used.filter(A.visible()))
     name = lambda column: seen.select(F.col("topic_id").alias(column), F.col("name").alias(f"{column}_name"))
     near = near.join(name("above"), "above", "left").join(name("below"), "below", "left").select("topic_id", "above_name", "below_name")
-    others = A.related(links.join(seen.select("topic_id"), "topic_id", "left_semi"), most_related).join(name("other_id"), "other_id")
+    others = A.related(links.join(seen.select("topic_id"), "topic_id", "left_semi"), most_related, parts).join(name("other_id"), "other_id")
     others = others.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other_id_name"))), lambda s: s["other_id_name"]).alias("related"))
     rows = seen.join(span, "topic_id").join(peak, "topic_id").join(ends, "topic_id").join(near, "topic_id", "left").join(others, "topic_id", "left")
     return rows.withColumn("related", F.coalesce("related", F.array().cast("array<string>"))).withColumn("summary", summary())

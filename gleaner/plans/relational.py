@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import analytics as A
 from gleaner.operators.pages import topic_pages
 from gleaner.plans.roles import SQL, Corpus
+from gleaner.sources.shared import written
 
 D = datetime.date
 NOW, BEFORE = (D(1998, 4, 1), D(1998, 4, 30)), (D(1998, 3, 1), D(1998, 3, 31))
@@ -113,7 +114,7 @@ _PAIRS = ", every AS (SELECT x.chunk_id, x.episode_id, x.topic_id AS a, y.topic_
 
 @_q("unexpected_pairings", _PAIRS + " SELECT a, b, count(*) FILTER (WHERE episode_id = 199804) AS here, count(*) FILTER (WHERE episode_id != 199804) AS elsewhere FROM every GROUP BY a, b HAVING here >= 1 ORDER BY elsewhere, here DESC, a, b LIMIT 40")
 def _(c):
-    return A.unexpected_pairs(c.dated, 199804, 40)
+    return A.unexpected_pairs(c.dealt_dated, 199804, 40, parts=c.parts)
 
 
 @_q("most_novel_chunks", "SELECT chunk_id, round(avg(ln(((SELECT count(*) FROM episodes WHERE published < DATE '1996-04-01') + 1) / (coalesce(prior, 0) + 1))), 6) AS novelty FROM dated LEFT JOIN (SELECT topic_id, count(DISTINCT episode_id) AS prior FROM dated WHERE published < DATE '1996-04-01' GROUP BY topic_id) USING (topic_id) WHERE published = DATE '1996-04-01' GROUP BY chunk_id ORDER BY novelty DESC, chunk_id LIMIT 20")
@@ -131,12 +132,12 @@ def _(c):
 
 @_q("related_topics_cooccurrence", _PAIRS + ", p AS (SELECT a, b, count(*) AS shared FROM every GROUP BY a, b) SELECT * FROM (SELECT topic_id, other_id, shared, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY shared DESC, other_id) AS INTEGER) AS rank FROM (SELECT a AS topic_id, b AS other_id, shared FROM p UNION ALL SELECT b, a, shared FROM p)) WHERE rank <= 5")
 def _(c):
-    return A.related(c.links, 5)
+    return A.related(c.dealt_links, 5, c.parts)
 
 
 @_q("topic_jaccard", _PAIRS + ", s AS (SELECT topic_id, count(*) AS size FROM links GROUP BY topic_id), p AS (SELECT a, b, count(*) AS overlap FROM every GROUP BY a, b), j AS (SELECT a, b, overlap, round(overlap / (sa.size + sb.size - overlap), 6) AS jaccard, round(overlap / (sa.size + sb.size - overlap), 6) AS score FROM p JOIN s sa ON sa.topic_id = a JOIN s sb ON sb.topic_id = b) SELECT * FROM (SELECT topic_id, other_id, overlap, jaccard, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, other_id) AS INTEGER) AS rank FROM (SELECT a AS topic_id, b AS other_id, overlap, jaccard, score FROM j UNION ALL SELECT b, a, overlap, jaccard, score FROM j)) WHERE rank <= 12")
 def _(c):
-    return A.jaccard_blend(c.links, None, 12)
+    return A.jaccard_blend(c.dealt_links, None, 12, c.parts)
 
 
 @_q("thread_chunks", "SELECT chunk_id, count(*) AS shared FROM links WHERE chunk_id != 7 AND topic_id IN (SELECT topic_id FROM links WHERE chunk_id = 7) GROUP BY chunk_id ORDER BY shared DESC, chunk_id LIMIT 20")
@@ -161,7 +162,7 @@ def _(c):
 
 @_q("all_topics_filter", ", top AS (SELECT a, b FROM (SELECT x.topic_id AS a, y.topic_id AS b, count(*) AS n FROM links x JOIN links y ON x.chunk_id = y.chunk_id AND x.topic_id < y.topic_id GROUP BY ALL) ORDER BY n DESC, a, b LIMIT 1) SELECT chunk_id FROM links WHERE topic_id IN (SELECT a FROM top UNION ALL SELECT b FROM top) GROUP BY chunk_id HAVING count(DISTINCT topic_id) = 2")
 def _(c):
-    top = A.pairs(c.links).groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").first()
+    top = A.by_pair(A.pairs(c.dealt_links).select("a", "b"), c.parts).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").first()
     return A.all_topics(c.links, [top["a"], top["b"]])
 
 
@@ -386,14 +387,15 @@ _EARLIER = "published < DATE '1998-04-01'"
 def _(c):
     """The state as it was stored before the last months, held against all that has come since."""
     earlier = F.col("published") < F.lit(D(1998, 4, 1))
-    named = c.dated.join(c.topics.select("topic_id", "name"), "topic_id")
-    stored = c.dated.filter(earlier).groupBy("topic_id").agg(F.count("*").alias("usage"), F.count_distinct("episode_id").alias("support"))
+    dated = written(c.dealt_dated, "dated")  # read for five of the counts
+    named = dated.join(c.topics.select("topic_id", "name"), "topic_id").select("chunk_id", "published", "name").repartition(c.parts, "chunk_id")
+    stored = dated.filter(earlier).groupBy("topic_id").agg(F.count("*").alias("usage"), F.count_distinct("episode_id").alias("support"))
     return A.corpus_invariants(
-        chunks=c.chunks.filter(earlier),
+        chunks=c.chunks.filter(earlier).repartition(c.parts, "chunk_id"),
         episodes=c.episodes.filter(earlier).join(c.chunks.groupBy("episode_id").agg(F.count("*").alias("chunk_count")), "episode_id"),
-        links=c.links,
+        links=c.dealt_links,
         topics=c.topics.select("topic_id").join(stored, "topic_id", "left").fillna(0),
-        episode_topics=c.dated.select("episode_id", "topic_id").distinct(),
+        episode_topics=dated.select("topic_id", "episode_id").repartition(c.parts, "topic_id").distinct(),
         chunk_words=_words(named),
         word_stats=_words(named.filter(earlier)).groupBy("word").agg(F.sum("n").alias("total")),
     )
@@ -424,5 +426,10 @@ _LIST = "CASE len({0}) WHEN 0 THEN '' WHEN 1 THEN {0}[1] WHEN 2 THEN {0}[1] || '
 )
 def _(c):
     """All that a topic's page tells, with its summary."""
-    rows = topic_pages(c.links, c.dated, c.used)
+    # what a topic has in each episode is counted once; its use, span, peak and years are sums of that
+    per = c.dealt_dated.select("topic_id", "episode_id", "published").repartition(c.parts, "topic_id").groupBy("topic_id", "episode_id", "published").agg(F.count("*").alias("n"))
+    per = written(per, "per-episode")
+    use = per.groupBy("topic_id").agg(F.sum("n").alias("usage"), F.count_distinct("episode_id").alias("support"))
+    used = written(c.topics.join(use, "topic_id", "left").fillna(0, ["usage", "support"]), "used")
+    rows = topic_pages(c.dealt_links, None, used, per=per, parts=c.parts)
     return rows.select("topic_id", "chunks", "episodes", F.col("peak.episode_id").alias("peak_episode"), F.array_join("related", "|").alias("related"), F.array_join("summary", " ").alias("summary"))

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.shared import parts_of
+
 
 class Corpus:
     """The frames that read-side analytics work on; each is lazy and reads only its columns."""
@@ -33,6 +35,22 @@ class Corpus:
             (F.col("p_retailprice") / 100).alias("distinctiveness"),
         )
 
+    @property
+    def parts(self) -> int:
+        """In how many parts links, and what is made of them, are dealt: more with more order lines, whose number stands in the files' footers."""
+        return parts_of(self.spark, self.spark.read.parquet(f"{self.sf_dir}/lineitem.parquet").count())
+
+    @property
+    def dealt_links(self) -> DataFrame:
+        """links by chunk in parts of a bounded size; joins and pairs by chunk need no other deal."""
+        lines = self.spark.read.parquet(f"{self.sf_dir}/lineitem.parquet")
+        return lines.select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("topic_id")).repartition(self.parts, "chunk_id").distinct()
+
+    @property
+    def dealt_dated(self) -> DataFrame:
+        """dated by chunk in parts of a bounded size."""
+        return self.dealt_links.join(self.chunks.repartition(self.parts, "chunk_id"), "chunk_id")
+
     def within(self, first: datetime.date, last: datetime.date) -> Corpus:
         return Corpus(self.spark, self.sf_dir, first, last)
 

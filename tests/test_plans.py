@@ -99,3 +99,18 @@ def test_names_of_odd_words():
     from gleaner.operators.keywords import names
 
     assert [n for n, _ in names("We met 'Ada Byron's mother, 9Ada and (Carl) there. all lower. Émile Zola wrote")] == ["ada byron", "carl", "zola"]
+
+
+def test_parts_grow_with_the_links(spark, tmp_path):
+    """Pairs and links are dealt in parts whose size doesn't grow with the table: twice the rows of a part make more parts."""
+    from gleaner.plans.roles import Corpus
+    from gleaner.sources import shared
+
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert shared.parts_of(spark, 10) == few and shared.parts_of(spark, 100 * shared.ROWS_A_PART + 1) == 101
+    (tmp_path / "t").mkdir()
+    for t in ("orders", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(str(tmp_path / "t" / f"{t}.parquet"))
+    spark.range(6 * shared.ROWS_A_PART).selectExpr("id % 1000 AS l_orderkey", "id % 7 AS l_partkey").write.parquet(str(tmp_path / "t" / "lineitem.parquet"))
+    c = Corpus(spark, str(tmp_path / "t"))
+    assert c.parts == 6 and c.dealt_links.rdd.getNumPartitions() == 6
