@@ -11,7 +11,7 @@ from gleaner.operators import evaluate as E
 from gleaner.operators import merges as M
 from gleaner.operators import phrases as P
 from gleaner.plans.textual import _BI, _DBI, TOK
-from gleaner.sources.shared import written
+from gleaner.sources.shared import dealt, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,9 +24,11 @@ def _list(words) -> str:
 
 def mined(docs: DataFrame) -> DataFrame:
     """topic_id, name, kind, usage (documents), support (sources), distinctiveness: words and adjacent pairs of two documents or more."""
-    words = docs.select("doc_id", "source", X.tokenize(F.col("text")).alias("words"))
-    grams = words.select("doc_id", "source", F.explode_outer(F.array_distinct(F.concat("words", X.word_ngrams(F.col("words"), 2)))).alias("name")).filter("name IS NOT NULL")
-    used = grams.groupBy("name").agg(F.count("*").alias("usage"), F.count_distinct("source").alias("support")).filter("usage >= 2")
+    # documents of a source are counted where they are, per source first: its number of sources is then the number of rows
+    words = dealt(docs.select("doc_id", "source", "text"), "doc_id").select("source", X.tokenize(F.col("text")).alias("words"))
+    grams = words.select("source", F.explode_outer(F.array_distinct(F.concat("words", X.word_ngrams(F.col("words"), 2)))).alias("name")).filter("name IS NOT NULL")
+    per = grams.groupBy("name", "source").agg(F.count("*").alias("n"))
+    used = per.groupBy("name").agg(F.sum("n").alias("usage"), F.count("source").alias("support")).filter("usage >= 2")
     return used.select(F.crc32("name").alias("topic_id"), "name", F.when(F.col("name").startswith("the"), "entity").otherwise("concept").alias("kind"), "usage", "support", (F.length("name") * 1.5).cast("double").alias("distinctiveness"))
 
 

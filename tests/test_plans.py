@@ -114,3 +114,12 @@ def test_parts_grow_with_the_links(spark, tmp_path):
     spark.range(6 * shared.ROWS_A_PART).selectExpr("id % 1000 AS l_orderkey", "id % 7 AS l_partkey").write.parquet(str(tmp_path / "t" / "lineitem.parquet"))
     c = Corpus(spark, str(tmp_path / "t"))
     assert c.parts == 6 and c.dealt_links.rdd.getNumPartitions() == 6
+
+
+def test_mined_counts_sources_without_telling_them_apart_twice(spark):
+    """Sources of a name are rows, null sources aren't one; texts of a table of one piece are dealt."""
+    from gleaner.plans.gating import mined
+
+    docs = spark.createDataFrame([(1, "a", "whale watching"), (2, "a", "whale whale"), (3, None, "Whale"), (4, "b", None)], "doc_id long, source string, text string").coalesce(1)
+    assert {r["name"]: (r["usage"], r["support"]) for r in mined(docs).collect()} == {"whale": (3, 1)}
+    assert mined(docs)._jdf.queryExecution().toString().count("RepartitionByExpression") >= 1
