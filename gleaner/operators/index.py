@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.search import Query, cosine_topk, date_filter, min_max, parse_query, rerank, topic_boost
+from gleaner.sources.shared import dealt, written
 
 #: Folders of the term tables, and documents of one block of maxima.
 BUCKETS, BLOCK = 16, 4096
@@ -76,6 +77,7 @@ def term_bucket(term: Column, buckets: int) -> Column:
 def build_index(docs: DataFrame, path: str, fields: tuple[str, ...] = ("title", "content"), keep: tuple[str, ...] = ("published",), buckets: int = BUCKETS, block: int = BLOCK) -> Index:
     """Write the index of docs (doc_id, the fields' texts, and the columns to keep). Documents are told by doc_id, which is a number and unique."""
     spark = docs.sparkSession
+    docs = dealt(docs, "doc_id")
     words = docs.select("doc_id", F.floor(F.col("doc_id") / block).cast("long").alias("block"), *(analyzed(F.col(f)).alias(f) for f in fields))
     sizes = [F.size(f).alias(f"len_{f}") for f in fields]
     lengths = words.select("doc_id", "block", *sizes)
@@ -85,30 +87,32 @@ def build_index(docs: DataFrame, path: str, fields: tuple[str, ...] = ("title",
     stored.agg(F.count("*").alias("docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), F.lit(buckets).alias("buckets"), F.lit(list(fields)).alias("fields")).write.parquet(f"{path}/totals")
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("term", pa.string()), ("doc_id", pa.int64()), ("block", pa.int64()), ("field", pa.int32()), ("n", pa.int32()), ("len", pa.int32()), ("positions", pa.list_(pa.int32()))])
+        schema = pa.schema([("term", pa.string()), ("doc_id", pa.int64()), ("block", pa.int64()), ("field", pa.int32()), ("n", pa.int32()), ("len", pa.int32()), ("lead", pa.bool_()), ("positions", pa.list_(pa.int32()))])
         for batch in batches:
             out: list[tuple] = []
             texts = [batch.column(f).to_pylist() for f in fields]
             for k, (doc, at) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("block").to_pylist(), strict=True)):
                 length = sum(len(t[k]) for t in texts)
+                known: set[str] = set()  # words of the fields before: a document's first row of a term leads, and counts as the document
                 for field, text in enumerate(texts):
                     places: dict[str, list[int]] = {}
                     for place, word in enumerate(text[k]):
                         places.setdefault(word, []).append(place)
-                    out += [(word, doc, at, field, len(p), length, p) for word, p in places.items()]
+                    out += [(word, doc, at, field, len(p), length, word not in known, p) for word, p in places.items()]
+                    known.update(places)
                     if len(out) > 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types, strict=True)], schema=schema)
                         out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types, strict=True)], schema=schema)
 
-    rows = words.filter(F.col("doc_id").isNotNull()).mapInArrow(postings, "term string, doc_id long, block long, field int, n int, len int, positions array<int>")
+    rows = words.filter(F.col("doc_id").isNotNull()).mapInArrow(postings, "term string, doc_id long, block long, field int, n int, len int, lead boolean, positions array<int>")
     rows = rows.withColumn("bucket", term_bucket(F.col("term"), buckets))
-    dealt = rows.repartition(F.col("bucket"), F.pmod(F.col("block"), F.lit(64))).sortWithinPartitions("bucket", "term", "block", "doc_id", "field")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    clustered = rows.repartition(F.col("bucket"), F.pmod(F.col("block"), F.lit(64))).sortWithinPartitions("bucket", "term", "block", "doc_id", "field")
+    clustered.write.partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     by_field = [F.max(F.when(F.col("field") == k, F.col("n"))).alias(f"most_{f}") for k, f in enumerate(fields)]
-    maxima = stored.groupBy("bucket", "term", "block").agg(F.count_distinct("doc_id").alias("docs"), F.min("len").alias("least_len"), *by_field)
+    maxima = stored.groupBy("bucket", "term", "block").agg(F.count_if("lead").alias("docs"), F.min("len").alias("least_len"), *by_field)
     maxima.repartition(F.col("bucket")).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/maxima")
     return Index(spark, path)
 
@@ -137,6 +141,8 @@ class Index:
         placed = rows.groupBy("doc_id", "block").agg(*at)
 
         def starts(phrase: tuple[str, ...], k: int) -> Column:
+            if len(phrase) == 1:
+                return F.coalesce(F.size(name[phrase[0], k]), F.lit(0))
             moved = [F.transform(name[w, k], back(j)) for j, w in enumerate(phrase)]
             both = moved[0]
             for more in moved[1:]:
@@ -203,7 +209,7 @@ class Index:
             best = lambda blocks: self.scored(self.hits(phrases, weights, blocks), alternatives, phrases, idf, q, date, allowed).orderBy(*order).limit(most)
             top = best(self.promising(alternatives, phrases, idf, weights, best, most))
         else:
-            found = self.hits(phrases, weights)
+            found = written(self.hits(phrases, weights), "found")  # read for the phrases' frequency and for the scores
             top = self.scored(found, alternatives, phrases, self.rarity(phrases, found), q, date, allowed).orderBy(*order).limit(most)
         return min_max(top.withColumn("score", F.col("raw")), "score").withColumn("score", F.round("score", 6)).drop("f", "block").orderBy(*order)
 

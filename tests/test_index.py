@@ -112,3 +112,15 @@ def test_a_query_reads_only_its_terms(large):
     folders = {r[0].split("bucket=")[1].split("/")[0] for r in rows.select(F.input_file_name()).distinct().collect()}
     assert len(folders) == 1
     assert rows.select("term").distinct().count() == 1
+
+
+def test_a_phrase_is_looked_up_once(spark, tmp_path, monkeypatch):
+    """Its hits are stored for its frequency and its scores; a term's documents are counted without telling documents apart."""
+    from gleaner.operators import index as I
+
+    docs = spark.createDataFrame([(1, "of the", "of the sea the", None), (2, "sea", "the of", None), (3, "the", None, None)], "doc_id long, title string, content string, published date").coalesce(1)
+    built = I.build_index(docs, str(tmp_path / "index"))
+    assert {r["term"]: r["docs"] for r in built.rows_of("maxima", ["of", "the", "sea"]).collect()} == {"of": 2, "the": 3, "sea": 2}
+    kept = []
+    monkeypatch.setattr(I, "written", lambda df, name: kept.append(name) or df.localCheckpoint())
+    assert [r["doc_id"] for r in built.search(I.parse_query('"of the"')).collect()] == [1] and kept == ["found"]
