@@ -36,7 +36,8 @@ def _decided(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality classifier predicts to be good."""
-    return _decided(docs, classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    good = classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id", "text_hash")
+    return _decided(docs, materialize(good, "good"))  # so that the driver is rid of the model before rows are joined
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,12 +24,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_rows, id_text, table, text_hash
+from .common import WORD, arrow_rows, id_text, table, text_hash, tidy
 
 SAMPLE = 12_000
 DIM, NONZERO, REACH, HIDDEN, VOCABULARY = 64, 4, 2, 32, 40_000
 ACCEPT = 0.7
 CACHE = 200_000
+#: Bytes of the model that one row brings to the driver.
+SLICE = 1 << 18
 _WORD = re.compile(WORD)
 
 
@@ -202,11 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
             vectors = Vectors(known, context)
             x = np.stack([vectors.pool(t) for t in texts])
             model |= {"known": known, "context": context, "net": train(x, y)}
-        yield {"model": [pickle.dumps(model)]}
+        raw = pickle.dumps(model)
+        cuts = range(0, len(raw), SLICE)
+        yield {"part": list(range(len(cuts))), "model": [raw[k : k + SLICE] for k in cuts]}
 
     one = rows.select("doc_id", "text", "quality").repartition(1).sortWithinPartitions("doc_id", "text")
-    found = arrow_rows(one, run, "model binary").collect()
-    return bytes(found[0]["model"]) if found else pickle.dumps({"prior": 0.5})
+    found = arrow_rows(one, run, "part int, model binary").collect()
+    raw = b"".join(r["model"] for r in sorted(found, key=lambda r: r["part"]))
+    del found
+    tidy(docs.sparkSession)
+    return raw or pickle.dumps({"prior": 0.5})
 
 
 def classify(df: DataFrame, labels: DataFrame, accept: float = ACCEPT, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

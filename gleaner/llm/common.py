@@ -43,11 +43,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the shuffle files behind the table are free now; Spark drops them once the driver collects its garbage
+    tidy(spark)  # the shuffle files behind the table are free now; Spark drops them once the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage, which also gives back heap that it grew for a step now done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that text operators read, under fixed names; a null text is empty, other columns are ignored."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

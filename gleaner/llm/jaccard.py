@@ -38,6 +38,8 @@ BUCKETS, PARTS, CHUNK, COMMON = 1 << 18, 512, 512, 32
 #: Centres of a block in the second round; earlier shingles that a row carries in the last one.
 CENTRES, EARLIER = 4, 64
 LAST = (1 << 63) - 1
+#: Buckets whose counts one row brings to the driver.
+SLICE = 128
 #: Bits of the map of ids whose sets are asked for.
 ID_BITS = 1 << 26
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
@@ -93,6 +95,26 @@ def describe(docs: DataFrame) -> DataFrame:
     return materialize(arrow_rows(docs.withColumn("text_hash", text_hash("text")), run, "doc_id long, text_hash long, n int, node binary, parts binary, bucket int, hits long"), "sets")
 
 
+def bucket_counts(hits: DataFrame) -> np.ndarray:
+    """The hits of each of BUCKETS buckets; hits: bucket, hits. Tasks add them up and pack SLICE buckets a row, so 8 bytes a bucket go to the driver."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out = []
+            for own in b["own"]:
+                packed = np.zeros(SLICE, np.int64)
+                packed[[x["bucket"] % SLICE for x in own]] = [x["hits"] for x in own]
+                out.append(packed.tobytes())
+            yield {"slice": b["slice"], "packed": out}
+
+    summed = hits.groupBy("bucket").agg(F.sum("hits").alias("hits"))
+    slices = summed.groupBy(F.floor(F.col("bucket") / SLICE).cast("int").alias("slice")).agg(F.collect_list(F.struct("bucket", "hits")).alias("own"))
+    out = np.zeros(BUCKETS, np.int64)
+    for r in arrow_rows(slices, run, "slice int, packed binary").collect():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["packed"], np.int64)
+    return out
+
+
 def prefix_index(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """shingle, salt, n, node, pos: the prefix of each set; copies that one task sees go in once.
 
@@ -337,9 +359,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_shingles, component_id, text_hash (which tells rows that share an id apart), leader (whether the row is of the class and id that name the component), node (hash of the set, null without words)."""
     docs = id_text(df, id_col, text_col)
     described = describe(docs)
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in described.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect():  # at most BUCKETS rows
-        counts[r["bucket"]] = r["hits"]
+    counts = bucket_counts(described.filter("bucket IS NOT NULL").select("bucket", "hits"))
     rows = described.filter("bucket IS NULL").select("doc_id", "text_hash", "n", "node", "parts")
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parts").alias("parts"))
     shared = blocks(prefix_index(docs, counts))
