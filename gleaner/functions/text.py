@@ -21,23 +21,30 @@ _DOUBLE = "".join(map(chr, (0x201C, 0x201D, 0x201E)))
 _DASHES = "".join(map(chr, range(0x2010, 0x2016)))
 _SPACES = "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200E), 0x202F, 0x205F, 0x3000)))
 _CONTROLS = "".join(map(chr, (*range(1, 9), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F)))
+_BLANKS = _SPACES + _CONTROLS + "\t\n\r"
 
 
 def _all(text: Column, chars: str, to: str) -> Column:
     return F.translate(text, chars, to * len(chars))
 
 
-def decode_entities(text: Column) -> Column:
+def _entities(text: Column) -> Column:
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return _all(_all(text, _SINGLE, "'"), _DOUBLE, '"')
+    return text
+
+
+def decode_entities(text: Column) -> Column:
+    return _all(_all(_entities(text), _SINGLE, "'"), _DOUBLE, '"')
 
 
 def normalize(text: Column) -> Column:
     """Entities decoded, quotes and dashes straight, all white space and control characters single spaces; null is empty."""
-    text = decode_entities(F.regexp_replace(F.coalesce(text, F.lit("")), "(?i)&apos;", "'"))
-    text = _all(_all(_all(text, _DASHES, "-"), _SPACES, " "), _CONTROLS, " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(F.contains(text, F.lit("&")), _entities(F.regexp_replace(text, "&[aA][pP][oO][sS];", "'"))).otherwise(text)
+    # translate looks up each character of a text, so it goes through it once for all
+    text = F.translate(text, _SINGLE + _DOUBLE + _DASHES + _BLANKS, "'" * len(_SINGLE) + '"' * len(_DOUBLE) + "-" * len(_DASHES) + " " * len(_BLANKS))
+    return F.trim(F.regexp_replace(text, " {2,}", " "))
 
 
 def warnings(normalized: Column) -> Column:

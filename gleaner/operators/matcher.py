@@ -38,6 +38,8 @@ def matches(texts: DataFrame, terms: DataFrame, most_bytes: int = MOST_BYTES, **
     size = forms.agg(F.sum(F.octet_length("form") + F.lit(16))).head()[0] or 0
     parts = max(1, -(-int(size) // most_bytes))
     schema = "doc_id long, form string, " + ", ".join(f"{name} long" for name in counted)
+    if not size:  # no term, so texts needn't be read
+        return spark.createDataFrame([], schema).join(terms, "form").select("doc_id", "term", *counted)
     found = None
     for part in range(parts):
         own = [r["form"] for r in forms.filter(F.pmod(F.xxhash64("form"), F.lit(parts)) == part).collect()]  # at most about most_bytes
@@ -99,25 +101,31 @@ def _pass(shared, counted: dict[str, tuple[str, str]]):
     return run
 
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    """doc_id, form: texts in lower case, dealt to all cores."""
-    return dealt(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.lower("text").alias("form"))
+def _texts(docs: DataFrame, deal: bool = True) -> DataFrame:
+    """doc_id, text, dealt to all cores unless they come in parts of like size."""
+    texts = docs.select("doc_id", "text")
+    return dealt(texts, "doc_id") if deal else texts
 
 
-def with_words(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def _lowered(docs: DataFrame, deal: bool = True) -> DataFrame:
+    """doc_id, form: texts in lower case."""
+    return _texts(docs, deal).select("doc_id", F.lower("text").alias("form"))
+
+
+def with_words(docs: DataFrame, terms: DataFrame, deal: bool = True) -> DataFrame:
     """doc_id, term of all terms that stand in a text between word boundaries. docs: doc_id, text; terms: term."""
     shaped = terms.select("term", word_form(F.col("term")).alias("form")).filter("trim(form) != ''")
-    return held(dealt(docs.select("doc_id", "text"), "doc_id").select("doc_id", word_form(F.col("text")).alias("form")), shaped).select("doc_id", "term").distinct()
+    return held(_texts(docs, deal).select("doc_id", word_form(F.col("text")).alias("form")), shaped).select("doc_id", "term").distinct()
 
 
-def with_substrings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def with_substrings(docs: DataFrame, terms: DataFrame, deal: bool = True) -> DataFrame:
     """doc_id, term of all terms that stand anywhere in a text, letters' case aside."""
-    return held(_lowered(docs), _as_they_are(terms)).select("doc_id", "term").distinct()
+    return held(_lowered(docs, deal), _as_they_are(terms)).select("doc_id", "term").distinct()
 
 
-def with_bounds(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def with_bounds(docs: DataFrame, terms: DataFrame, deal: bool = True) -> DataFrame:
     """doc_id, term of all terms that stand in a text, as they are but for case, with no letter a-z or digit next to them."""
-    return held(_lowered(docs), _as_they_are(terms), bounds=True).select("doc_id", "term").distinct()
+    return held(_lowered(docs, deal), _as_they_are(terms), bounds=True).select("doc_id", "term").distinct()
 
 
 def with_wholeness(docs: DataFrame, terms: DataFrame) -> DataFrame:

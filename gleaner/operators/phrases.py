@@ -50,7 +50,11 @@ def word_stats(docs: DataFrame, stop=X.STOPWORDS) -> DataFrame:
 
 def word_distinctiveness(docs: DataFrame, baseline: DataFrame, stop=X.STOPWORDS) -> DataFrame:
     """word, total, docs, score against a ranked baseline (word, rank) of bounded size."""
-    stats = word_stats(docs, stop)
+    return distinct_words(word_stats(docs, stop), baseline)
+
+
+def distinct_words(stats: DataFrame, baseline: DataFrame) -> DataFrame:
+    """word, total, docs, score of words (word, total, docs) against a ranked baseline (word, rank) of bounded size."""
     size = stats.agg(F.sum("total").alias("size"))
     rows = stats.join(F.broadcast(baseline), "word", "left").crossJoin(F.broadcast(size))
     return rows.select("word", "total", "docs", F.round(distinctiveness(F.col("total"), F.col("size"), F.col("rank")), 6).alias("score"))
@@ -111,8 +115,12 @@ def repeated_ngrams(docs: DataFrame, least_docs: int = 3, stop=X.STOPWORDS) -> D
     """Runs of two and three of the kept words of three letters or more, once per document, by count times documents: phrase, docs, support, quality."""
     words = docs.select(F.filter(X.words_kept(F.col("text")), lambda w: (F.length(w) >= 3) & ~w.isin(*stop)).alias("words"))
     runs = words.select(F.explode_outer(F.array_distinct(F.concat(X.word_ngrams(F.col("words"), 2), X.word_ngrams(F.col("words"), 3)))).alias("phrase"))
-    rows = runs.filter("phrase IS NOT NULL").groupBy("phrase").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_docs)
-    return rows.select("phrase", "docs", F.col("docs").alias("support"), (F.col("docs") * F.col("docs")).cast("double").alias("quality"))
+    return run_lexicon(runs.filter("phrase IS NOT NULL").groupBy("phrase").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_docs))
+
+
+def run_lexicon(counts: DataFrame) -> DataFrame:
+    """phrase, docs, support, quality of runs (phrase, docs): count times documents."""
+    return counts.select("phrase", "docs", F.col("docs").alias("support"), (F.col("docs") * F.col("docs")).cast("double").alias("quality"))
 
 
 def improbable_phrases(docs: DataFrame, common: list[str], least: int = 3, stop=X.STOPWORDS) -> DataFrame:
@@ -153,9 +161,9 @@ def group_tfidf(docs: DataFrame, group: str, most: int = 5, least: int = 2, stop
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(group, "rank", "word", "n", "df", "tfidf")
 
 
-def contained(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term of all terms that stand in a text between word boundaries; terms: term, of any number of words."""
-    return with_words(docs, terms)
+def contained(docs: DataFrame, terms: DataFrame, deal: bool = True) -> DataFrame:
+    """doc_id, term of all terms that stand in a text between word boundaries; terms: term, of any number of words. deal: False where texts come in parts of like size."""
+    return with_words(docs, terms, deal)
 
 
 def phrase_runs(text: Column, starters: list[str], stop=X.STOPWORDS) -> Column:

@@ -5,6 +5,7 @@ Every step is a function of frames, so a rerun from the same documents gives the
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,8 +15,9 @@ from gleaner.functions import gates as G
 from gleaner.functions import text as X
 from gleaner.operators import keywords as K
 from gleaner.operators import phrases as P
+from gleaner.operators import tallies as T
 from gleaner.plans import finalization as Z
-from gleaner.sources.shared import written
+from gleaner.sources.shared import dealt, written
 
 #: Ranking of candidates' sources; scores only decide within a source.
 PRIORITY = {"known_entity": 4, "phrase_lexicon": 3, "heuristic_entity": 2, "keyphrase": 1}
@@ -36,22 +38,25 @@ def artifacts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("warnings", X.warnings(F.col("text")))
 
 
-def candidates(rows: DataFrame, gazetteer: DataFrame | None = None, lexicon: DataFrame | None = None, mode: str | None = None) -> DataFrame:
-    """doc_id, source, raw, name, slug, kind, score from all sources."""
+def candidates(rows: DataFrame, gazetteer: DataFrame | None = None, lexicon: DataFrame | None = None, mode: str | None = None, deal: bool = True) -> DataFrame:
+    """doc_id, source, raw, name, slug, kind, score from all sources. deal: False where texts come in parts of like size."""
     shaped = lambda df, source, raw, kind, score: df.select("doc_id", F.lit(source).alias("source"), F.col(raw).alias("raw"), F.lit(kind).alias("kind"), score.cast("double").alias("score"))
-    found = [shaped(K.document_names(rows), "heuristic_entity", "name", "concept", F.lit(100))]
+    named = lambda df: df.withColumn("name", F.when(F.col("kind") == "entity", F.col("raw")).otherwise(X.normalize_term(F.col("raw")))).withColumn("slug", X.slugify(F.col("name")))
+    found = [shaped(K.document_names(rows, deal=deal), "heuristic_entity", "name", "concept", F.lit(100))]
     if gazetteer is not None:
-        found.append(shaped(K.known_entities(rows, gazetteer), "known_entity", "name", "entity", F.lit(200)))
-    if lexicon is not None:
-        hits = P.contained(rows, lexicon.select(F.col("phrase").alias("term"))).withColumnRenamed("term", "phrase")
-        found.append(shaped(hits.join(lexicon.select("phrase", "quality"), "phrase"), "phrase_lexicon", "phrase", "phrase", F.col("quality")))
+        found.append(shaped(K.known_entities(rows, gazetteer, deal), "known_entity", "name", "entity", F.lit(200)))
     if mode:
         found.append(shaped(K.document_keyphrases(rows, mode), "keyphrase", "phrase", "concept", -F.col("score")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    named = F.when(F.col("kind") == "entity", F.col("raw")).otherwise(X.normalize_term(F.col("raw")))
-    return out.withColumn("name", named).withColumn("slug", X.slugify(F.col("name")))
+    out = named(out)
+    if lexicon is not None:
+        # a phrase's name and slug are made once, not for each document that holds it
+        phrases = written(named(lexicon.select("phrase", "quality", F.col("phrase").alias("raw"), F.lit("phrase").alias("kind"))).select("phrase", "quality", "name", "slug"), "lexicon-named")
+        hits = P.contained(rows, lexicon.select(F.col("phrase").alias("term")), deal).withColumnRenamed("term", "phrase").join(phrases, "phrase")
+        out = out.unionByName(hits.select("doc_id", F.lit("phrase_lexicon").alias("source"), F.col("phrase").alias("raw"), F.lit("phrase").alias("kind"), F.col("quality").cast("double").alias("score"), "name", "slug"))
+    return out
 
 
 def decided(found: DataFrame, most: int = 5, t: G.Tuning = G.DEFAULT) -> DataFrame:
@@ -74,29 +79,51 @@ def promoted(audit: DataFrame, rows: DataFrame, stats: DataFrame, t: G.Tuning =
     return scored.filter(reason.isNull()).select(F.xxhash64("slug").alias("topic_id"), "slug", "name", "kind", "distinctiveness")
 
 
-def gated_lexicon(rows: DataFrame, t: G.Tuning = G.DEFAULT, most: int = 200) -> DataFrame:
-    """phrase, docs, support, quality: adjacent pairs and repeated n-grams, of each slug the best; the best `most` of those that pass all gates."""
+def gated_lexicon(rows: DataFrame, t: G.Tuning = G.DEFAULT, most: int = 200, words: DataFrame | None = None) -> DataFrame:
+    """phrase, docs, support, quality: adjacent pairs and repeated n-grams, of each slug the best; the best `most` of those that pass all gates. words: word_counts of the rows with a text.
+
+    An n-gram's quality is the square of its documents, so those of `cap` documents or more and the pairs of that quality hold
+    all phrases down to it; once they give `most`, all others rank behind. Rare n-grams, which are many, are counted only if
+    caps down to the least give fewer. Pairs are counted once a cap comes down to what a pair can reach: its log is at
+    most that of size / least, its support at most that of a word."""
     filled = rows.filter("text != ''")
     size = filled.count()
     least = 3 if size >= 10 else 2
-    pairs, runs = P.phrase_lexicon(filled, least, 1e-6, None), P.repeated_ngrams(filled, least)
-    both = written(pairs, "pairs").withColumn("first", F.lit(1)).unionByName(written(runs, "runs").withColumn("first", F.lit(0))).filter(F.lit(size >= 2))
+    words = words if words is not None else written(T.word_counts(filled), "words")
+    said = words.agg(F.max("total")).head()[0] or 0
+    reach = math.log(max(size, least) / least) * (1 + math.log2(said + 1)) + 1  # one more than any pair's quality
+    cap, pairs = max(least, size // 64), None
+    while True:
+        runs = P.run_lexicon(T.run_counts(filled, words, cap))
+        both = written(runs, "runs").withColumn("first", F.lit(0))
+        if cap == least or cap * cap <= reach:
+            pairs = pairs if pairs is not None else written(P.phrase_lexicon(filled, least, 1e-6, None), "pairs").withColumn("first", F.lit(1))
+            both = both.unionByName(pairs if cap == least else pairs.filter(F.col("quality") >= cap * cap))
+        best = written(_gated(both.filter(F.lit(size >= 2)), t).orderBy(F.desc("quality"), F.desc("docs"), "phrase").limit(most), "lexicon")
+        if cap == least or best.count() == most:
+            return best
+        cap = max(least, cap // 4)
+
+
+def _gated(both: DataFrame, t: G.Tuning) -> DataFrame:
+    """Of each slug the best phrase, if it passes all gates."""
     # names and slugs are written before gates read them: else each mention of a name in a gate makes it anew
     both = written(both.withColumn("phrase", X.normalize_term(F.col("phrase"))), "lexicon-names").withColumn("slug", X.slugify(F.col("phrase")))
     both = written(both, "lexicon-slugs")
     both = both.filter((F.length("slug") >= 3) & ~G.is_noise(F.col("phrase"), t))
     best = both.groupBy("slug").agg(F.max(F.struct("quality", "first", "docs", "support", "phrase")).alias("x")).select("x.phrase", "x.docs", "x.support", "x.quality")
-    passed = best.filter(G.phrase_reason(F.col("phrase"), F.col("docs"), F.col("support"), F.col("quality"), t).isNull())
-    return passed.orderBy(F.desc("quality"), F.desc("docs"), "phrase").limit(most)
+    return best.filter(G.phrase_reason(F.col("phrase"), F.col("docs"), F.col("support"), F.col("quality"), t).isNull())
 
 
 def build(docs: DataFrame, gazetteer: DataFrame | None = None, baseline: DataFrame | None = None, mode: str | None = None, t: G.Tuning = G.DEFAULT) -> Topics:
     """The whole way from documents (doc_id, text, episode_id) to topics."""
-    rows = written(artifacts(docs), "artifacts")
-    lexicon = written(gated_lexicon(rows, t), "lexicon")
-    audit = written(decided(candidates(rows, gazetteer, lexicon, mode), t=t), "audit")
+    # texts are dealt once; steps that read the artifacts find them in parts of like size
+    rows = written(artifacts(dealt(docs.select("doc_id", "text", "episode_id"), "doc_id")), "artifacts")
+    words = written(T.word_counts(rows), "words")
+    lexicon = gated_lexicon(rows, t, words=words)
+    audit = written(decided(candidates(rows, gazetteer, lexicon, mode, deal=False), t=t), "audit")
     baseline = baseline if baseline is not None else docs.sparkSession.createDataFrame([], "word string, rank int")
-    topics = written(promoted(audit, rows, P.word_distinctiveness(rows, baseline), t), "topics")
+    topics = written(promoted(audit, rows, P.distinct_words(words.filter("length(word) > 3"), baseline), t), "topics")
     accepted = audit.filter("decision = 'accepted'").join(topics.select("slug", "topic_id"), "slug")
     found = written(accepted.select(F.col("doc_id").alias("chunk_id"), "topic_id").distinct(), "links")
     zero = F.lit(0).cast("long")

@@ -101,7 +101,7 @@ def backfilled(c: Corpus, lexicon: DataFrame, t: G.Tuning = G.DEFAULT) -> None:
     """Each phrase that passes its gate is linked to all chunks whose text holds it anywhere and in which its slug isn't accepted yet; topics
     that don't exist are made. lexicon: phrase, slug, docs, support, quality."""
     good = lexicon.filter(G.phrase_reason(F.col("phrase"), F.col("docs"), F.col("support"), F.col("quality"), t).isNull()).select("phrase", "slug")
-    held = matcher.with_substrings(c.rows, good.select(F.col("phrase").alias("term"))).withColumnRenamed("term", "phrase").join(good, "phrase")
+    held = matcher.with_substrings(c.rows, good.select(F.col("phrase").alias("term")), deal=False).withColumnRenamed("term", "phrase").join(good, "phrase")
     known = c.audit.filter("decision = 'accepted'").select("doc_id", "slug").distinct()
     fresh = written(held.join(known, ["doc_id", "slug"], "left_anti").select("doc_id", "phrase", "slug").distinct(), "backfill")
     new = good.join(c.topics.select("slug"), "slug", "left_anti").groupBy("slug").agg(F.min("phrase").alias("name"))
@@ -144,7 +144,7 @@ def alias_merges(c: Corpus, aliases: DataFrame) -> DataFrame:
 def validated(c: Corpus) -> None:
     """Links of entities to chunks whose text doesn't name them go; entity_verified says which entities still have one."""
     entities = active(c.topics).filter("kind = 'entity'").select("topic_id", F.lower("name").alias("term"))
-    named = matcher.with_bounds(c.rows, entities.select("term").distinct()).join(entities, "term").select(F.col("doc_id").alias("chunk_id"), "topic_id")
+    named = matcher.with_bounds(c.rows, entities.select("term").distinct(), deal=False).join(entities, "term").select(F.col("doc_id").alias("chunk_id"), "topic_id")
     wrong = written(c.links.join(entities, "topic_id", "left_semi").join(named, ["chunk_id", "topic_id"], "left_anti"), "wrong-links")
     c.links = written(c.links.join(wrong, ["chunk_id", "topic_id"], "left_anti"), "links")
     c.steps.append(("entity_validation", {"invalid_links_removed": wrong.count()}))

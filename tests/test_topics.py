@@ -63,3 +63,42 @@ def test_lexicon_gates_before_it_cuts(spark):
     assert C.gated_lexicon(docs, most=1).count() == 1
     found = C.candidates(docs, lexicon=C.gated_lexicon(docs)).filter("source = 'phrase_lexicon' AND raw = 'solid state battery'")
     assert found.count() == 6
+
+
+def test_words_and_runs_are_counted_where_texts_are(spark, monkeypatch):
+    """Sums of tasks equal the counts of plain expressions, for odd letters too, with and without words that go along."""
+    import random
+
+    from gleaner.functions import text as X
+    from gleaner.operators import tallies as T
+
+    draw = random.Random(3)
+    some = ["alpha", "Kelvin", "İstan bul", "it's", "x-y-z", "the", "ab", "über", "naïve", "9lives", "--", "Beta", "gamma", "''s"]
+    rows = [(k, " ".join(draw.choice(some) + draw.choice(["", ".", ",", "\n"]) for _ in range(draw.randrange(25)))) for k in range(150)]
+    docs = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id long, text string").repartition(3)
+    kept = F.filter(X.words_kept(F.col("text")), lambda w: (F.length(w) >= 3) & ~w.isin(*X.STOPWORDS))
+    plain = docs.select("doc_id", F.explode(kept).alias("word")).groupBy("word").agg(F.count("*").alias("total"), F.count_distinct("doc_id").alias("docs"))
+    words = T.word_counts(docs).cache()
+    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, plain.collect()))
+    for least in (1, 3, 12):
+        told = sorted((r["phrase"], r["docs"]) for r in C.P.repeated_ngrams(docs, least).collect())
+        for most in (T.MOST_WORDS, 0):
+            with monkeypatch.context() as m:
+                m.setattr(T, "MOST_WORDS", most)
+                assert sorted(map(tuple, T.run_counts(docs, words, least).collect())) == told
+
+
+def test_rare_phrases_are_counted_only_if_frequent_ones_are_too_few(spark, monkeypatch):
+    texts = [f"solid state battery cell{k} with quantum annealing{k % 7}" for k in range(300)] + [f"carbon capture plant{k} number{k}" for k in range(200)] + [f"other{k} text{k}" for k in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = sorted(map(tuple, C.gated_lexicon(docs, most=1000).collect()), key=lambda r: (-r[3], -r[1], r[0]))
+    counted = []
+    monkeypatch.setattr(C.P, "phrase_lexicon", lambda *_: pytest.fail("pairs were counted"))
+    monkeypatch.setattr(C.T, "run_counts", lambda docs, words, least, own=C.T.run_counts: counted.append(least) or own(docs, words, least))
+    assert list(map(tuple, C.gated_lexicon(docs, most=4).collect())) == every[:4]
+    assert counted and min(counted) > 3
+
+
+def test_without_terms_no_text_is_read(spark):
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string").withColumn("text", F.when(F.raise_error(F.lit("read")).isNull(), F.col("text")))
+    assert C.Z.matcher.with_bounds(docs, spark.createDataFrame([], "term string")).count() == 0
