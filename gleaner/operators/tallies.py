@@ -24,6 +24,8 @@ _SHORT = [bytes(w) for n in (1, 2) for w in product(_LETTERS, repeat=n)]
 _LEFT_OUT, _UNKNOWN = -2, -1
 #: Bytes of texts that a task takes at a time (one text at least), and words that it numbers, or takes along.
 MOST_BYTES, MOST_WORDS = 8 << 20, 1 << 20
+#: From so many texts on, runs that are rare in every task are told first; runs that a task sums up at a time, and candidates that tasks take along.
+MANY_TEXTS, MOST_RUNS, MOST_CANDIDATES = 100_000, 1 << 21, 1 << 18
 
 
 def _left_out(stop) -> dict[bytes, int]:
@@ -107,37 +109,90 @@ def word_counts(docs: DataFrame, stop=X.STOPWORDS) -> DataFrame:
     return each.groupBy("word").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
 
 
+def _runs(found: np.ndarray, text: np.ndarray, texts: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of two and of three known words and how many texts hold each. A run's number has its words' numbers, each plus one, as digits of base + 1; a run of two ends in a zero."""
+    size, digit = max(base, 1), base + 1
+    two = (found[1:] >= 0) & (found[:-1] >= 0) & (text[1:] == text[:-1])
+    pairs, which = np.unique((found[:-1] * size + found[1:])[two], return_inverse=True)
+    rank = np.full(len(two), _UNKNOWN)
+    rank[two] = which
+    three = two[1:] & two[:-1]
+    triples, whole = np.unique((rank[:-1] * size + found[2:])[three], return_inverse=True)
+    first = np.stack([pairs // size, pairs % size, np.full(len(pairs), _UNKNOWN)])
+    words = np.concatenate([first, np.stack([*first[:2, triples // size], triples % size])], axis=1) + 1
+    docs = np.concatenate([_texts_with(which, text[1:][two], texts, len(pairs)), _texts_with(whole, text[2:][three], texts, len(triples))])
+    return words, docs, (words[0] * digit + words[1]) * digit + words[2]
+
+
+def _joined(groups: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sums of groups of texts: runs, docs, number of texts."""
+    runs, which = np.unique(np.concatenate([runs for runs, _, _ in groups]), return_inverse=True)
+    docs = np.bincount(which, np.concatenate([docs for _, docs, _ in groups]), minlength=len(runs)).astype(np.int64)
+    return runs, docs, sum(n for _, _, n in groups)
+
+
+def _phrases(names: pa.Array, words: np.ndarray) -> pa.Array:
+    """Runs spelled out; words: their words' numbers plus one, the third 0 if there is none."""
+    return pc.binary_join_element_wise(*(names.take(pa.array(w - 1, mask=w == 0)) for w in words), " ", null_handling="skip")
+
+
 def run_counts(docs: DataFrame, words: DataFrame, least_docs: int, stop=X.STOPWORDS) -> DataFrame:
     """phrase, docs of the runs of two and three words that stand in least_docs documents or more. words: word_counts of docs.
 
     A run stands in no more documents than each of its words, so only words that stand in that many make runs. They go to the
-    tasks if there are at most MOST_WORDS of them; otherwise all words make runs."""
+    tasks if there are at most MOST_WORDS of them, and runs are summed as numbers; otherwise all words make runs. A run that stands
+    in least_docs of all texts stands in that share of some group of them; so of many texts, only runs that do are counted, in a
+    second pass."""
     stop, spark = tuple(stop), docs.sparkSession
     often = words.filter(F.col("docs") >= least_docs).select("word")
     shared = spark.sparkContext.broadcast([r["word"].encode() for r in often.collect()]) if often.count() <= MOST_WORDS else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _left_out(stop) | {w: n for n, w in enumerate(shared.value)} if shared is not None else None
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        known = _left_out(stop) | {w: n for n, w in enumerate(shared.value)}
+        for texts in _some(batches):
+            _, n, runs = _runs(*_sequence(texts, lambda words: map(known.get, words, repeat(_UNKNOWN))), len(texts), len(shared.value))
+            yield runs, n, len(texts)
+
+    def often_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs that stand in a share of least_docs / size of a group of this task's texts. The last group is not told apart from the one before, as it may be small."""
+        told = lambda g: pa.RecordBatch.from_arrays([pa.array(g[0][g[1] * size >= least_docs * g[2]])], names=["run"])
+        before, group = [], []
+        for more in counted(batches):
+            group.append(more)
+            if sum(len(runs) for runs, _, _ in group) >= MOST_RUNS:
+                if before:
+                    yield told(before[0])
+                before, group = [_joined(group)], []
+        if before or group:
+            yield told(_joined(before + group))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs, n, _ in counted(batches):
+            if candidates is not None:
+                near = np.searchsorted(candidates.value, runs)
+                kept = candidates.value[np.minimum(near, len(candidates.value) - 1)] == runs if len(candidates.value) else np.zeros(len(runs), bool)
+                runs, n = runs[kept], n[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(n)], names=["run", "docs"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, digit = _names(shared.value), len(shared.value) + 1
+        for b in batches:
+            runs = b.column("run").to_numpy()
+            yield pa.RecordBatch.from_arrays([_phrases(names, np.stack([runs // digit**2, runs // digit % digit, runs % digit])), b.column("docs")], names=["phrase", "docs"])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _some(batches):
-            if known is not None:
-                names = shared.value
-                found, text = _sequence(texts, lambda words: map(known.get, words, repeat(_UNKNOWN)))
-            else:
-                numbers = _Numbers(stop)
-                names = numbers.words
-                found, text = _sequence(texts, lambda words, n=numbers: map(n.__getitem__, words))
-            base, spelled = len(names), _names(names)
-            two = (found[1:] >= 0) & (found[:-1] >= 0) & (text[1:] == text[:-1])
-            pairs, which = np.unique((found[:-1] * base + found[1:])[two], return_inverse=True)
-            rank = np.full(len(two), _UNKNOWN)
-            rank[two] = which
-            three = two[1:] & two[:-1]
-            triples, whole = np.unique((rank[:-1] * base + found[2:])[three], return_inverse=True)
-            at = lambda places: spelled.take(pa.array(places))
-            pair = pc.binary_join_element_wise(at(pairs // max(base, 1)), at(pairs % max(base, 1)), " ")
-            triple = pc.binary_join_element_wise(pair.take(pa.array(triples // max(base, 1))), at(triples % max(base, 1)), " ")
-            for phrase, n in ((pair, _texts_with(which, text[1:][two], len(texts), len(pairs))), (triple, _texts_with(whole, text[2:][three], len(texts), len(triples)))):
-                yield pa.RecordBatch.from_arrays([phrase, pa.array(n, pa.int64())], names=["phrase", "docs"])
-
-    each = docs.select("text").mapInArrow(run, "phrase string, docs long")
-    return each.groupBy("phrase").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
+            numbers = _Numbers(stop)
+            found, text = _sequence(texts, lambda words, n=numbers: map(n.__getitem__, words))
+            words, n, _ = _runs(found, text, len(texts), len(numbers.words))
+            yield pa.RecordBatch.from_arrays([_phrases(_names(numbers.words), words), pa.array(n)], names=["phrase", "docs"])
+
+    summed = lambda df, key: df.groupBy(key).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
+    if shared is None:
+        return summed(docs.select("text").mapInArrow(spelled, "phrase string, docs long"), "phrase")
+    candidates, size = None, docs.filter("text != ''").count()
+    if size >= MANY_TEXTS:
+        told = docs.select("text").mapInArrow(often_here, "run long").distinct().limit(MOST_CANDIDATES + 1).collect()
+        if len(told) <= MOST_CANDIDATES:  # else all runs are counted
+            candidates = spark.sparkContext.broadcast(np.sort(np.array([r["run"] for r in told], np.int64)))
+    return summed(docs.select("text").mapInArrow(numbered, "run long, docs long"), "run").mapInArrow(named, "phrase string, docs long")

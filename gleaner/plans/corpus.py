@@ -92,7 +92,7 @@ def gated_lexicon(rows: DataFrame, t: G.Tuning = G.DEFAULT, most: int = 200, wor
     words = words if words is not None else written(T.word_counts(filled), "words")
     said = words.agg(F.max("total")).head()[0] or 0
     reach = math.log(max(size, least) / least) * (1 + math.log2(said + 1)) + 1  # one more than any pair's quality
-    cap, pairs = max(least, size // 64), None
+    cap, pairs = max(least, size // 256, min(size // 64, math.isqrt(int(reach)) + 1)), None
     while True:
         runs = P.run_lexicon(T.run_counts(filled, words, cap))
         both = written(runs, "runs").withColumn("first", F.lit(0))

@@ -82,9 +82,11 @@ def test_words_and_runs_are_counted_where_texts_are(spark, monkeypatch):
     assert sorted(map(tuple, words.collect())) == sorted(map(tuple, plain.collect()))
     for least in (1, 3, 12):
         told = sorted((r["phrase"], r["docs"]) for r in C.P.repeated_ngrams(docs, least).collect())
-        for most in (T.MOST_WORDS, 0):
+        # summed as numbers, spelled out as no word goes along, told first by groups of texts, by small groups, by too many
+        for most in ({}, {"MOST_WORDS": 0}, {"MANY_TEXTS": 0}, {"MANY_TEXTS": 0, "MOST_RUNS": 1, "MOST_BYTES": 200}, {"MANY_TEXTS": 0, "MOST_CANDIDATES": 1}):
             with monkeypatch.context() as m:
-                m.setattr(T, "MOST_WORDS", most)
+                for name, value in most.items():
+                    m.setattr(T, name, value)
                 assert sorted(map(tuple, T.run_counts(docs, words, least).collect())) == told
 
 
